@@ -318,16 +318,15 @@ def over_series(
     return fn(runs.drop("_at"), [*keys, "_run"]).where("_own").drop("_run", "_own")
 
 
+def slots_between(df: DataFrame, on: str, minutes: int) -> int:
+    """Grid slots between the first and last time: a bound on bars per series (one small job)."""
+    lo, hi = df.agg(F.min(on), F.max(on)).first()
+    return 0 if lo is None else int((hi - lo).total_seconds() // (60 * minutes)) + 2
+
+
 def forward_fill(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
     """Replace nulls by the last value seen in the series."""
     s = Series(df, keys, order)
     return s.build({c: s.fill(c) for c in columns})
-
-
-def windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Series:
-    return Series(df, keys, order)
-
-
-__all__ = ["Series", "fold_rows", "forward_fill", "over_series", "windowed"]
