@@ -5,7 +5,9 @@ from __future__ import annotations
 from tidemark.queries import (  # noqa: F401
     q_analytics,
     q_factors,
+    q_indicators,
     q_market,
+    q_portfolio,
     q_processing,
 )
 from tidemark.queries.base import REGISTRY, Query

@@ -56,12 +56,16 @@ class Panel:
     minutes: int
     bar: str
     step: str
+    lift: float = 0.0
 
 
 PANELS = {
     "user": Panel("user_id", 1440, "1d", "1 day"),
     "type": Panel("event_type", 240, "4h", "4 hours"),
     "hour": Panel("event_type", 60, "1h", "1 hour"),
+    # Prices lifted by a constant: moves of a few percent, so wealth paths keep a sane scale.
+    "calm_user": Panel("user_id", 1440, "1d", "1 day", 1000.0),
+    "calm_type": Panel("event_type", 240, "4h", "4 hours", 1000.0),
 }
 KEYS = ["venue", "instrument_id", "bar_type"]
 
@@ -75,7 +79,7 @@ def ticks(spark: SparkSession, sf: str, panel: str = "user") -> DataFrame:
         F.lit(p.bar).alias("bar_type"),
         F.col("ts").alias("timestamp"),
         F.col("event_id").alias("trade_id"),
-        F.col("value").alias("price"),
+        (F.col("value") + p.lift).alias("price"),
         F.lit(1.0).alias("size"),
         F.col("value").alias("quote"),
     )
@@ -95,13 +99,13 @@ def bars_sql(panel: str = "user") -> str:
     p = PANELS[panel]
     return f"""ticks AS (
   SELECT 'SIM' AS venue, CAST({p.by} AS VARCHAR) AS instrument_id, '{p.bar}' AS bar_type,
-         ts, event_id, value AS price
+         ts, event_id, value + {p.lift} AS price, value AS quote
   FROM events WHERE value > 0),
 bars AS (
   SELECT venue, instrument_id, bar_type, time_bucket(INTERVAL '{p.step}', ts) AS t,
          first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low,
          last(price ORDER BY ts, event_id) AS close,
-         CAST(count(*) AS DOUBLE) AS volume, sum(price) AS volume_quote
+         CAST(count(*) AS DOUBLE) AS volume, sum(quote) AS volume_quote
   FROM ticks GROUP BY ALL)"""
 
 
