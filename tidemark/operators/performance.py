@@ -37,13 +37,13 @@ def interval_daily_wealth(
     stressed = F.col("portfolio_return") - (cost_multiplier - 1.0) * F.col("transaction_cost")
     s = Series(portfolio, keys, ["timestamp"])
     wealth = s.cumprod(s.add(1 + stressed))
-    base = s.build({"_base": F.coalesce(s.lag(wealth), F.lit(1.0))})
-    w = Window.partitionBy(*keys).orderBy("timestamp")
-    # The first entry may itself be a midnight; later ones belong to the previous exit.
-    first = F.row_number().over(w) == 1
-    starts = base.withColumn("_first", first)
-    marks = boundaries_inside(starts)
-    at_entry = starts.where("_first").where(day_start("timestamp") == F.col("timestamp"))
+    base = s.build({"_base": F.coalesce(s.lag(wealth), F.lit(1.0)), "_left": s.lag("exit_time")})
+    marks = boundaries_inside(base)
+    # An entry at midnight is marked there unless the previous interval ends on it.
+    at_entry = base.where(
+        (day_start("timestamp") == F.col("timestamp"))
+        & (F.col("_left").isNull() | (F.col("_left") < F.col("timestamp")))
+    )
     marks = marks.unionByName(at_entry.withColumn("boundary", F.col("timestamp")))
     price = bars.select("instrument_id", "timestamp", "open")
     joined = marks.join(

@@ -7,6 +7,7 @@ from tidemark.queries import (  # noqa: F401
     q_factors,
     q_indicators,
     q_market,
+    q_performance,
     q_portfolio,
     q_processing,
 )
