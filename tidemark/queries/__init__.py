@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from tidemark.queries import (  # noqa: F401
     q_analytics,
+    q_combine,
     q_factors,
     q_indicators,
     q_market,
     q_performance,
     q_portfolio,
     q_processing,
+    q_reports,
 )
 from tidemark.queries.base import REGISTRY, Query
 
