@@ -181,7 +181,7 @@ def last_per_slot(
     """
     floor = floor_time(on, minutes)
     point = F.when(floor == F.col(on), floor).otherwise(shift_time(floor, minutes))
-    last = F.max(F.struct(F.col(on), *[F.col(c) for c in columns])).alias("_r")
+    last = F.max(F.struct(F.col(on).alias("_at"), *[F.col(c) for c in columns])).alias("_r")
     got = df.groupBy(*by, point.alias("_point")).agg(last)
     return got.select(*by, F.col("_point").alias("timestamp"), *[F.col(f"_r.{c}") for c in columns])
 

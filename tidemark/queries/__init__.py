@@ -12,6 +12,8 @@ from tidemark.queries import (  # noqa: F401
     q_portfolio,
     q_processing,
     q_reports,
+    q_state,
+    q_universe,
 )
 from tidemark.queries.base import REGISTRY, Query
 
