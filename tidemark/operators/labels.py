@@ -33,6 +33,65 @@ def label_name(horizon: int, cost_bps: float = 0.0) -> str:
     return f"{name}_cost={cost_bps:g}bps" if cost_bps else name
 
 
+def label_rows(
+    s: Series, horizons: Sequence[int], bar_type: str, cost_bps: float = 0.0, ahead: int = 0,
+    has_volume: bool = True,
+) -> Column:
+    """Array of label structs, one per horizon, for the bar ``ahead`` rows later.
+
+    The h-th row after the entry bar must lie exactly h bars later. Returns over bars that cannot be
+    traded stay visible as gross return but give no label. With ``ahead=1`` the entry bar must be the
+    next grid slot; otherwise there is no label row and the array is null.
+    """
+    minutes = bar_minutes(bar_type)
+
+    def at(name: str, n: int) -> Column:
+        return s.lead(name, n) if n else F.col(name)
+
+    entry_time = shift_time("timestamp", ahead * minutes) if ahead else F.col("timestamp")
+    entry = at("open", ahead).cast("double")
+    entry_volume = at("volume", ahead).cast("double") if has_volume else F.lit(1.0)
+    items = []
+    for h in horizons:
+        leave = s.lead("open", h + ahead).cast("double")
+        exit_volume = s.lead("volume", h + ahead).cast("double") if has_volume else F.lit(1.0)
+        exit_time = shift_time("timestamp", (h + ahead) * minutes)
+        priced = finite(entry) & finite(leave) & (entry > 0) & (leave > 0)
+        contiguous = F.coalesce(s.lead("timestamp", h + ahead) == exit_time, F.lit(False))
+        in_ok = finite(entry_volume) & (entry_volume > 0)
+        out_ok = finite(exit_volume) & (exit_volume > 0)
+        gross = F.when(priced & contiguous, ratio(leave, entry) - 1)
+        valid = F.coalesce(priced & contiguous & in_ok & out_ok, F.lit(False))
+        net = F.when(valid, gross - cost_bps / 10_000)
+        flags = (
+            F.when(leave.isNull(), "MISSING_FUTURE_PRICE")
+            .when(~contiguous, "NON_CONTIGUOUS_HORIZON")
+            .when(~priced, "INVALID_PRICE")
+            .when(~in_ok, "NON_TRADING_ENTRY")
+            .when(~out_ok, "NON_TRADING_EXIT")
+            .otherwise("")
+        )
+        made = {
+            "label_name": F.lit(label_name(h, cost_bps)),
+            "horizon_bars": F.lit(h),
+            "round_trip_cost_bps": F.lit(float(cost_bps)),
+            "entry_time": entry_time,
+            "exit_time": exit_time,
+            "entry_price": entry,
+            "exit_price": leave,
+            "gross_return": gross,
+            "net_return": net,
+            "label_value": net,
+            "label_is_valid": valid,
+            "label_quality_flags": flags,
+        }
+        items.append(F.struct(*[made[n].alias(n) for n in LABEL_COLUMNS]))
+    rows = F.array(*items)
+    if ahead:
+        rows = F.when(s.lead("timestamp", ahead) == entry_time, rows)
+    return s.add(rows)
+
+
 def execution_return(
     bars: DataFrame,
     horizons: Sequence[int],
@@ -41,69 +100,30 @@ def execution_return(
     cost_bps: float = 0.0,
     max_rows: int | None = None,
 ) -> DataFrame:
-    """Open-to-open return over h bars for several horizons, one row per bar and horizon.
-
-    The h-th next row must lie exactly h bars later. Returns over bars that cannot be traded stay
-    visible as gross return but give no label.
-    """
-    minutes = bar_minutes(bar_type)
+    """Open-to-open return over h bars for several horizons, one row per bar and horizon."""
     has_volume = "volume" in bars.columns
-    volume = F.col("volume").cast("double") if has_volume else F.lit(1.0)
-    base = bars.select(*BAR_KEYS, "timestamp", F.col("open").cast("double").alias("open"),
-                       volume.alias("volume"))
+    base = bars.select(*KEYS, "open", *(["volume"] if has_volume else []))
 
     def ahead(df: DataFrame, part: list[str]) -> DataFrame:
         s = Series(df, part, ["timestamp"])
-        per = []
-        for h in horizons:
-            per.append(
-                F.struct(
-                    F.lit(h).alias("horizon_bars"),
-                    F.lit(label_name(h, cost_bps)).alias("label_name"),
-                    s.lead("timestamp", h).alias("seen_exit"),
-                    s.lead("open", h).alias("exit_price"),
-                    s.lead("volume", h).alias("exit_volume"),
-                )
-            )
-        return s.build({"_h": F.array(*per)})
+        rows = label_rows(s, horizons, bar_type, cost_bps, has_volume=has_volume)
+        return s.build({"labels": rows})
 
     df = over_series(
         base, BAR_KEYS, ["timestamp"], ahead, lookback=0, lookahead=max(horizons),
         max_rows=max_rows,
     )
-    df = df.select(*KEYS, "open", "volume", F.inline("_h"))
-    exit_time = shift_time("timestamp", F.col("horizon_bars") * minutes)
-    entry, leave = F.col("open"), F.col("exit_price")
-    priced = finite(entry) & finite(leave) & (entry > 0) & (leave > 0)
-    contiguous = F.coalesce(F.col("seen_exit") == exit_time, F.lit(False))
-    in_ok = finite("volume") & (F.col("volume") > 0)
-    out_ok = finite("exit_volume") & (F.col("exit_volume") > 0)
-    gross = F.when(priced & contiguous, ratio(leave, entry) - 1)
-    valid = priced & contiguous & in_ok & out_ok
-    net = F.when(valid, gross - cost_bps / 10_000)
-    flags = (
-        F.when(leave.isNull(), "MISSING_FUTURE_PRICE")
-        .when(~contiguous, "NON_CONTIGUOUS_HORIZON")
-        .when(~priced, "INVALID_PRICE")
-        .when(~in_ok, "NON_TRADING_ENTRY")
-        .when(~out_ok, "NON_TRADING_EXIT")
-        .otherwise("")
-    )
-    return df.select(
-        *KEYS,
-        "label_name",
-        "horizon_bars",
-        F.lit(float(cost_bps)).alias("round_trip_cost_bps"),
-        F.col("timestamp").alias("entry_time"),
-        exit_time.alias("exit_time"),
-        entry.alias("entry_price"),
-        leave.alias("exit_price"),
-        gross.alias("gross_return"),
-        net.alias("net_return"),
-        net.alias("label_value"),
-        F.coalesce(valid, F.lit(False)).alias("label_is_valid"),
-        flags.alias("label_quality_flags"),
+    return df.select(*KEYS, F.inline("labels"))
+
+
+def explode_labels(factors: DataFrame) -> DataFrame:
+    """Dataset from factor rows that already carry their ``labels`` array."""
+    f = factors.withColumnsRenamed(
+        {"is_valid": "factor_is_valid", "quality_flags": "factor_quality_flags"}
     )
+    keep = [c for c in f.columns if c != "labels"]
+    rows = f.select(*keep, F.inline("labels"))
+    return rows.withColumn("is_valid", F.col("factor_is_valid") & F.col("label_is_valid"))
 
 
 def build_dataset(factors: DataFrame, labels: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +13,10 @@ from tidemark.functions.scalars import bar_minutes
 from tidemark.operators import analytics, portfolio
 from tidemark.operators.combine import CombinationRequest, combine
 from tidemark.operators.factors import DEFAULT, FactorSpec, Registry, compute_factors, factor_rows
-from tidemark.operators.labels import build_dataset, execution_return
+from tidemark.operators.labels import explode_labels
 from tidemark.operators.processing import process
 from tidemark.operators.universe import select_universe, snapshot_at
 from tidemark.session import materialize
-from tidemark.sources.market import between
 
 
 @dataclass(frozen=True)
@@ -72,19 +71,20 @@ def build_research_dataset(
     sources: Mapping[str, DataFrame] | None = None,
     registry: Registry = DEFAULT,
 ) -> DataFrame:
-    """Processed factors joined to zero-cost labels, written once for the analyses that follow.
+    """Processed factors with zero-cost labels, written once for the analyses that follow.
 
-    Label bars reach past the end by the longest horizon; costs are charged on turnover later.
+    Labels come out of the factors' own windows and ride along through the processing, so the whole
+    build shuffles by instrument once and by cross-section once. Costs are charged on turnover later.
     """
     if universe is not None:
         bars = bars.join(universe, ["venue", "instrument_id"], "left_semi")
-    raw = materialize(
-        compute_factors(
-            bars, study.factors, study.bar_type, start=study.start, end=study.end, sources=sources,
-            exposures=study.exposures, registry=registry,
-        )
+    raw = compute_factors(
+        bars, study.factors, study.bar_type, start=study.start, end=study.end, sources=sources,
+        exposures=study.exposures, registry=registry, horizons=study.horizons,
     )
     slots = int((study.end - study.start).total_seconds() // (60 * bar_minutes(study.bar_type))) + 1
+    if study.exposures:
+        raw = materialize(raw)
     cleaned = process(
         factor_rows(raw),
         outlier=study.outlier,
@@ -93,13 +93,7 @@ def build_research_dataset(
         exposure_names=study.exposures,
         max_rows=slots,
     )
-    minutes = bar_minutes(study.bar_type)
-    until = study.end + timedelta(minutes=minutes * max(study.horizons))
-    label_bars = between(bars, study.start, until)
-    labels = execution_return(
-        label_bars, study.horizons, study.bar_type, max_rows=slots + max(study.horizons) + 1
-    )
-    return materialize(build_dataset(cleaned, labels))
+    return materialize(explode_labels(cleaned))
 
 
 def factor_experiment(bars: DataFrame, study: Study, **kw) -> dict[str, DataFrame]:

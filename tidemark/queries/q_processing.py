@@ -96,13 +96,12 @@ ds AS (
 
 def dataset(spark: SparkSession, sf: str, panel: str = "user", horizons=(1, 2), cost: float = 0.0):
     """Unprocessed factors with labels, written once because several passes follow."""
-    b = materialize(bars(spark, sf, panel))
-    raw = raw_factors(spark, sf, panel, b)
-    cleaned = processing.final_validity(processing.mark_non_finite(raw))
-    lab = labels.execution_return(
-        b, horizons, PANELS[panel].bar, cost_bps=cost, max_rows=series_rows(spark, sf, panel)
+    raw = compute_factors(
+        bars(spark, sf, panel), SPECS, PANELS[panel].bar, max_rows=series_rows(spark, sf, panel),
+        horizons=horizons, cost_bps=cost,
     )
-    return materialize(labels.build_dataset(cleaned, lab))
+    cleaned = processing.final_validity(processing.mark_non_finite(factor_rows(raw)))
+    return materialize(labels.explode_labels(cleaned))
 
 
 # -- cleaning ------------------------------------------------------------------------------
@@ -380,6 +379,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _ds_show(dataset(spark, sf))
 
 
+@query("research_dataset_by_join", final(dataset_sql(), "ds", **_DS_OUT))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = series_rows(spark, sf)
+    b = materialize(bars(spark, sf))
+    cleaned = processing.process(raw_factors(spark, sf, "user", b), bounded=True)
+    lab = labels.execution_return(b, (1, 2), "1d", max_rows=rows)
+    return _ds_show(labels.build_dataset(cleaned, lab))
+
+
 @query("dataset_valid_rows", final(dataset_sql(), "ds", where="valid", **_DS_OUT))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _ds_show(labels.valid_rows(dataset(spark, sf)))

@@ -16,6 +16,8 @@ def local_session(cpus: str | int = "*", app: str = "tidemark") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", parts)
         .config("spark.sql.adaptive.enabled", "true")
+        # Small local inputs still use every core.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
