@@ -206,17 +206,18 @@ def average_rank(
 
     ``size`` names a column for the number of ranked rows in the group (null on null values).
     """
-    present = F.col(value).isNotNull()
-    n = size or "_size"
     if bounded is None:
         bounded = fits(df, keys, task_rows)
+    n = size or "_size"
+    if bounded:
+        # Nulls sort last and so do not move the others; ranks on one key set share a shuffle.
+        return _ranked(df, keys, value, n).withColumn(
+            out, (F.col("_first") + F.col("_last")) / F.lit(2.0)
+        ).drop("_first", "_last", *([] if size else ["_size"]))
     # Null values take part as a group of their own and are blanked afterwards.
+    present = F.col(value).isNotNull()
     ranked = tie_range(
-        df.withColumn("_has", present),
-        [*keys, "_has"],
-        [value],
-        size=n,
-        bounded=bounded,
+        df.withColumn("_has", present), [*keys, "_has"], [value], size=n, bounded=False,
         task_rows=task_rows,
     )
     ranked = ranked.withColumn(
@@ -226,6 +227,20 @@ def average_rank(
     return ranked.drop("_first", "_last", "_has", *([] if size else ["_size"]))
 
 
+def _ranked(df: DataFrame, keys: Sequence[str], value: str, size: str) -> DataFrame:
+    """Position range and group size of the non-null values of bounded groups."""
+    w = Window.partitionBy(*keys)
+    o = w.orderBy(F.col(value).asc_nulls_last())
+    has = F.col(value).isNotNull()
+    return df.withColumns(
+        {
+            "_first": F.when(has, F.rank().over(o).cast("long")),
+            "_last": F.when(has, F.count(F.lit(1)).over(o)),
+            size: F.when(has, F.count(F.col(value)).over(w)),
+        }
+    )
+
+
 def _quantile_aggs(value: str, probs: dict[str, float], nearest: Sequence[str]):
     """Aggregates over ranked rows, and the quantile expressions built from them."""
     n = F.max("_size")
@@ -290,11 +305,7 @@ def with_quantiles(
             df, keys, value, probs, nearest=nearest, bounded=False, task_rows=task_rows
         )
         return df.join(table, keys, "left")
-    ranked = tie_range(
-        df.withColumn("_has", F.col(value).isNotNull()), [*keys, "_has"], [value], bounded=True
-    )
-    for c in ("_first", "_last", "_size"):
-        ranked = ranked.withColumn(c, F.when(F.col("_has"), F.col(c)))
+    ranked = _ranked(df, keys, value, "_size")
     aggs, outs = _quantile_aggs(value, probs, nearest)
     w = Window.partitionBy(*keys)
     staged = ranked.withColumns({n: c.over(w) for n, c in aggs.items()})
