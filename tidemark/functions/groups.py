@@ -5,14 +5,15 @@ rows, so a plain ``Window.partitionBy(group)`` would put them into one task. Her
 ``TASK_ROWS`` is cut into ordered slices first:
 
 1. one counting aggregate finds the hot groups;
-2. for those only, a deterministic sample of the order key (the entry with the least hash in each
-   hash class) yields cut points, one per ``TASK_ROWS`` rows;
+2. for those only, a deterministic sample of rows (the one with the least hash in each hash class)
+   yields cut points, one per ``TASK_ROWS`` rows, so a value many rows share becomes a cut point;
 3. rows get their slice number by binary search over the cut points. Rows *equal* to a cut point get
    a slice of their own, whose ranks follow from its count alone, so they may be spread over tasks;
 4. slice counts give each slice its starting position, and ranks inside a slice use a window.
 
-The broadcast tables hold at most ``rows / TASK_ROWS`` entries, whatever the distribution. Cut points
-depend on the data only, never on task order, so a recomputed task agrees with the others.
+The broadcast tables hold at most ``rows / TASK_ROWS`` entries, whatever the distribution. The input is
+written out first and rows are hashed by their place in the files, so equal rows differ and a
+recomputed task agrees with the others.
 
 Every function takes ``bounded``: True when the caller knows that no group exceeds ``TASK_ROWS`` (a
 requested list of instruments, a check made once for a whole pipeline), False for the sliced way,
@@ -57,9 +58,14 @@ def _search(cuts: Column, probe: Column) -> Column:
 def slice_hot(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], task_rows: int | None = None
 ) -> DataFrame:
-    """Add ``_slice`` (0 for ordinary groups, order-preserving otherwise), ``_tie`` and ``_salt``."""
+    """Add ``_slice`` (0 for ordinary groups, order-preserving otherwise), ``_tie`` and ``_salt``.
+
+    The rows come from a table written for this purpose, see the module notes.
+    """
     keys, order = list(keys), list(order)
     task_rows = task_rows or TASK_ROWS
+    place = F.xxhash64(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    df = materialize(df).withColumn("_row", place)
     hot = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -67,15 +73,13 @@ def slice_hot(
         .select(*keys, F.ceil(F.col("_rows") / F.lit(task_rows)).cast("int").alias("_parts"))
     )
     probe = F.struct(*[F.col(c) for c in order])
-    hashed = F.xxhash64(*[F.col(c) for c in order])
     sample = (
-        df.select(*keys, *_missing(order, keys))
+        df.select(*keys, *_missing(order, keys), "_row")
         .join(F.broadcast(hot), keys)
-        .withColumn("_h", hashed)
-        .groupBy(*keys, "_parts", F.pmod("_h", F.col("_parts") * _SAMPLES_PER_SLICE).alias("_c"))
-        .agg(F.min_by(probe, F.col("_h")).alias("_p"))
+        .groupBy(*keys, "_parts", F.pmod("_row", F.col("_parts") * _SAMPLES_PER_SLICE).alias("_c"))
+        .agg(F.min_by(probe, F.col("_row")).alias("_p"))
     )
-    picked = F.array_sort(F.collect_set("_p"))
+    picked = F.array_sort(F.collect_list("_p"))
     cuts = (
         sample.groupBy(*keys, "_parts")
         .agg(picked.alias("_all"))
@@ -111,12 +115,9 @@ def slice_hot(
         )
         .withColumn(
             "_salt",
-            F.when(
-                F.col("_tie"),
-                F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.col("_parts")),
-            ).otherwise(F.lit(0)),
+            F.when(F.col("_tie"), F.pmod("_row", F.col("_parts"))).otherwise(F.lit(0)),
         )
-        .drop("_cuts", "_below")
+        .drop("_cuts", "_below", "_row")
     )
 
 
@@ -152,8 +153,7 @@ def tie_range(
                 size: F.count(F.lit(1)).over(w),
             }
         )
-    # The slicing passes read their input several times.
-    cut = slice_hot(materialize(df), keys, order, task_rows)
+    cut = slice_hot(df, keys, order, task_rows)
     part = [*keys, "_slice", "_salt"]
     w = Window.partitionBy(*part)
     o = w.orderBy(*order)
