@@ -75,6 +75,14 @@ def test_positions_with_tie_break(skewed):
     pd.testing.assert_frame_equal(a[["id", "p", "_size"]], b[["id", "p", "_size"]])
 
 
+def test_running_totals_both_ways(skewed):
+    x = {"s": F.col("v"), "n": F.lit(1)}
+    a = frame(groups.running_totals(skewed, ["g"], ["id"], x, bounded=True))
+    b = frame(groups.running_totals(skewed, ["g"], ["id"], x, bounded=False, task_rows=60))
+    np.testing.assert_allclose(a["s"], b["s"], rtol=1e-9)
+    np.testing.assert_array_equal(a["n"], b["n"])
+
+
 def test_latest_row_ignores_input_order(spark):
     rows = [("a", 1, "x"), ("a", 3, "y"), ("a", 3, "z"), ("b", 2, None)]
     for seed in range(3):

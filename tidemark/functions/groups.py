@@ -332,6 +332,47 @@ def with_group_stats(
     return df.join(small, keys, "left")
 
 
+def running_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    totals: dict[str, Column],
+    *,
+    bounded: bool | None = None,
+    task_rows: int | None = None,
+) -> DataFrame:
+    """Running sums per group in ``order``, which must be unique within the group.
+
+    Hot groups add up inside their slices; each slice then starts from the sum of the slices before
+    it, taken from one small row per slice.
+    """
+    keys, order = list(keys), list(order)
+    if bounded is None:
+        bounded = fits(df, keys, task_rows)
+    named = df.withColumns({f"_x_{n}": c for n, c in totals.items()})
+    cut = named if bounded else slice_hot(named, keys, order, task_rows)
+    part = keys if bounded else [*keys, "_slice"]
+    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = cut.withColumns({n: F.sum(f"_x_{n}").over(w) for n in totals})
+    if not bounded:
+        before = (
+            Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        )
+        sums = cut.where(F.col("_parts").isNotNull()).groupBy(*part).agg(
+            *[F.sum(f"_x_{n}").alias(f"_s_{n}") for n in totals]
+        )
+        starts = sums.select(*part, *[F.sum(f"_s_{n}").over(before).alias(f"_b_{n}") for n in totals])
+        rows = rows.join(F.broadcast(starts), part, "left")
+        # A sum stays null only while neither part has seen a value.
+        rows = rows.withColumns(
+            {
+                n: F.coalesce(F.col(n) + F.col(f"_b_{n}"), F.col(n), F.col(f"_b_{n}"))
+                for n in totals
+            }
+        )
+    return rows.select(*df.columns, *totals)
+
+
 def latest_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep the row with the greatest ``order`` per key.
 

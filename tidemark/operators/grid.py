@@ -117,8 +117,8 @@ def asof_many(
 ) -> DataFrame:
     """Latest row of every source at or before each left time, per ``by``, in one pass.
 
-    All sides are merged in time order and the last row of each source is carried forward. Work is
-    split by (``by``, time chunk). Each chunk starts with the last source rows of earlier chunks,
+    All sides are merged in time order and the last row of each source is carried forward; pass a
+    written table as ``left``, since it is read twice. Work is split by (``by``, time chunk). Each chunk starts with the last source rows of earlier chunks,
     found from one aggregate row per chunk, so a long series is never one task. Reduce sources
     denser than the left grid with ``last_per_slot`` first.
     """

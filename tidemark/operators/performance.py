@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.groups import running_totals
 from tidemark.functions.rolling import Series
 from tidemark.functions.scalars import (
     corr_safe,
@@ -570,25 +571,24 @@ def commission_total(c: str | Column) -> Column:
 
 
 def equity_after_orders(
-    orders: DataFrame, keys: Sequence[str], order: Sequence[str], starting_balance: float
+    orders: DataFrame, keys: Sequence[str], order: Sequence[str], starting_balance: float,
+    *, bounded: bool | None = None,
 ) -> DataFrame:
-    """Cash, position and equity after each filled order, as running sums."""
+    """Cash, position and equity after each filled order, as running sums per account."""
     money = "decimal(38,10)"
     size, price = F.col("filled_qty").try_cast("decimal(18,8)"), F.col("avg_px").try_cast("decimal(18,8)")
     side = F.upper("side")
     filled = side.isin("BUY", "SELL") & size.isNotNull() & price.isNotNull()
     signed = F.when(side == "BUY", size).otherwise(-size)
-    df = orders.withColumns(
-        {
-            "_delta": F.when(filled, signed),
-            "_spent": F.when(filled, (signed * price).cast(money) + commission_total("commissions")),
-        }
-    )
-    s = Series(df, keys, order)
-    cash = F.lit(starting_balance).cast(money) - F.coalesce(s.cumsum("_spent"), F.lit(0).cast(money))
-    position = s.cumsum("_delta").cast("decimal(18,8)")
-    equity = F.when(F.col("_delta").isNotNull(), cash + (position * price).cast(money))
-    return s.build({"equity_after_order": equity.cast(money)}, orders.columns)
+    totals = {
+        "_position": F.when(filled, signed),
+        "_spent": F.when(filled, (signed * price).cast(money) + commission_total("commissions")),
+    }
+    df = running_totals(orders, keys, order, totals, bounded=bounded)
+    cash = F.lit(starting_balance).cast(money) - F.coalesce("_spent", F.lit(0).cast(money))
+    position = F.col("_position").cast("decimal(18,8)")
+    equity = F.when(filled, cash + (position * price).cast(money)).cast(money)
+    return df.withColumn("equity_after_order", equity).select(*orders.columns, "equity_after_order")
 
 
 def bootstrap_monthly(

@@ -195,7 +195,8 @@ def neutralize(
     """
     names, columns = list(names), df.columns
     wide = exposures_wide(exposures, names)
-    joined = df.join(wide, ["venue", "instrument_id", "timestamp"], "left")
+    # Read twice: for the moments and for the residuals.
+    joined = materialize(df.join(wide, ["venue", "instrument_id", "timestamp"], "left"))
     usable = finite("value")
     for n in names:
         usable &= finite(n)

@@ -11,26 +11,38 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import epoch_slot, minutes_interval, shift_time, time_literal
 
 KEYS = ["venue", "instrument_id"]
+BLOCK_SLOTS = 65_536
 
 
 def coverage_intervals(df: DataFrame, minutes: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Maximal runs of consecutive bars as half-open intervals.
 
-    Slots are deduplicated first, so the windows see at most one row per bar of the key.
+    Runs are found within blocks of ``BLOCK_SLOTS`` bar slots, which bounds the rows of a task, and
+    runs that touch across block edges are joined afterwards.
     """
     keys = list(keys)
-    slots = df.groupBy(*keys, "timestamp").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("timestamp")
-    gap = F.timestamp_diff("MINUTE", F.lag("timestamp").over(w), F.col("timestamp"))
-    marked = slots.withColumn("_new", F.when(gap == minutes, 0).otherwise(1))
+    block = epoch_slot("timestamp", minutes * BLOCK_SLOTS).alias("_block")
+    slots = df.select(*keys, "timestamp", block).distinct()
+    slots = slots.select(
+        *keys, "_block", F.col("timestamp").alias("start_time"),
+        (F.col("timestamp") + minutes_interval(minutes)).alias("end_time"), F.lit(1).alias("bars"),
+    )
+    return _join_touching(_join_touching(slots, [*keys, "_block"]).drop("_block"), keys)
+
+
+def _join_touching(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Merge intervals that start where the previous one of their key ends."""
+    w = Window.partitionBy(*keys).orderBy("start_time")
+    touches = F.lag("end_time").over(w) == F.col("start_time")
+    marked = intervals.withColumn("_new", F.when(touches, 0).otherwise(1))
     island = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return (
         marked.withColumn("_island", island)
         .groupBy(*keys, "_island")
         .agg(
-            F.min("timestamp").alias("start_time"),
-            (F.max("timestamp") + minutes_interval(minutes)).alias("end_time"),
-            F.count(F.lit(1)).alias("bars"),
+            F.min("start_time").alias("start_time"),
+            F.max("end_time").alias("end_time"),
+            F.sum("bars").alias("bars"),
         )
         .drop("_island")
     )

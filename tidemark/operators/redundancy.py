@@ -191,6 +191,7 @@ def clusters(correlations: DataFrame, overall: DataFrame, threshold: float = 0.8
     row per factor or pair, so a round costs little, and each round is written out to keep the plan
     short.
     """
+    correlations = materialize(correlations)
     pairs = materialize(
         correlations.where(F.col("factor_left") != F.col("factor_right")).select(
             "factor_left", "factor_right", F.abs("correlation").alias("strength")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.groups import tie_range
 from tidemark.functions.rolling import Series, over_series
 from tidemark.functions.scalars import minutes_interval, time_literal
+from tidemark.session import materialize
 from tidemark.sources.schemas import TABLES
 
 KEYS = ["venue", "instrument_id"]
@@ -220,10 +221,13 @@ def rolling_universe(
     scored = over_series(
         bars, keys, ["timestamp"], trailing, lookback=lookback + 1, max_rows=max_rows
     )
-    ranked = tie_range(
+    scored = materialize(
         scored.where(F.col("trailing_volume").isNotNull()).withColumn(
             "_sort", -F.col("trailing_volume")
-        ),
+        )
+    )
+    ranked = tie_range(
+        scored,
         ["timestamp"],
         ["_sort", "instrument_id"],
         first="volume_rank",
