@@ -71,6 +71,14 @@ def compare(spark, con, query, sf_dir: str) -> str:
         return f"rows {len(got)} != {len(want)}; {extra}"
     if not got:
         return "no rows"
+    kinds = [
+        (n, type(a), type(b))
+        for g, w in zip(got[:200], want[:200], strict=True)
+        for n, a, b in zip(got_names, g, w, strict=True)
+        if a is not None and b is not None and type(a) is not type(b)
+    ]
+    if kinds:
+        return f"types differ: {kinds[0]}"
     bad = [(g, w) for g, w in zip(got, want, strict=True) if g != w]
     if not bad:
         return ""

@@ -100,5 +100,15 @@ def test_group_betas_match_least_squares(spark):
     row = group_betas(df, ["g"], ["x1", "x2"], "y").first()
     want = np.linalg.lstsq(np.column_stack([np.ones(200), x]), y, rcond=None)[0]
     np.testing.assert_allclose([row.b0, row.b1, row.b2], want, rtol=1e-6)
+    fit = np.column_stack([np.ones(200), x]) @ want
+    assert row.r2 == pytest.approx(1 - ((y - fit) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+    single = group_betas(df, ["g"], ["x1"], "y").first()
+    assert single.b1 == pytest.approx(np.polyfit(x[:, 0], y, 1)[0])
+    wide = df.withColumn("x3", F.sin("x1"))
+    three = group_betas(wide, ["g"], ["x1", "x2", "x3"], "y").first()
+    full = np.column_stack([np.ones(200), x, np.sin(x[:, 0])])
+    np.testing.assert_allclose(
+        [three.b0, three.b1, three.b2, three.b3], np.linalg.lstsq(full, y, rcond=None)[0], rtol=1e-5
+    )
     flat = df.withColumn("x2", F.lit(1.0))
     assert group_betas(flat, ["g"], ["x1", "x2"], "y").count() == 0

@@ -184,3 +184,33 @@ def test_report_tables(spark):
     counts = {n: t.count() for n, t in tables.items()}
     assert counts["ic_summary"] == 2 and counts["factor_correlation"] == 3
     assert np.all([c > 0 for c in counts.values()])
+
+
+def test_study_neutralizes_and_labels(spark):
+    from conftest import BARS, candles
+    from tidemark.operators.factors import FactorSpec
+    from tidemark.plans.experiments import Study, factor_experiment
+
+    rng = np.random.default_rng(8)
+    bars = None
+    for i in range(8):
+        one = candles(
+            spark, 100 + np.cumsum(rng.normal(size=60)), quote=list(rng.uniform(10, 90, 60)), name=f"I{i}"
+        )
+        bars = one if bars is None else bars.unionByName(one)
+    assert BARS.startswith("venue")
+    study = Study(
+        (FactorSpec("momentum", {"lookback": 2}), FactorSpec("turnover", {"period": 3})), "1h",
+        hours(60)[10], hours(60)[50], horizons=(1, 2), exposures=("turnover",),
+    )
+    tables = factor_experiment(bars, study)
+    ds = tables["dataset"].where("horizon_bars = 1")
+    assert ds.groupBy("factor_name").count().count() == 2
+    assert ds.agg(F.min("timestamp")).first()[0] == hours(60)[10]
+    left = ds.alias("a").where("factor_key = 'momentum'").select("instrument_id", "timestamp", "value")
+    size = ds.where("factor_key = 'turnover'").select("instrument_id", "timestamp", "raw_value")
+    rest = left.join(size, ["instrument_id", "timestamp"]).groupBy("timestamp").agg(
+        F.abs(F.covar_pop("value", "raw_value")).alias("c")
+    )
+    assert rest.agg(F.max("c")).first()[0] < 1e-9
+    assert tables["ic_summary"].count() > 0

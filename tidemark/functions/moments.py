@@ -97,6 +97,42 @@ def solve_rows(
     return moments.select(*keys, F.inline(run(*[F.col(a) for a in args])))
 
 
+def _closed_form(
+    moments: DataFrame, keys: Sequence[str], k: int, ridge: float, min_rows: int
+) -> DataFrame:
+    """One or two regressors as plain columns, without a Python worker."""
+    n, y = F.col("n"), k
+    cov = {(i, j): F.col(f"c{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)}
+    a, p = n * cov[0, 0] + ridge, n * cov[0, y]
+    if k == 1:
+        sound = F.abs(a) >= PIVOT_FLOOR
+        beta = [F.try_divide(p, a)]
+        fitted = beta[0] * beta[0] * cov[0, 0]
+    else:
+        b, d, q = n * cov[0, 1], n * cov[1, 1] + ridge, n * cov[1, y]
+        det, first = a * d - b * b, F.greatest(F.abs(a), F.abs(b))
+        sound = (first >= PIVOT_FLOOR) & (F.abs(det) >= PIVOT_FLOOR * first)
+        beta = [F.try_divide(p * d - q * b, det), F.try_divide(q * a - p * b, det)]
+        fitted = (
+            beta[0] * beta[0] * cov[0, 0]
+            + 2 * beta[0] * beta[1] * cov[0, 1]
+            + beta[1] * beta[1] * cov[1, 1]
+        )
+    cross, start = F.lit(0.0), F.col(f"m{y}")
+    for i, one in enumerate(beta):
+        cross = cross + one * cov[i, y]
+        start = start - one * F.col(f"m{i}")
+    rest = cov[y, y] - 2 * cross + fitted
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.try_divide(rest, cov[y, y])))
+    return moments.where((n >= min_rows) & sound).select(
+        *keys,
+        n.cast("long").alias("rows"),
+        F.when(n * cov[y, y] > 1e-24, share).alias("r2"),
+        start.alias("b0"),
+        *[one.alias(f"b{i + 1}") for i, one in enumerate(beta)],
+    )
+
+
 def group_betas(
     df: DataFrame,
     keys: Sequence[str],
@@ -110,6 +146,8 @@ def group_betas(
     aggs = moment_aggs([*xs, y])
     moments = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
     k = len(xs)
+    if k <= 2:
+        return _closed_form(moments, keys, k, ridge, min_rows)
 
     def fit(rec: dict) -> list[list]:
         n, means, cov = unpack(rec, k + 1)

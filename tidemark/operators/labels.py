@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.groups import latest_row, tie_range, with_group_stats
+from tidemark.functions.groups import fits, latest_row, tie_range, with_group_stats
 from tidemark.functions.rolling import Series, over_series
 from tidemark.functions.scalars import (
     bar_minutes,
@@ -121,7 +121,7 @@ def explode_labels(factors: DataFrame) -> DataFrame:
     f = factors.withColumnsRenamed(
         {"is_valid": "factor_is_valid", "quality_flags": "factor_quality_flags"}
     )
-    keep = [c for c in f.columns if c != "labels"]
+    keep = [c for c in f.columns if c not in ("labels", "exposures")]
     rows = f.select(*keep, F.inline("labels"))
     return rows.withColumn("is_valid", F.col("factor_is_valid") & F.col("label_is_valid"))
 
@@ -203,22 +203,33 @@ def funding_returns(
 
 
 def cross_section_quantile(
-    df: DataFrame, value: str, quantiles: int, out: str = "quantile", *, by: Sequence[str] = ("timestamp",)
+    df: DataFrame, value: str, quantiles: int, out: str = "quantile", *,
+    by: Sequence[str] = ("timestamp",), bounded: bool | None = None,
 ) -> DataFrame:
     """Ordinal rank per time mapped to 1..Q by ceil(rank * Q / n); nulls stay unranked."""
+    if bounded is None:
+        bounded = fits(df, by)
+    bucket = F.ceil(F.col("_r") * F.lit(quantiles) / F.col("_size")).cast("int")
+    if bounded:
+        w = Window.partitionBy(*by)
+        o = w.orderBy(F.col(value).asc_nulls_last(), "instrument_id")
+        seen = df.withColumns({"_r": F.row_number().over(o), "_size": F.count(value).over(w)})
+        found = F.when(F.col(value).isNotNull(), bucket)
+        return seen.withColumn(out, found).drop("_r", "_size")
     ranked = tie_range(
-        df.where(F.col(value).isNotNull()), by, [value, "instrument_id"], first="_r"
+        df.where(F.col(value).isNotNull()), by, [value, "instrument_id"], first="_r", bounded=False
     )
-    bucket = F.ceil(F.col("_r") * F.lit(quantiles) / F.col("_size")).cast("int")
     kept = ranked.withColumn(out, bucket).drop("_r", "_last", "_size")
     empty = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("int"))
     return kept.unionByName(empty)
 
 
-def demean_zscore(df: DataFrame, value: str, by: Sequence[str] = ("timestamp",)) -> DataFrame:
+def demean_zscore(
+    df: DataFrame, value: str, by: Sequence[str] = ("timestamp",), *, bounded: bool | None = None
+) -> DataFrame:
     """Cross-sectional mean removal and z-score."""
     stats = {"_mean": F.avg(value), "_std": F.stddev_samp(value)}
-    got = with_group_stats(df, by, stats)
+    got = with_group_stats(df, by, stats, bounded=bounded)
     away = F.col(value) - F.col("_mean")
     z = F.when(F.col("_std") > 0, ratio(away, "_std"))
     return got.withColumns({f"{value}_demeaned": away, f"{value}_z": z}).drop("_mean", "_std")

@@ -183,7 +183,7 @@ def exposures_wide(exposures: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def neutralize(
     df: DataFrame,
-    exposures: DataFrame,
+    exposures: DataFrame | None,
     names: Sequence[str],
     *,
     min_observations: int = 5,
@@ -191,12 +191,17 @@ def neutralize(
 ) -> DataFrame:
     """Residuals of ``value`` on raw exposures within each (factor, time) cross-section.
 
-    Only moment sums per cross-section are gathered; the coefficients come back by a join.
+    Exposures come from a tall table, or (None) from the struct the factor rows carry, which needs no
+    join. Only moments per cross-section are gathered; the coefficients come back by a join.
     """
     names, columns = list(names), df.columns
-    wide = exposures_wide(exposures, names)
+    if exposures is None:
+        joined = df.withColumns({n: F.col(f"exposures.`{n}`") for n in names})
+    else:
+        wide = exposures_wide(exposures, names)
+        joined = df.join(wide, ["venue", "instrument_id", "timestamp"], "left")
     # Read twice: for the moments and for the residuals.
-    joined = materialize(df.join(wide, ["venue", "instrument_id", "timestamp"], "left"))
+    joined = materialize(joined)
     usable = finite("value")
     for n in names:
         usable &= finite(n)
@@ -236,7 +241,8 @@ def process(
 ) -> DataFrame:
     """Outliers, then standardization, then neutralization, then the final validity."""
     df = mark_non_finite(raw)
-    if bounded is None:
+    steps = [s for s in (outlier, standard) if s and s.get("method") != "none"]
+    if bounded is None and any(s.get("scope", "cross_sectional") == "cross_sectional" for s in steps):
         # Group sizes stay the same through all steps, so one check serves them.
         df = materialize(df)
         bounded = fits(df, CROSS_KEYS)
@@ -246,7 +252,7 @@ def process(
     if standard:
         df = standardize(df, **standard, **both)
     if exposure_names:
-        if exposures is None:
+        if exposures is None and "exposures" not in df.columns:
             raise ValueError("neutralization needs exposures")
         df = neutralize(df, exposures, exposure_names, **(neutral or {}))
     return final_validity(df)

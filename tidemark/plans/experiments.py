@@ -83,13 +83,10 @@ def build_research_dataset(
         exposures=study.exposures, registry=registry, horizons=study.horizons,
     )
     slots = int((study.end - study.start).total_seconds() // (60 * bar_minutes(study.bar_type))) + 1
-    if study.exposures:
-        raw = materialize(raw)
     cleaned = process(
         factor_rows(raw),
         outlier=study.outlier,
         standard=study.standard,
-        exposures=raw.where(F.col("factor_key").isin(list(study.exposures))),
         exposure_names=study.exposures,
         max_rows=slots,
     )

@@ -297,15 +297,36 @@ r AS (SELECT j.*, CASE WHEN ok THEN raw_value - (my + b1 * (turn - m1) + b2 * (b
   s.n IS NOT NULL AS solved FROM j LEFT JOIN s USING (factor_name, t))"""
 
 
-@query(
-    "neutralize_two_exposures",
-    final(
-        _NEUTRAL, "r", d="raw_value; value=v",
-        o="instrument_id; timestamp=t; factor_name; quality_flags=CASE WHEN raw_value IS NULL AND NOT solved "
-        "THEN 'NON_FINITE_RAW_VALUE|NEUTRALIZATION_FAILED' WHEN raw_value IS NULL THEN 'NON_FINITE_RAW_VALUE' "
-        "WHEN v IS NULL THEN 'NEUTRALIZATION_FAILED' ELSE '' END",
-    ),
+_NEUTRAL_OUT = dict(
+    d="raw_value; value=v",
+    o="instrument_id; timestamp=t; factor_name; quality_flags=CASE WHEN raw_value IS NULL AND NOT solved "
+    "THEN 'NON_FINITE_RAW_VALUE|NEUTRALIZATION_FAILED' WHEN raw_value IS NULL THEN 'NON_FINITE_RAW_VALUE' "
+    "WHEN v IS NULL THEN 'NEUTRALIZATION_FAILED' ELSE '' END",
 )
+
+
+def _neutral_show(df: DataFrame) -> DataFrame:
+    return df.select(
+        "instrument_id", "timestamp", "factor_name", "raw_value", "value", "quality_flags"
+    )
+
+
+@query("neutralize_two_exposures", final(_NEUTRAL, "r", **_NEUTRAL_OUT))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = series_rows(spark, sf)
+    sources = {"contract_basis": derivative_sources(spark, sf)["contract_basis"]}
+    raw = compute_factors(
+        bars(spark, sf), SPECS, "1d", sources=sources, exposures=["turnover", "basis"], max_rows=rows
+    )
+    targets = factor_rows(raw).where(F.col("factor_key").isin("momentum", "ma_spread"))
+    return _neutral_show(
+        processing.process(
+            targets, exposure_names=["turnover", "basis"], neutral={"min_observations": 10}
+        )
+    )
+
+
+@query("neutralize_exposure_table", final(_NEUTRAL, "r", **_NEUTRAL_OUT))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = series_rows(spark, sf)
     sources = {"contract_basis": derivative_sources(spark, sf)["contract_basis"]}
@@ -316,12 +337,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
     exposed = raw.where(F.col("factor_key").isin("turnover", "basis"))
     targets = factor_rows(raw).where(F.col("factor_key").isin("momentum", "ma_spread"))
-    done = processing.process(
-        targets, exposures=exposed, exposure_names=["turnover", "basis"],
-        neutral={"min_observations": 10},
-    )
-    return done.select(
-        "instrument_id", "timestamp", "factor_name", "raw_value", "value", "quality_flags"
+    return _neutral_show(
+        processing.process(
+            targets, exposures=exposed, exposure_names=["turnover", "basis"],
+            neutral={"min_observations": 10},
+        )
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.groups import fits
 from tidemark.operators import factors as fac
 from tidemark.operators import labels, reports, universe
 from tidemark.queries.base import KEYS, bars, bars_sql, final, lag, over, query, roll, series_rows, staged
@@ -75,13 +76,15 @@ def full_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def analysis_panel(spark: SparkSession, sf: str) -> DataFrame:
-    df = materialize(full_panel(spark, sf)).where("return_is_valid AND in_universe")
-    df = labels.demean_zscore(materialize(df), RETURNS).withColumnRenamed(f"{RETURNS}_demeaned", "demeaned")
+    df = materialize(full_panel(spark, sf).where("return_is_valid AND in_universe"))
+    # One check of the cross-section sizes serves all steps.
+    kw = {"bounded": fits(df, ["timestamp"])}
+    df = labels.demean_zscore(df, RETURNS, **kw).withColumnRenamed(f"{RETURNS}_demeaned", "demeaned")
     df = df.drop(f"{RETURNS}_z")
     for name in ("momo", "carry"):
-        df = labels.demean_zscore(materialize(df), name).drop(f"{name}_demeaned")
+        df = labels.demean_zscore(df, name, **kw).drop(f"{name}_demeaned")
         df = df.withColumnRenamed(f"{name}_z", f"z_{name}")
-        df = labels.cross_section_quantile(materialize(df), name, QUANTILES, f"quantile_{name}")
+        df = labels.cross_section_quantile(df, name, QUANTILES, f"quantile_{name}", **kw)
     return materialize(df)
 
 
