@@ -461,12 +461,20 @@ def compare(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "variant_comparison",
     final(
-        COMPARE, "vc", d="; ".join(f"{s}_{c}={s}_{c}" for s in ("full", "train", "test") for c in _COLS if c != "trades"),
+        COMPARE, "vc",
+        d="; ".join(
+            f"{s}_log_growth=ln(1 + {s}_cagr_pct / 100)" if c == "cagr_pct" else f"{s}_{c}={s}_{c}"
+            for s in ("full", "train", "test") for c in _COLS if c != "trades"
+        ),
         i="full_trades=full_trades; train_trades=train_trades; test_trades=test_trades", o="variant; instrument_id",
     ),
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return compare(spark, sf).drop("train_score", "test_score")
+    # Two weeks annualize to twelve digits before the point; logs compare across engines.
+    df = compare(spark, sf).drop("train_score", "test_score")
+    for s in ("full", "train", "test"):
+        df = df.withColumn(f"{s}_log_growth", F.log1p(F.col(f"{s}_cagr_pct") / 100)).drop(f"{s}_cagr_pct")
+    return df
 
 
 @query(
