@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Folders made for local sessions that name none, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def local_session(cpus: str | int = "*", app: str = "tidemark") -> SparkSession:
     """A single-JVM session for tests and the benchmark."""
     parts = "8" if cpus == "*" else str(cpus)
@@ -39,9 +43,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL_FOLDERS[app]
 
 
 def materialize(df: DataFrame) -> DataFrame:
