@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.rolling import slots_between
 from tidemark.functions.scalars import tidy
 from tidemark.operators.grid import bars_from_ticks
+from tidemark.session import ship_package
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)
             return tidy(fn(spark, sf_dir))
 
         REGISTRY[name] = Query(name, run, sql)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 # Folders made for local sessions that name none, by application.
 _LOCAL_FOLDERS: dict[str, str] = {}
+# Applications whose executors have the package.
+_SHIPPED: set[str] = set()
 
 
 def local_session(cpus: str | int = "*", app: str = "tidemark") -> SparkSession:
@@ -49,6 +53,25 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Functions that run in Python workers are pickled by module name, so the workers must be able to
+    import the package even where only the driver has it on its path.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():  # else the package already came as an archive
+        target = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+            for path in sorted(root.rglob("*.py")):
+                out.write(path, path.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
