@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, packing, repair
+from tidemark.llm import ann, html_text, mixing, neardup, packing, pii, quality, repair, toxicity, vecdup
 from tidemark.session import shared_folder, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,26 @@ def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
 
 
+@query("op2_crf_toxicity")
+def op2_crf_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxic_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op3_crf_pii")
+def op3_crf_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf, "documents"))
+
+
+@query("op4_ordinal_quality")
+def op4_ordinal_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.graded_texts(table(spark, sf, "documents"), quality.ratings(table(spark, sf, "labels")))
+
+
+@query("op5_layout_text")
+def op5_layout_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.visible_text(table(spark, sf, "pages"))
+
+
 @query("op6_pareto_mix")
 def op6_pareto_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.pareto_mix(table(spark, sf, "documents"))
@@ -48,3 +68,19 @@ def op7_repair_shards(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
     repair.encode_shards(table(spark, sf, "documents"), path)
     return repair.read_shards(spark, path)
+
+
+@query("op8_weighted_minhash")
+def op8_weighted_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op9_adaptive_scan")
+def op9_adaptive_scan(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
+@query("op10_sorted_projections")
+def op10_sorted_projections(spark: SparkSession, sf: str) -> DataFrame:
+    return vecdup.near_vectors(table(spark, sf, "embeddings"))
