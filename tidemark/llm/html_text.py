@@ -136,7 +136,10 @@ class TreeBuilder(HTMLParser):
             bounds = frozenset(("table",))
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
-                del self.stack[i:]
+                if tag not in BLOCKS and any(n.tag in BLOCKS for n in self.stack[i + 1 :]):
+                    del self.stack[i]  # an inline element ends alone: the blocks opened in it stay open
+                else:
+                    del self.stack[i:]
                 return
             if self.stack[i].tag in bounds:
                 return

@@ -25,6 +25,9 @@ WINDOWS = 12_000
 WORDS_KEPT = 200_000
 LEAST_G2 = 18.0
 FLAG = 0.5
+FAINT = 0.05
+# Log-odds of a cell the sample has not shown: such words are likelier clean.
+UNSEEN = -0.5
 THRESHOLD = 0.3
 
 
@@ -71,11 +74,16 @@ class ToxicCrf:
 
 
 def gathered(p: np.ndarray) -> np.ndarray:
-    """What a document's marginals say: constant, largest, expected number, expected share."""
+    """What a document's marginals say: constant, largest, expected number, expected share.
+
+    Marginals under ``FAINT`` are left out of the sums: in a long clean text they would add up.
+    """
+    words = len(p)
+    p = p[p >= FAINT]
     if not len(p):
         return np.array([1.0, 0.0, 0.0, 0.0])
     total = float(p.sum())
-    return np.array([1.0, float(p.max()), np.log1p(total), total / (len(p) + 10.0)])
+    return np.array([1.0, float(p.max()), np.log1p(total), total / (words + 10.0)])
 
 
 def chain_marginals(odds: list[np.ndarray], moves: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
@@ -275,7 +283,7 @@ def fit_chain(
             mean[i] = 0.9 * mean[i] + 0.1 * g[i]
             var[i] = 0.99 * var[i] + 0.01 * g[i] * g[i]
             theta[i] = theta[i] - rate * (mean[i] / (1 - 0.9**step)) / (np.sqrt(var[i] / (1 - 0.99**step)) + 1e-8)
-    weights = np.zeros(CELLS, np.float32)
+    weights = np.full(CELLS, UNSEEN, np.float32)
     weights[cells] = theta[0]
     return ToxicCrf(weights, float(theta[1]), theta[2], np.zeros(4))
 
