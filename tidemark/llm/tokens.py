@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
-WORDS_KEPT = 150_000
+WORDS_KEPT = 300_000
 LONGEST_KEPT = 48
 _LOOSE = ".,!?;:"
+# Letters that lower-casing and composing leave as they are, in one piece to any splitter by letters.
+_PLAIN = re.compile("[a-zà-öø-ÿ]+")
+_PROBES = ("the", "tionheast", "naïve", "über", "éçment", "señorzzq", "x", "straße", "abcdefghijklmnopqrstuvwxyz")
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 up."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
 class WordIds(dict):
@@ -16,7 +27,8 @@ class WordIds(dict):
 
     For a tokenizer that drops white space and never joins across it, the ids of a text are those of
     its words put together. Words come from the tokenizer once and are kept up to a bounded number; a
-    mark at the end of a word is a token run of its own and looked up apart.
+    mark at the end of a word is a token run of its own and looked up apart. Words of plain lower-case
+    letters go straight to the tokenizer's model, if that gives the whole tokenizer's ids on probes.
     """
 
     def __init__(self, path: str) -> None:
@@ -25,7 +37,18 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.cores: dict[str, bytes] = {}
+        self.direct = all(self._by_model(w) == self._whole(w) for w in _PROBES)
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _by_model(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
 
     def text(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
@@ -34,7 +57,7 @@ class WordIds(dict):
         key = word.lower() if word.isascii() and "<|" not in word else word
         ids = self.cores.get(key)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(key, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self._by_model(key) if self.direct and _PLAIN.fullmatch(key) else self._whole(key)
             if len(key) <= LONGEST_KEPT:
                 if len(self.cores) >= WORDS_KEPT:
                     self.cores.clear()
