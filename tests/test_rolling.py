@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import candles
-from tidemark.functions.rolling import Series, over_series
-from tidemark.operators.factors import FactorSpec, factor_columns
+from tidemark.functions.rolling import FRAME_ROWS, Series, over_series
+from tidemark.operators.factors import DEFAULT, Factor, FactorSpec, Registry, factor_columns, factor_history
 from tidemark.operators.grid import asof_backward
 
 
@@ -67,25 +67,107 @@ def test_ewm_with_inner_gaps(spark):
 def test_long_series_cut_into_runs_gives_the_same(spark, walk):
     df, _ = walk
 
-    def fn(frame, keys):
-        s = Series(frame, keys, ["t"])
-        return s.build({"m": s.mean("x", 20), "nxt": s.lead("x", 2), "lo": s.min("x", 7)})
+    def make(s):
+        event = s.add(F.when(F.col("t") % 150 == 7, F.col("t")))
+        return {
+            "m": s.mean("x", 20), "nxt": s.lead("x", 2), "lo": s.min("x", 7), "wide": s.std("x", 90, 3),
+            "last": s.fill(event), "never": s.fill(s.add(F.when(F.col("t") < 0, F.col("t")))),
+            "y": s.ewm("x", 0.3), "z": s.ewm_adjusted("x", 0.2), "deep": s.lag(s.mean(s.diff("x", 3), 70), 2),
+        }
 
-    whole = fn(df, ["k"]).orderBy("t").toPandas()
-    cut = over_series(df, ["k"], ["t"], fn, lookback=19, lookahead=2, task_rows=37)
-    assert cut.rdd.getNumPartitions() >= 1
-    pd.testing.assert_frame_equal(whole, cut.orderBy("t").toPandas()[whole.columns])
+    whole = over_series(df, ["k"], ["t"], make, max_rows=700).orderBy("t").toPandas()
+    cut = over_series(df, ["k"], ["t"], make, task_rows=37)
+    pd.testing.assert_frame_equal(whole, cut.orderBy("t").toPandas()[whole.columns], rtol=1e-9)
 
 
-def test_factors_same_on_cut_series(spark, monkeypatch):
+def test_series_with_a_running_sum_is_not_cut(spark, walk):
+    df, pdf = walk
+    got = over_series(df, ["k"], ["t"], lambda s: {"c": s.cumsum("x")}, task_rows=37)
+    np.testing.assert_allclose(column(got, "c")[5:], pdf["x"].cumsum()[5:])
+
+
+SOURCES = {
+    "funding_rate": [0.01, None], "realized_rate": [0.02, None], "basis_rate": [0.1, 0.2], "open_interest_usd": [1e6, 2e6],
+    "long_short_ratio": [1.2, 0.8], "market_cap_usd": [1e9, 2e9], "buy_volume": [60.0, 10.0], "sell_volume": [40.0, 20.0],
+    "short_bankruptcy_loss": [1.0, 3.0], "long_bankruptcy_loss": [2.0, 1.0],
+}
+SMALL = {
+    "realized_skewness": {"period": 70}, "realized_kurtosis": {"period": 70},
+    "volume_confirmed_reversal_event": {"normalization_window": 80, "normalization_min_periods": 20, "smoothing_period": 5},
+}
+
+
+@pytest.fixture(scope="module")
+def panel(spark):
     rng = np.random.default_rng(2)
-    bars = candles(spark, 100 + np.cumsum(rng.normal(size=400)))
-    specs = [FactorSpec("atr"), FactorSpec("kdj"), FactorSpec("mean_reversion"), FactorSpec("volume_change")]
-    whole = factor_columns(bars, specs, "1h", max_rows=400).orderBy("timestamp").toPandas()
-    monkeypatch.setattr("tidemark.functions.rolling.TASK_ROWS", 90)
-    cut = factor_columns(bars, specs, "1h", max_rows=400).orderBy("timestamp").toPandas()
-    names = [s.name for s in specs]
-    pd.testing.assert_frame_equal(whole[names], cut[names], rtol=1e-9)
+    bars = candles(spark, 100 + np.cumsum(rng.normal(size=400)), quote=list(1000 + 50 * rng.random(400)))
+    n = F.hour("timestamp") + F.day("timestamp") * 24
+    # Funding is known once, early: a fill has to carry it through every run.
+    values = {c: F.when(n % 3 == 0, F.lit(v[1])).otherwise(F.lit(v[0])) for c, v in SOURCES.items()}
+    values["funding_rate"] = F.when(F.col("timestamp") == F.lit("2024-01-01 05:00:00").cast("timestamp_ntz"), 0.01)
+    return bars.withColumns({c: v.cast("double") for c, v in values.items()})
+
+
+def specs():
+    return [FactorSpec(n, SMALL.get(n, {})) for n in DEFAULT.names()] + [FactorSpec("own_mean")]
+
+
+@pytest.fixture
+def registry():
+    own = Registry([DEFAULT.get(n) for n in DEFAULT.names()])
+    own.register(Factor("own_mean", lambda s, p, bar: s.mean("close", 4)))
+    return own
+
+
+def test_every_factor_is_the_same_whole_and_cut(panel, registry, monkeypatch):
+    whole = factor_columns(panel, specs(), "1h", registry=registry, max_rows=400).orderBy("timestamp").toPandas()
+    monkeypatch.setattr("tidemark.functions.rolling.TASK_ROWS", 45)
+    cut = factor_columns(panel, specs(), "1h", registry=registry).orderBy("timestamp").toPandas()
+    names = [s.name for s in specs()]
+    pd.testing.assert_frame_equal(whole[names], cut[names], rtol=1e-7, atol=1e-10)
+    assert whole["report_carry"].notna().sum() > 300
+
+
+def test_no_factor_looks_ahead(panel, registry):
+    late = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    changed = panel.withColumns(
+        {c: F.when(F.col("timestamp") >= late, F.col(c) * 1000 + 7).otherwise(F.col(c)) for c in ("open", "high", "low", "close", "volume_quote")}
+    )
+    names = [s.name for s in specs()]
+    both = [
+        factor_columns(p, specs(), "1h", registry=registry, max_rows=400).where(F.col("timestamp") < late).orderBy("timestamp").toPandas()[names]
+        for p in (panel, changed)
+    ]
+    pd.testing.assert_frame_equal(*both, rtol=1e-12, atol=0)
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), None])
+def test_moments_on_both_sides_of_the_frame_limit(spark, odd):
+    rng = np.random.default_rng(5)
+    x = [float(v) for v in rng.normal(size=260) * 1e-7]
+    x[199] = 1.0
+    if odd is None or odd == odd:
+        x[90] = odd
+    else:
+        x[90] = odd
+    df = spark.createDataFrame([("a", t, v) for t, v in enumerate(x)], "k string, t int, x double")
+    short, long = FRAME_ROWS, FRAME_ROWS + 1
+    for n in (short, long):
+        s = Series(df, ["k"], ["t"])
+        got = s.build({"s": s.sum("x", n, 1), "m": s.mean("x", n, 1), "d": s.std("x", n, 2)}).orderBy("t").toPandas()
+        for t in (64, 89, 90 + n - 1, 90 + n, 150 + n // 8, 198, 199, 259):
+            window = [v for v in x[max(0, t - n + 1) : t + 1] if v is not None]
+            np.testing.assert_allclose(got["s"][t], np.sum(window), rtol=1e-9, atol=1e-20)
+            np.testing.assert_allclose(got["m"][t], np.mean(window), rtol=1e-9, atol=1e-20)
+            with np.errstate(invalid="ignore"):
+                np.testing.assert_allclose(got["d"][t], np.std(window, ddof=1), rtol=1e-8)
+
+
+def test_no_bound_means_no_history(spark, panel):
+    own = Registry([Factor("running", lambda s, p, bar: s.cumsum("close"))])
+    with pytest.raises(ValueError, match="declare its history"):
+        factor_history(own.get("running"), {}, "1h", panel)
+    assert factor_history(Factor("own", lambda s, p, bar: s.lag(s.mean("close", 4))), {}, "1h", panel) == 4
 
 
 def test_asof_does_not_depend_on_chunks(spark):

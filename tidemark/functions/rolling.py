@@ -3,8 +3,13 @@
 A series is one instrument's rows in time order. ``Series`` collects window columns in stages, so
 that many factors over one panel share a single shuffle and sort, and each stage is one projection.
 
-Rolling sums over more than ``FRAME_ROWS`` rows use running sums minus their own lag: Spark
-recomputes a sliding frame for every row, which costs rows x window.
+Rolling moments over more than ``FRAME_ROWS`` rows are put together from two running aggregates: Spark
+recomputes a sliding frame for every row, which costs rows x window. Rows fall into blocks as long as
+the window, so that a window is the tail of one block and the head of the next. Only rows inside the
+window take part: a later row, or a NaN outside it, changes nothing.
+
+Every staged column knows how many rows it reaches back and ahead; ``over_series`` cuts long series by
+that reach.
 """
 
 from __future__ import annotations
@@ -21,8 +26,10 @@ from tidemark.functions.scalars import ratio
 
 FRAME_ROWS = 64
 FOLD_ROWS = 128
+UNBOUNDED = 1 << 60
 _TINY = 1e-16
 _TEMP = re.compile(r"_t\d+")
+_RUN, _OWN = "_run", "_own"
 
 
 class Series:
@@ -37,65 +44,124 @@ class Series:
         self._stages: list[dict[str, Column]] = []
         self._level: dict[str, int] = {}
         self._seen: dict[str, str] = {}
+        self._back: dict[str, int] = {}
+        self._ahead: dict[str, int] = {}
+        # Columns filled forward, and their inputs: in a cut series they also take what earlier runs saw.
+        self._fills: dict[str, str] = {}
 
     # -- staging ---------------------------------------------------------------------------
-    def add(self, expr: str | Column) -> Column:
-        """Stage an expression after the columns it mentions and return a reference to it."""
+    def add(self, expr: str | Column, back: int | None = None, ahead: int = 0) -> Column:
+        """Stage an expression after the columns it mentions and return a reference to it.
+
+        ``back`` and ``ahead`` are the rows its own window reaches. A window of which nothing is said
+        may reach the whole series.
+        """
         if isinstance(expr, str):
             return F.col(expr)
         text = str(expr)
+        if back is None:
+            back = UNBOUNDED if " OVER (" in text else 0
         if text in self._seen:
             return F.col(self._seen[text])
         name = f"_t{len(self._seen)}"
-        level = 1 + max((self._level[t] for t in _TEMP.findall(text) if t in self._level), default=-1)
+        parts = [t for t in _TEMP.findall(text) if t in self._level]
+        level = 1 + max((self._level[t] for t in parts), default=-1)
         while len(self._stages) <= level:
             self._stages.append({})
         self._stages[level][name] = expr
         self._level[name] = level
         self._seen[text] = name
+        self._back[name] = min(UNBOUNDED, back + max((self._back[t] for t in parts), default=0))
+        self._ahead[name] = min(UNBOUNDED, ahead + max((self._ahead[t] for t in parts), default=0))
         return F.col(name)
 
+    def reach(self) -> tuple[int, int]:
+        """Rows that any staged column reaches back and ahead."""
+        return max(self._back.values(), default=0), max(self._ahead.values(), default=0)
+
     def build(self, outputs: dict[str, Column], keep: Sequence[str] | None = None) -> DataFrame:
         """Apply the staged columns and return ``keep`` (default: all input columns) + outputs."""
         df = self.df
         keep = list(df.columns if keep is None else keep)
         for stage in self._stages:
             df = df.withColumns(stage)
+            filled = [n for n in stage if n in self._fills]
+            if filled and _OWN in df.columns:
+                df = self._carried(df, filled)
         keep = [c for c in keep if c not in outputs]
         return df.select(*keep, *[c.alias(n) for n, c in outputs.items()])
 
+    def _carried(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
+        """Fills of a cut series: where a run has seen no value yet, the last one of the runs before it."""
+        order = F.struct(*[F.col(c) for c in self.order])
+        last = [
+            F.max_by(F.col(self._fills[n]), F.when(F.col(self._fills[n]).isNotNull(), order)).alias(f"{n}_end")
+            for n in names
+        ]
+        ends = df.where(_OWN).groupBy(*self.keys).agg(*last)
+        series = [k for k in self.keys if k != _RUN]
+        earlier = Window.partitionBy(*series).orderBy(_RUN).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)],
+            *[F.last(f"{n}_end", ignorenulls=True).over(earlier).alias(f"{n}_in") for n in names],
+        )
+        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(self.keys)]
+        both = df.join(ends, on, "left").withColumns({n: F.coalesce(F.col(n), F.col(f"{n}_in")) for n in names})
+        return both.drop(*[f"_k{i}" for i in range(len(self.keys))], *[f"{n}_in" for n in names])
+
     def frame(self, n: int):
         return self.window.rowsBetween(-(n - 1), 0)
 
     # -- offsets ---------------------------------------------------------------------------
     def lag(self, x: str | Column, n: int = 1) -> Column:
-        return self.add(F.lag(self.add(x), n).over(self.window))
+        return self.add(F.lag(self.add(x), n).over(self.window), back=n)
 
     def lead(self, x: str | Column, n: int = 1) -> Column:
-        return self.add(F.lead(self.add(x), n).over(self.window))
+        return self.add(F.lead(self.add(x), n).over(self.window), back=0, ahead=n)
 
     def diff(self, x: str | Column, n: int = 1) -> Column:
         x = self.add(x)
         return self.add(x - self.lag(x, n))
 
     def fill(self, x: str | Column) -> Column:
-        """Last non-null value up to the current row."""
-        return self.add(F.last(self.add(x), ignorenulls=True).over(self.running))
+        """Last non-null value up to the current row, however far back; null where there is none."""
+        value = self.add(x)
+        name = _name(value)
+        if name is None:
+            value = self.add(F.when(F.lit(True), value))
+            name = _name(value)
+        out = self.add(F.last(value, ignorenulls=True).over(self.running), back=0)
+        self._fills[_name(out)] = name
+        return out
 
     def position(self) -> Column:
-        return self.add(F.row_number().over(self.window))
+        """Number of the row; its origin differs between runs, so only differences of it have a meaning."""
+        return self.add(F.row_number().over(self.window), back=0)
 
     # -- rolling ---------------------------------------------------------------------------
-    def _prefix(self, x: Column, n: int) -> Column:
-        total = self.add(F.sum(F.coalesce(x, F.lit(0.0))).over(self.running))
-        return self.add(total - F.coalesce(F.lag(total, n).over(self.window), F.lit(0.0)))
+    def _part(self, x: Column, n: int, kind: str) -> tuple[Column, Column]:
+        """An aggregate over the head and the tail of a window of ``n`` rows.
+
+        The head is the current block up to this row, the tail the rest of the window in the block
+        before (null for the last row of a block, whose head is the whole window).
+        """
+        at = self.add(F.row_number().over(self.window) - 1, back=0)
+        block = self.add(F.floor(at / n))
+        inside = Window.partitionBy(*self.keys, block)
+        whole = (Window.unboundedPreceding, 0)
+        make = {"sum": F.sum, "count": F.count, "avg": F.avg, "var": F.var_pop}[kind]
+        head = self.add(make(x).over(inside.orderBy(*self.order).rowsBetween(*whole)), back=0)
+        down = inside.orderBy(*[F.col(c).desc() for c in self.order]).rowsBetween(*whole)
+        rest = self.add(make(x).over(down), back=0)
+        tail = F.when(at % n != n - 1, F.lag(rest, n - 1).over(self.window))
+        return head, self.add(tail, back=n - 1)
 
     def count(self, x: str | Column, n: int) -> Column:
         x = self.add(x)
         if n <= FRAME_ROWS:
-            return self.add(F.count(x).over(self.frame(n)))
-        seen = self.add(F.count(x).over(self.running))
-        return self.add(seen - F.coalesce(F.lag(seen, n).over(self.window), F.lit(0)))
+            return self.add(F.count(x).over(self.frame(n)), back=n - 1)
+        head, tail = self._part(x, n, "count")
+        return self.add(head + F.coalesce(tail, F.lit(0)))
 
     def _enough(self, x: Column, n: int, m: int | None, value: Column) -> Column:
         return self.add(F.when(self.count(x, n) >= (n if m is None else m), value))
@@ -103,51 +169,56 @@ class Series:
     def sum(self, x: str | Column, n: int, m: int | None = None) -> Column:
         x = self.add(x)
         if n <= FRAME_ROWS:
-            value = self.add(F.sum(x).over(self.frame(n)))
+            value = self.add(F.sum(x).over(self.frame(n)), back=n - 1)
         else:
-            value = self._prefix(x, n)
+            head, tail = self._part(x, n, "sum")
+            value = self.add(F.when(head.isNull(), tail).when(tail.isNull(), head).otherwise(head + tail))
         return self._enough(x, n, m, value)
 
-    def _centred(self, x: Column) -> Column:
-        """``x`` less a constant of its series, so that running sums stay small."""
-        centre = self.add(F.avg(x).over(self.part))
-        return self.add(x - centre)
+    def _moments(self, x: Column, n: int) -> tuple[Column, Column, Column]:
+        """Count, mean and summed squared deviations of a long window, joined from its two parts."""
+        k1, k2 = (F.coalesce(k, F.lit(0)) for k in self._part(x, n, "count"))
+        m1, m2 = self._part(x, n, "avg")
+        v1, v2 = self._part(x, n, "var")
+        k = self.add(k1 + k2)
+        gap = m2 - m1
+        mean = F.when(k1 == 0, m2).when(k2 == 0, m1).otherwise(m1 + gap * (k2 / k))
+        both = v1 * k1 + v2 * k2 + gap * gap * (k1 * k2 / k)
+        spread = F.when(k1 == 0, v2 * k2).when(k2 == 0, v1 * k1).otherwise(both)
+        return k, self.add(F.when(k > 0, mean)), self.add(F.when(k > 0, spread))
 
     def mean(self, x: str | Column, n: int, m: int | None = None) -> Column:
         x = self.add(x)
         if n <= FRAME_ROWS:
-            return self._enough(x, n, m, self.add(F.avg(x).over(self.frame(n))))
-        part = self._prefix(self._centred(x), n) / self.count(x, n)
-        return self._enough(x, n, m, self.add(F.avg(x).over(self.part)) + part)
+            return self._enough(x, n, m, self.add(F.avg(x).over(self.frame(n)), back=n - 1))
+        return self._enough(x, n, m, self._moments(x, n)[1])
 
     def std(self, x: str | Column, n: int, m: int | None = None) -> Column:
         """Sample standard deviation of the last ``n`` rows; exactly 0 on constant input."""
         x = self.add(x)
         if n <= FRAME_ROWS:
-            return self._enough(x, n, m, self.add(F.stddev_samp(x).over(self.frame(n))))
-        c = self._centred(x)
-        k = self.count(x, n)
-        s1, s2 = self._prefix(c, n), self._prefix(self.add(c * c), n)
-        var = self.add(F.when(k > 1, (s2 - s1 * s1 / k) / (k - 1)))
-        scale = self.add(F.max(c * c).over(self.part))
-        flat = F.when(var > F.lit(1e-12) * scale, F.sqrt(var)).otherwise(F.lit(0.0))
-        return self._enough(x, n, m, F.when(var.isNotNull(), flat))
+            return self._enough(x, n, m, self.add(F.stddev_samp(x).over(self.frame(n)), back=n - 1))
+        k, mean, spread = self._moments(x, n)
+        # What rounding of equal values leaves, measured by the window's own size.
+        flat = ~F.isnan(spread) & (spread <= F.lit(1e-28) * k * mean * mean)
+        spread = F.when(flat, F.lit(0.0)).otherwise(spread)
+        return self._enough(x, n, m, F.when(k > 1, F.sqrt(spread / (k - 1))))
 
     def min(self, x: str | Column, n: int, m: int | None = None) -> Column:
         x = self.add(x)
-        return self._enough(x, n, m, self.add(F.min(x).over(self.frame(n))))
+        return self._enough(x, n, m, self.add(F.min(x).over(self.frame(n)), back=n - 1))
 
     def max(self, x: str | Column, n: int, m: int | None = None) -> Column:
         x = self.add(x)
-        return self._enough(x, n, m, self.add(F.max(x).over(self.frame(n))))
+        return self._enough(x, n, m, self.add(F.max(x).over(self.frame(n)), back=n - 1))
 
     def values(self, x: str | Column, n: int) -> Column:
         """The non-null values of the last ``n`` rows, oldest first."""
-        return self.add(F.collect_list(self.add(x)).over(self.frame(n)))
+        return self.add(F.collect_list(self.add(x)).over(self.frame(n)), back=n - 1)
 
     def median(self, x: str | Column, n: int, m: int | None = None) -> Column:
         x = self.add(x)
-        return self._enough(x, n, m, self.add(F.percentile(x, 0.5).over(self.frame(n))))
+        return self._enough(x, n, m, self.add(F.percentile(x, 0.5).over(self.frame(n)), back=n - 1))
 
     def quantile_nearest(self, x: str | Column, n: int, q: float, m: int | None = None) -> Column:
         """The observation nearest to quantile ``q`` of the last ``n`` rows."""
@@ -159,7 +230,7 @@ class Series:
     def mad(self, x: str | Column, n: int, m: int | None = None) -> Column:
         """Median absolute deviation from the median of the last ``n`` rows."""
         x = self.add(x)
-        centre = self.add(F.percentile(x, 0.5).over(self.frame(n)))
+        centre = self.add(F.percentile(x, 0.5).over(self.frame(n)), back=n - 1)
         away = self.add(F.array_sort(F.transform(self.values(x, n), lambda v: F.abs(v - centre))))
         k = F.size(away)
         half = F.floor((k + 1) / 2).cast("int")
@@ -191,12 +262,12 @@ class Series:
             y = self._ewm_blocks(x, alpha)
         else:
             y = self._ewm_fold(x, alpha, rows)
-        seen = self.add(F.count(x).over(self.running))
+        seen = self.add(F.count(x).over(self.running), back=0)
         return self.add(F.when(x.isNotNull() & (seen >= min_samples), y))
 
     def _ewm_fold(self, x: Column, alpha: float, rows: int) -> Column:
         keep = 1.0 - alpha
-        seen = self.add(F.collect_list(F.struct(x.alias("x"))).over(self.frame(rows)))
+        seen = self.add(F.collect_list(F.struct(x.alias("x"))).over(self.frame(rows)), back=rows - 1)
         start = F.struct(
             F.lit(None).cast("double").alias("y"), F.lit(1.0).cast("double").alias("w")
         )
@@ -215,47 +286,62 @@ class Series:
         keep = 1.0 - alpha
         block_rows = max(2, int(math.log(1e6) / -math.log(keep)))
         back = math.ceil(fold_rows(alpha) / block_rows) + 1
-        at = self.add(F.count(x).over(self.running) - 1)
+        at = self.add(F.count(x).over(self.running) - 1, back=0)
         block = self.add(F.when(x.isNotNull(), F.floor(at / block_rows)))
         j = self.add(at % block_rows)
         weight = F.when(at == 0, F.lit(1.0)).otherwise(F.lit(alpha))
         scaled = self.add(weight * x * F.pow(F.lit(keep), -j))
         inside = Window.partitionBy(*self.keys, block).orderBy(*self.order)
         local = self.add(
-            F.sum(scaled).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-            * F.pow(F.lit(keep), j)
+            F.sum(scaled).over(inside.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(keep), j),
+            back=0,
         )
         end = self.add(F.when(j == block_rows - 1, local))
         by_block = self.part.orderBy(block)
         carry = F.lit(0.0)
         for i in range(1, back + 1):
-            one = self.add(F.sum(end).over(by_block.rangeBetween(-i, -i)))
+            one = self.add(F.sum(end).over(by_block.rangeBetween(-i, -i)), back=0)
+            carry = carry + F.coalesce(one, F.lit(0.0)) * F.lit(keep ** ((i - 1) * block_rows))
+        # Blocks are numbered from the first row of a run: a run has to see the oldest one whole.
+        return self.add(local + carry * F.pow(F.lit(keep), j + 1), back=(back + 1) * block_rows)
+
+    def _decayed(self, v: Column, keep: float) -> Column:
+        """Running sum whose older terms shrink by ``keep`` a row; ``v`` holds no nulls.
+
+        Linear in rows: within a block the terms are scaled up to its start, and the ends of the blocks
+        before come in with their own weight.
+        """
+        block_rows = max(2, int(math.log(1e6) / -math.log(keep)))
+        reach = math.ceil(fold_rows(1 - keep) / block_rows) + 1
+        at = self.add(F.row_number().over(self.window) - 1, back=0)
+        block, j = self.add(F.floor(at / block_rows)), self.add(at % block_rows)
+        inside = Window.partitionBy(*self.keys, block).orderBy(*self.order)
+        scaled = self.add(v * F.pow(F.lit(keep), -j))
+        total = F.sum(scaled).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        local = self.add(total * F.pow(F.lit(keep), j), back=0)
+        end = self.add(F.when(j == block_rows - 1, local))
+        by_block = self.part.orderBy(block)
+        carry = F.lit(0.0)
+        for i in range(1, reach + 1):
+            one = self.add(F.sum(end).over(by_block.rangeBetween(-i, -i)), back=0)
             carry = carry + F.coalesce(one, F.lit(0.0)) * F.lit(keep ** ((i - 1) * block_rows))
-        return self.add(local + carry * F.pow(F.lit(keep), j + 1))
+        return self.add(local + carry * F.pow(F.lit(keep), j + 1), back=(reach + 1) * block_rows)
 
     def ewm_adjusted(self, x: str | Column, alpha: float, min_samples: int = 1) -> Column:
         """Weighted mean with weights (1-a)^age over the rows seen (``adjust=True``)."""
         x = self.add(x)
         keep = 1.0 - alpha
-        seen = self.add(F.collect_list(F.struct(x.alias("x"))).over(self.frame(fold_rows(alpha))))
-        start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
-
-        def step(acc: Column, item: Column) -> Column:
-            v = item["x"]
-            return F.struct(
-                (acc["n"] * F.lit(keep) + F.coalesce(v, F.lit(0.0))).alias("n"),
-                (acc["d"] * F.lit(keep) + F.when(v.isNull(), 0.0).otherwise(1.0)).alias("d"),
-            )
-
-        y = self.add(F.aggregate(seen, start, step, lambda a: F.try_divide(a["n"], a["d"])))
-        count = self.add(F.count(x).over(self.running))
-        return self.add(F.when(x.isNotNull() & (count >= min_samples), y))
+        n = self._decayed(F.coalesce(x, F.lit(0.0)), keep)
+        d = self._decayed(F.when(x.isNull(), 0.0).otherwise(1.0), keep)
+        count = self.add(F.count(x).over(self.running), back=0)
+        return self.add(F.when(x.isNotNull() & (count >= min_samples), F.try_divide(n, d)))
 
     def ewm_varying(self, x: str | Column, alpha: str | Column, smallest: float) -> Column:
         """Recursive mean whose alpha changes per row and never falls below ``smallest``."""
         x, alpha = self.add(x), self.add(alpha)
         item = F.struct(x.alias("x"), alpha.alias("a"))
-        seen = self.add(F.collect_list(item).over(self.frame(fold_rows(smallest))))
+        rows = fold_rows(smallest)
+        seen = self.add(F.collect_list(item).over(self.frame(rows)), back=rows - 1)
 
         def step(acc: Column, it: Column) -> Column:
             return F.when(acc.isNull(), it["x"]).otherwise(acc + it["a"] * (it["x"] - acc))
@@ -264,13 +350,13 @@ class Series:
 
     # -- running ---------------------------------------------------------------------------
     def cumsum(self, x: str | Column) -> Column:
-        return self.add(F.sum(self.add(x)).over(self.running))
+        return self.add(F.sum(self.add(x)).over(self.running), back=UNBOUNDED)
 
     def cumprod(self, x: str | Column) -> Column:
-        return self.add(F.product(self.add(x)).over(self.running))
+        return self.add(F.product(self.add(x)).over(self.running), back=UNBOUNDED)
 
     def cummax(self, x: str | Column) -> Column:
-        return self.add(F.max(self.add(x)).over(self.running))
+        return self.add(F.max(self.add(x)).over(self.running), back=UNBOUNDED)
 
     def zscore(self, x: str | Column, n: int, m: int | None = None) -> Column:
         x = self.add(x)
@@ -278,6 +364,12 @@ class Series:
         return self.add(F.when(std > 0, ratio(x - mean, std)))
 
 
+def _name(column: Column) -> str | None:
+    """The name of a plain column reference."""
+    found = re.fullmatch(r"Column<'(\w+)'>", str(column))
+    return found[1] if found else None
+
+
 def fold_rows(alpha: float) -> int:
     """Rows after which an exponential weight drops below 1e-16."""
     if not 0 < alpha <= 1:
@@ -285,37 +377,48 @@ def fold_rows(alpha: float) -> int:
     return 2 if alpha == 1 else math.ceil(math.log(_TINY) / math.log(1 - alpha)) + 1
 
 
+Make = Callable[["Series"], dict[str, Column]]
+
+
 def over_series(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    fn: Callable[[DataFrame, list[str]], DataFrame],
+    make: Make,
+    keep: Sequence[str] | None = None,
     *,
-    lookback: int,
-    lookahead: int = 0,
     max_rows: int | None = None,
     task_rows: int | None = None,
 ) -> DataFrame:
-    """Run ``fn(df, keys)``, whose windows reach ``lookback``/``lookahead`` rows, on any length.
+    """The columns that ``make`` stages on a ``Series``, for series of any length.
 
     ``max_rows`` is the caller's bound on rows per series; bars in a time range have one by
-    construction. Within it ``fn`` sees the series whole. Longer series are cut into runs of
-    ``task_rows`` consecutive rows, each with a copy of the neighbouring rows its windows reach, and
-    the copies are dropped afterwards. Order keys must be unique per series.
+    construction. Within ``task_rows`` the series stay whole. Longer ones are cut into runs of
+    ``task_rows`` consecutive rows, each with a copy of the neighbouring rows that the staged windows
+    reach; forward fills also take the last value of the runs before. The copies are dropped
+    afterwards. Order keys must be unique per series. Running sums, products and extremes have no
+    bounded reach: a series with one is never cut.
     """
     keys, order = list(keys), list(order)
     task_rows = task_rows or TASK_ROWS
-    if max_rows is not None and max_rows <= task_rows:
-        return fn(df, keys)
+    whole = Series(df, keys, order)
+    outputs = make(whole)
+    lookback, lookahead = whole.reach()
+    if lookback >= UNBOUNDED or (max_rows is not None and max_rows <= task_rows):
+        return whole.build(outputs, keep)
     at = tie_range(df, keys, order, first="_at", task_rows=task_rows).drop("_last", "_size")
     slot = F.col("_at") - 1
     home = F.floor(slot / task_rows).cast("long")
     low = F.floor((slot - lookahead) / task_rows).cast("long")
     high = F.floor((slot + lookback) / task_rows).cast("long")
-    runs = at.withColumn("_run", F.explode(F.sequence(F.greatest(low, F.lit(0)), high))).withColumn(
-        "_own", F.col("_run") == home
+    runs = at.withColumn(_RUN, F.explode(F.sequence(F.greatest(low, F.lit(0)), high))).withColumn(
+        _OWN, F.col(_RUN) == home
     )
-    return fn(runs.drop("_at"), [*keys, "_run"]).where("_own").drop("_run", "_own")
+    cut = Series(runs.drop("_at"), [*keys, _RUN], order)
+    outputs = make(cut)
+    kept = list(df.columns if keep is None else keep)
+    out = cut.build(outputs, [*kept, _RUN, _OWN])
+    return out.where(_OWN).drop(_RUN, _OWN)
 
 
 def slots_between(df: DataFrame, on: str, minutes: int) -> int:
@@ -328,5 +431,4 @@ def forward_fill(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
     """Replace nulls by the last value seen in the series."""
-    s = Series(df, keys, order)
-    return s.build({c: s.fill(c) for c in columns})
+    return over_series(df, keys, order, lambda s: {c: s.fill(c) for c in columns})

@@ -10,7 +10,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import Series
+from tidemark.functions.rolling import Series, over_series
 from tidemark.functions.scalars import col, epoch_slot, floor_time, minutes_interval, shift_time
 
 KEYS = ["venue", "instrument_id"]
@@ -237,17 +237,23 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 
 def dense_grid(
-    df: DataFrame, keys: Sequence[str], minutes: int, columns: Sequence[str], on: str = "timestamp"
+    df: DataFrame,
+    keys: Sequence[str],
+    minutes: int,
+    columns: Sequence[str],
+    on: str = "timestamp",
+    *,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Every grid point from first to last row per key, values carried forward.
 
     Gaps are filled by repeating each row up to its successor, so no grid table or join is built.
     """
-    w = Window.partitionBy(*keys).orderBy(on)
-    s = Series(df, keys, [on])
-    filled = s.build({c: s.fill(c) for c in columns}, [*keys, on])
-    nxt = F.lead(on).over(w)
+    filled = over_series(
+        df, keys, [on], lambda s: {c: s.fill(c) for c in columns} | {"_next": s.lead(on)}, [*keys, on], max_rows=max_rows
+    )
+    nxt = F.col("_next")
     step = minutes_interval(minutes)
     until = F.when(nxt.isNull(), F.col(on)).otherwise(F.greatest(nxt - step, F.col(on)))
     rows = filled.withColumn("_until", until)
-    return rows.withColumn(on, F.explode(F.sequence(F.col(on), F.col("_until"), step))).drop("_until")
+    return rows.withColumn(on, F.explode(F.sequence(F.col(on), F.col("_until"), step))).drop("_until", "_next")

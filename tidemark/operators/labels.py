@@ -104,15 +104,10 @@ def execution_return(
     has_volume = "volume" in bars.columns
     base = bars.select(*KEYS, "open", *(["volume"] if has_volume else []))
 
-    def ahead(df: DataFrame, part: list[str]) -> DataFrame:
-        s = Series(df, part, ["timestamp"])
-        rows = label_rows(s, horizons, bar_type, cost_bps, has_volume=has_volume)
-        return s.build({"labels": rows})
+    def ahead(s: Series) -> dict[str, Column]:
+        return {"labels": label_rows(s, horizons, bar_type, cost_bps, has_volume=has_volume)}
 
-    df = over_series(
-        base, BAR_KEYS, ["timestamp"], ahead, lookback=0, lookahead=max(horizons),
-        max_rows=max_rows,
-    )
+    df = over_series(base, BAR_KEYS, ["timestamp"], ahead, max_rows=max_rows)
     return df.select(*KEYS, F.inline("labels"))
 
 
@@ -171,20 +166,16 @@ def funding_returns(
     if horizon <= 0:
         raise ValueError("horizon must be positive")
 
-    def ahead(df: DataFrame, part: list[str]) -> DataFrame:
-        s = Series(df, part, ["timestamp"])
+    def ahead(s: Series) -> dict[str, Column]:
         cash = F.coalesce(F.col("funding_cashflow"), F.lit(0.0))
-        return s.build(
-            {
-                "_exit_price": s.lead("open", horizon),
-                "_seen_exit": s.lead("timestamp", horizon),
-                "_paid": s.add(F.sum(cash).over(s.window.rowsBetween(1, horizon))),
-            }
-        )
+        paid = F.sum(cash).over(s.window.rowsBetween(1, horizon))
+        return {
+            "_exit_price": s.lead("open", horizon),
+            "_seen_exit": s.lead("timestamp", horizon),
+            "_paid": s.add(paid, back=0, ahead=horizon),
+        }
 
-    df = over_series(
-        bars, keys, ["timestamp"], ahead, lookback=0, lookahead=horizon, max_rows=max_rows
-    )
+    df = over_series(bars, keys, ["timestamp"], ahead, max_rows=max_rows)
     exit_time = shift_time("timestamp", horizon * minutes)
     whole = F.coalesce(F.col("_seen_exit") == exit_time, F.lit(False))
     plain = F.when(whole, ratio("_exit_price", "open") - 1)
@@ -236,17 +227,24 @@ def demean_zscore(
 
 
 def base_panel(
-    bars: DataFrame, funding: DataFrame, *, keys: Sequence[str] = ("venue", "instrument_id")
+    bars: DataFrame,
+    funding: DataFrame,
+    *,
+    keys: Sequence[str] = ("venue", "instrument_id"),
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Bars with funding: the rate carried forward, the cash flow zero where none is due."""
     on = [*keys, "timestamp"]
     joined = bars.join(funding.select(*on, "funding_rate"), on, "left")
-    s = Series(joined, keys, ["timestamp"])
-    return s.build(
-        {
+    return over_series(
+        joined,
+        keys,
+        ["timestamp"],
+        lambda s: {
             "carry": s.fill("funding_rate"),
             "funding_cashflow": F.coalesce("funding_rate", F.lit(0.0)),
-        }
+        },
+        max_rows=max_rows,
     )
 
 

@@ -46,14 +46,8 @@ def _with_mad(df: DataFrame, keys: Sequence[str], bounded: bool) -> DataFrame:
     return _with_median(df, keys, "_away", "_mad", bounded).drop("_away")
 
 
-def _rolling(df: DataFrame, make, window: int, max_rows: int | None) -> DataFrame:
-    def build(frame: DataFrame, part: list[str]) -> DataFrame:
-        s = Series(frame, part, ["timestamp"])
-        return s.build({n: c for n, c in make(s).items()})
-
-    return over_series(
-        df, TIME_KEYS, ["timestamp"], build, lookback=2 * window, max_rows=max_rows
-    )
+def _rolling(df: DataFrame, make, max_rows: int | None) -> DataFrame:
+    return over_series(df, TIME_KEYS, ["timestamp"], make, max_rows=max_rows)
 
 
 def clip_outliers(
@@ -85,7 +79,7 @@ def clip_outliers(
             return {"_lo": s.quantile_nearest("value", window, lower, min_periods),
                     "_hi": s.quantile_nearest("value", window, upper, min_periods)}
 
-        df = _rolling(df, make, window, max_rows)
+        df = _rolling(df, make, max_rows)
     elif method == "mad":
         df = _with_mad(df, CROSS_KEYS, bounded)
     elif method == "std":
@@ -145,7 +139,7 @@ def standardize(
                 out["_std"] = s.std("value", window, min_periods)
             return out
 
-        df = _rolling(df, make, window, max_rows)
+        df = _rolling(df, make, max_rows)
         enough = F.coalesce(F.col("_count") >= min_periods, F.lit(False))
         if method == "rank":
             # The window's length, nulls included, scales the rank.

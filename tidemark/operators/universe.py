@@ -213,14 +213,11 @@ def rolling_universe(
 ) -> DataFrame:
     """Trailing mean volume (of earlier bars only when ``shifted``), rank per time, top-N flag."""
 
-    def trailing(df: DataFrame, part: list[str]) -> DataFrame:
-        s = Series(df, part, ["timestamp"])
+    def trailing(s: Series) -> dict[str, Column]:
         mean = s.mean(volume, lookback)
-        return s.build({"trailing_volume": s.lag(mean, 1) if shifted else mean})
+        return {"trailing_volume": s.lag(mean, 1) if shifted else mean}
 
-    scored = over_series(
-        bars, keys, ["timestamp"], trailing, lookback=lookback + 1, max_rows=max_rows
-    )
+    scored = over_series(bars, keys, ["timestamp"], trailing, max_rows=max_rows)
     scored = materialize(
         scored.where(F.col("trailing_volume").isNotNull()).withColumn(
             "_sort", -F.col("trailing_volume")
