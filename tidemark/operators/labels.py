@@ -164,7 +164,7 @@ def funding_returns(
 ) -> DataFrame:
     """Open-to-open return over h bars, with and without the funding a long position pays."""
     if horizon <= 0:
-        raise ValueError("horizon must be positive")
+        raise ValueError(f"no return over {horizon} bars")
 
     def ahead(s: Series) -> dict[str, Column]:
         cash = F.coalesce(F.col("funding_cashflow"), F.lit(0.0))

@@ -14,7 +14,6 @@ from tidemark.functions.scalars import finite, ratio
 from tidemark.session import materialize
 
 OBSERVATION = ["venue", "instrument_id", "timestamp"]
-CLUSTER_ROUNDS = 64
 
 
 def _wide(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -207,7 +206,8 @@ def clusters(correlations: DataFrame, overall: DataFrame, threshold: float = 0.8
         )
     )
     labels = materialize(nodes.withColumn("root", F.col("factor_name")))
-    for _ in range(CLUSTER_ROUNDS):
+    changed = 1
+    while changed:  # the least name has at most as far to go as there are factors
         reach = labels.join(edges, labels.factor_name == edges.b).select(
             F.col("a").alias("factor_name"), "root"
         )
@@ -219,10 +219,6 @@ def clusters(correlations: DataFrame, overall: DataFrame, threshold: float = 0.8
         nxt = materialize(spread.agg(F.min("root").alias("root")))
         changed = nxt.join(labels, ["factor_name", "root"], "left_anti").limit(1).count()
         labels = nxt
-        if not changed:
-            break
-    else:
-        raise RuntimeError("clusters did not settle")
     score = overall.groupBy("factor_name").agg(F.avg(F.abs("ic")).alias("mean_abs_ic"))
     inside = pairs.join(labels.withColumnRenamed("factor_name", "factor_left"), "factor_left").join(
         labels.select(F.col("factor_name").alias("factor_right"), F.col("root").alias("other")),

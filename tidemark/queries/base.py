@@ -73,9 +73,9 @@ KEYS = ["venue", "instrument_id", "bar_type"]
 
 
 def ticks(spark: SparkSession, sf: str, panel: str = "user") -> DataFrame:
-    """Events with a positive value as trades of size 1."""
+    """Events as trades of size 1; a value of 0 is a trade too."""
     p = PANELS[panel]
-    return table(spark, sf, "events").where(F.col("value") > 0).select(
+    return table(spark, sf, "events").select(
         F.lit("SIM").alias("venue"),
         F.col(p.by).cast("string").alias("instrument_id"),
         F.lit(p.bar).alias("bar_type"),
@@ -102,7 +102,7 @@ def bars_sql(panel: str = "user") -> str:
     return f"""ticks AS (
   SELECT 'SIM' AS venue, CAST({p.by} AS VARCHAR) AS instrument_id, '{p.bar}' AS bar_type,
          ts, event_id, value + {p.lift} AS price, value AS quote
-  FROM events WHERE value > 0),
+  FROM events),
 bars AS (
   SELECT venue, instrument_id, bar_type, time_bucket(INTERVAL '{p.step}', ts) AS t,
          first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low,

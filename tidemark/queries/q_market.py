@@ -105,21 +105,33 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return market.upsert(*_upsert_sides(spark, sf), ["k"])
 
 
-@query("upsert_partitions", final(_UPSERT, "u", d="price", i="k; part=k % 4", o="side"))
+@query(
+    "upsert_partitions",
+    final(
+        _UPSERT, "u",
+        d="price=CASE WHEN side = 'new' AND k % 5 = 0 THEN price / 4 ELSE price END", i="k; part=k % 4", o="side",
+    ),
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     import uuid
 
-    old, new = (d.withColumn("part", F.col("k") % 4) for d in _upsert_sides(spark, sf))
+    old, new = (
+        d.withColumns({"part": F.col("k") % 4, "arrival": F.lit(i)})
+        for i, d in enumerate(_upsert_sides(spark, sf))
+    )
+    # A later, lower correction of every fifth order comes in the same batch.
+    fixed = new.where("k % 5 = 0").withColumns({"price": F.col("price") / 4, "arrival": F.lit(2)})
     path = f"{shared_folder(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
-    for rows in (old, new):
-        market.upsert_partitions(spark, rows, path, ["k"], ["part"])
+    for rows in (old, new.unionByName(fixed)):
+        market.upsert_partitions(spark, rows, path, ["k"], ["part"], ["arrival"])
     return spark.read.parquet(path).select("k", "price", "side", "part")
 
 
 @query(
     "read_market_range",
     final(
-        bars_sql("user"), "bars", d="open close volume",
+        bars_sql("user"), "bars",
+        d="open; close=CASE WHEN CAST(instrument_id AS INT) % 3 = 0 THEN close / 2 ELSE close END; volume",
         o="venue; instrument_id; timestamp=t",
         where="t >= TIMESTAMP '2024-01-10' AND t < TIMESTAMP '2024-01-20'",
     ),
@@ -130,6 +142,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/market-{uuid.uuid4().hex}"
     df = market.canonicalize(bars(spark, sf), "candles", strict=False)
     market.write_market(df, path, "candles")
+    # A lower close of every third instrument, written later.
+    third = df.where(F.col("instrument_id").cast("int") % 3 == 0)
+    market.write_market(third.withColumn("close", F.col("close") / 2), path, "candles")
     got = market.read_market(
         spark, path, "candles", venue="sim", bar_type="1d",
         start=datetime(2024, 1, 10), end=datetime(2024, 1, 20),
@@ -170,7 +185,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "clean_candles",
     final(
-        bars_sql("user"), "bars", d="open high low close", o="instrument_id; timestamp=t",
+        bars_sql("user"), "bars", d="open; high; low; close=low", o="instrument_id; timestamp=t",
         where="t >= TIMESTAMP '2024-01-03' AND CAST(instrument_id AS INT) % 3 <> 0",
     ),
 )
@@ -180,8 +195,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     df = bars(spark, sf).withColumn(
         "high", F.when(spoiled, F.col("low") / 2).otherwise(F.col("high"))
     )
-    df = df.unionByName(df)
-    clean = market.clean_candles(df, datetime(2024, 1, 3))
+    # The bar arrives again with its close at the low: a lower, later correction.
+    later = df.withColumns({"close": F.col("low"), "arrival": F.lit(1)})
+    df = df.withColumn("arrival", F.lit(0)).unionByName(later)
+    clean = market.clean_candles(df, datetime(2024, 1, 3), order=["arrival"])
     return clean.select("instrument_id", "timestamp", "open", "high", "low", "close")
 
 
@@ -189,7 +206,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     "funding_history",
     final(
         "x AS (SELECT CAST(user_id AS VARCHAR) AS instrument_id, time_bucket(INTERVAL '8 hours', ts) AS t, "
-        "max(value) AS realized_rate FROM events WHERE event_type = 'error' AND value > 20 GROUP BY ALL)",
+        "arg_max(value, (ts, event_id)) AS realized_rate FROM events WHERE event_type = 'error' AND value > 20 GROUP BY ALL)",
         "x", d="realized_rate", o="instrument_id; timestamp=t",
     ),
 )
@@ -197,8 +214,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     raw = source_events(spark, sf, "error").select(
         "venue", "instrument_id", floor_time("timestamp", 480).alias("timestamp"),
         F.when(F.col("value") > 20, F.col("value")).alias("realized_rate"),
+        F.col("timestamp").alias("arrived"), "event_id",
     )
-    return market.build_funding_history(raw).select("instrument_id", "timestamp", "realized_rate")
+    rows = market.build_funding_history(raw, order=["arrived", "event_id"])
+    return rows.select("instrument_id", "timestamp", "realized_rate")
 
 
 @query(

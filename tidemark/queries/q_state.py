@@ -93,7 +93,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     final(
         "x AS (SELECT CAST(user_id AS VARCHAR) AS id, ts, value FROM events), "
         "pt AS (SELECT id, CASE WHEN time_bucket(INTERVAL '6 hours', ts) = ts THEN ts ELSE time_bucket(INTERVAL '6 hours', ts) + INTERVAL 6 HOUR END AS p FROM x), "
-        "gr AS (SELECT id, unnest(generate_series(min(p), max(p), INTERVAL 6 HOUR)) AS t FROM pt GROUP BY id), "
+        "gr AS (SELECT id, unnest(generate_series(min(p), (SELECT max(p) FROM pt), INTERVAL 6 HOUR)) AS t FROM pt GROUP BY id), "
         "j AS (SELECT gr.id, gr.t, x.ts, x.value FROM gr ASOF JOIN x ON gr.id = x.id AND gr.t >= x.ts)",
         "j", d="value", o="instrument_id=id; timestamp=t; status=CASE WHEN t - ts < INTERVAL 43201 SECOND THEN 'fresh' ELSE 'stale' END",
     ),
@@ -182,7 +182,13 @@ def _landed(spark: SparkSession, df: DataFrame, files: int) -> DataFrame:
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-@query("stream_latest_state")
+@query(
+    "stream_latest_state",
+    final(
+        f"{MSG}, rn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(ex, rc) DESC, (src = 'websocket')::INT DESC, rc DESC, value DESC) AS k FROM ms)",
+        "rn", d="value", o="instrument_id=id", where="k = 1",
+    ),
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     base = f"{shared_folder(spark).rstrip('/')}/state-{uuid.uuid4().hex}"
     stream = st.stream_latest_state(_landed(spark, messages(spark, sf), 6), "60 days")
@@ -204,20 +210,20 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "stream_snapshot_sink",
     final(
-        "x AS (SELECT user_id, time_bucket(INTERVAL '1 day', ts) AS t, count(*) AS n FROM events GROUP BY ALL)", "x", i="user_id",
+        "x AS (SELECT user_id, time_bucket(INTERVAL '1 day', ts) AS t, arg_max(value, event_id) AS value FROM events GROUP BY ALL)", "x", d="value", i="user_id",
         o="timestamp=t; date=CAST(t AS DATE)",
     ),
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     base = f"{shared_folder(spark).rstrip('/')}/sink-{uuid.uuid4().hex}"
-    e = table(spark, sf, "events").select("user_id", floor_time("ts", 1440).alias("timestamp"), "value")
-    # Micro-batches overlap in keys; the merge keeps one row per user and day.
+    e = table(spark, sf, "events").select("user_id", floor_time("ts", 1440).alias("timestamp"), "event_id", "value")
+    # Micro-batches overlap in keys; the merge keeps the last event per user and day.
     q = st.write_snapshots(
         _landed(spark, e, 4), f"{base}/out", f"{base}/ckpt", ["user_id", "timestamp"], "timestamp",
-        {"availableNow": True},
+        {"availableNow": True}, ["event_id"],
     )
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("user_id", "timestamp", "date")
+    return spark.read.parquet(f"{base}/out").select("user_id", "timestamp", "date", "value")
 
 
 # -- studies -------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_FOLDERS: dict[str, str] = {}
 # Applications whose executors have the package.
 _SHIPPED: set[str] = set()
+# Tables written by ``materialize``, by application.
+_STAGES: dict[str, list[str]] = {}
 
 
 def local_session(cpus: str | int = "*", app: str = "tidemark") -> SparkSession:
@@ -80,5 +83,30 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _STAGES:
+        _STAGES[app] = []
+        atexit.register(_release_at_exit, spark)
+    _STAGES[app].append(path)
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote for this application; returns their number.
+
+    Results that still read one of them are gone afterwards, so call it when a study is done. A driver
+    that ends in order does it by itself.
+    """
+    paths = _STAGES.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        stage = jvm.org.apache.hadoop.fs.Path(path)
+        stage.getFileSystem(conf).delete(stage, True)
+    return len(paths)
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    """Best effort: a session that was stopped before leaves its tables to the folder's owner."""
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        release(spark)

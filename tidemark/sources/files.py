@@ -155,12 +155,12 @@ def instrument_in_name(name: Column) -> Column:
 
 
 def instrument_kind(instrument: Column) -> Column:
-    """Product type from the identifier's suffix."""
-    return (
-        F.when(instrument.endswith("-SWAP"), "SWAP")
-        .when(instrument.rlike(r"-[0-9]{6,8}(#|$)") | instrument.contains("_XPERP-"), "FUTURES")
-        .otherwise("SPOT")
-    )
+    """Product type of an archived instrument: swaps by their suffix, all others dated futures.
+
+    A retired listing keeps its identifier with a mark and a number behind it.
+    """
+    name = F.split_part(instrument, F.lit("#OLD#"), F.lit(1))
+    return F.when(name.endswith("-SWAP"), "SWAP").otherwise("FUTURES")
 
 
 def archive_candles(raw: DataFrame, file_name: Column | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time as clock
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -77,15 +78,34 @@ def dedup_keep_last(df: DataFrame, pk: Sequence[str], order: Sequence[str]) -> D
     return latest_row(df, pk, order)
 
 
-def write_market(df: DataFrame, path: str, dataset: str, mode: str = "append") -> None:
+WRITTEN = "_written"
+
+
+def write_market(
+    df: DataFrame,
+    path: str,
+    dataset: str,
+    mode: str = "append",
+    *,
+    sequence: int | None = None,
+    order: Sequence[str] = (),
+) -> None:
     """Write ``venue/year/month`` partitions clustered by instrument.
 
+    Every row carries the number of its write, so that a read keeps the last one written of a key.
+    ``sequence`` defaults to the clock in microseconds; it has to rise from write to write. Rows of one
+    write that share a key are settled here, by ``order`` (their arrival), then by their values.
+
     Instruments stay out of the directory tree (thousands of tiny files otherwise); range
     partitioning on (month, instrument, time) gives Parquet min/max statistics that prune instead,
     and splits a month dominated by one instrument over several files.
     """
     time = "timestamp"
-    df = df.withColumns({"year": F.year(time), "month": F.month(time)})
+    df = latest_row(df, PRIMARY_KEYS[dataset], order)
+    number = clock.time_ns() // 1_000 if sequence is None else sequence
+    df = df.withColumns(
+        {WRITTEN: F.lit(number).cast("long"), "year": F.year(time), "month": F.month(time)}
+    )
     cluster = [c for c in ("year", "month", "instrument_id", time) if c in df.columns]
     (
         df.repartitionByRange(*cluster)
@@ -108,7 +128,7 @@ def read_market(
     start: datetime | None = None,
     end: datetime | None = None,
 ) -> DataFrame:
-    """Read only the months touching the range, filter, and keep the last row per key."""
+    """Read only the months touching the range, filter, and keep the last row written per key."""
     df = spark.read.parquet(f"{path.rstrip('/')}/{dataset}")
     months = F.col("year") * 12 + F.col("month")
     if start is not None:
@@ -122,16 +142,18 @@ def read_market(
         df = df.where(F.col("instrument_id").isin(list(instruments)))
     if bar_type is not None and "bar_type" in df.columns:
         df = df.where(F.col("bar_type") == bar_type)
-    df = df.select(*TABLES[dataset].names)
-    return latest_row(df, PRIMARY_KEYS[dataset], ["timestamp"])
+    df = df.select(*TABLES[dataset].names, WRITTEN)
+    return latest_row(df, PRIMARY_KEYS[dataset], [WRITTEN]).drop(WRITTEN)
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, pk: Sequence[str]) -> DataFrame:
-    """Rows of both sides, incoming replacing existing on equal keys."""
+def upsert(
+    existing: DataFrame, incoming: DataFrame, pk: Sequence[str], order: Sequence[str] = ()
+) -> DataFrame:
+    """Rows of both sides, incoming replacing existing on equal keys unless ``order`` says otherwise."""
     both = existing.withColumn("_source", F.lit(0)).unionByName(
         incoming.withColumn("_source", F.lit(1)), allowMissingColumns=True
     )
-    return latest_row(both, pk, ["_source"]).drop("_source")
+    return latest_row(both, pk, [*order, "_source"]).drop("_source")
 
 
 def upsert_partitions(
@@ -140,18 +162,24 @@ def upsert_partitions(
     path: str,
     pk: Sequence[str],
     partition_by: Sequence[str],
+    order: Sequence[str] = (),
 ) -> None:
-    """Merge into a partitioned table, rewriting only the partitions that receive rows."""
+    """Merge into a partitioned table, rewriting only the partitions that receive rows.
+
+    With ``order``, columns of the table that say which row of a key is the last, the greatest wins,
+    stored or incoming; on equal order, and without one, incoming rows replace stored ones. Incoming
+    rows that are equal in ``order`` too are settled by their values.
+    """
     from tidemark.session import materialize
 
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    incoming = latest_row(incoming, pk, [c for c in incoming.columns if c not in pk])
+    incoming = latest_row(incoming, pk, order)
     if fs.exists(hadoop):
         touched = incoming.select(*partition_by).distinct()
         existing = spark.read.parquet(path).join(touched, list(partition_by), "left_semi")
         # The target is read and overwritten, so the merged rows go to a folder of their own first.
-        merged = materialize(upsert(existing.select(*incoming.columns), incoming, pk))
+        merged = materialize(upsert(existing.select(*incoming.columns), incoming, pk, order))
     else:
         merged = incoming
     (
@@ -180,20 +208,26 @@ def split_by_utc_date(df: DataFrame, time: str = "timestamp") -> DataFrame:
     return df.withColumn("date", F.to_date(time))
 
 
-def clean_candles(df: DataFrame, start: datetime | None = None, end: datetime | None = None):
-    """Drop impossible candles and keep the last row per bar."""
+def clean_candles(
+    df: DataFrame,
+    start: datetime | None = None,
+    end: datetime | None = None,
+    *,
+    order: Sequence[str],
+) -> DataFrame:
+    """Drop impossible candles and keep the last row per bar by ``order``, the columns of arrival."""
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
     good = finite("open") & finite("high") & finite("low") & finite("close")
     good &= (o > 0) & (h > 0) & (lo > 0) & (c > 0)
     good &= (h >= F.greatest(o, c, lo)) & (lo <= F.least(o, c, h))
     pk = [k for k in PRIMARY_KEYS["candles"] if k in df.columns]
-    return latest_row(between(df, start, end).where(good), pk, ["close"])
+    return latest_row(between(df, start, end).where(good), pk, order)
 
 
-def build_funding_history(df: DataFrame) -> DataFrame:
-    """Confirmed funding rows: a time and a realized rate are needed; last one per key wins."""
+def build_funding_history(df: DataFrame, *, order: Sequence[str]) -> DataFrame:
+    """Confirmed funding rows: a time and a realized rate are needed; the last per key by ``order`` wins."""
     rows = df.where(F.col("timestamp").isNotNull() & F.col("realized_rate").isNotNull())
-    return latest_row(rows, PRIMARY_KEYS["funding_rates"], ["realized_rate"])
+    return latest_row(rows, PRIMARY_KEYS["funding_rates"], order)
 
 
 def fill_ratio_type(df: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ state store and emits it whenever a newer message arrives; snapshots and idempot
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import datetime
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -82,15 +84,21 @@ def minute_snapshots(
     minutes: int = 1,
     stale_seconds: int = STALE_SECONDS,
     on: str = "received_at",
+    until: datetime | None = None,
 ) -> DataFrame:
-    """State of every key at each grid minute of its activity, marked fresh or stale by age.
+    """State of every key at each grid minute from its first message on, marked fresh or stale by age.
 
-    Messages reduce to the last one per key and grid point before the as-of pass.
+    The grid ends for all keys at ``until``, by default the last message of any: a key that falls
+    silent turns stale. Messages reduce to the last one per key and grid point before the as-of pass.
     """
     points = last_per_slot(events, minutes, keys, [on, *columns], on=on)
-    span = points.groupBy(*keys).agg(
-        F.min("timestamp").alias("_from"), F.max("timestamp").alias("_to")
-    )
+    span = points.groupBy(*keys).agg(F.min("timestamp").alias("_from"))
+    if until is None:
+        # One row, whatever the number of messages.
+        span = span.crossJoin(F.broadcast(points.agg(F.max("timestamp").alias("_to"))))
+    else:
+        end = floor_time(F.lit(until).cast("timestamp_ntz"), minutes)
+        span = span.withColumn("_to", end).where(F.col("_from") <= F.col("_to"))
     grid = span.select(
         *keys,
         F.explode(F.sequence("_from", "_to", minutes_interval(minutes))).alias("timestamp"),
@@ -136,35 +144,49 @@ def latest_confirmed(history: DataFrame) -> DataFrame:
 
 
 # -- streaming -----------------------------------------------------------------------------
-_STATE = "order_time timestamp, priority int, value double"
+_STATE = "order_time timestamp, priority int, received_at timestamp, value double"
 _OUT = "instrument_id string, order_time timestamp, value double, source_priority int"
 
 
 def _keep_newest(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, retain_ms: int
 ) -> Iterator[pd.DataFrame]:
-    """One remembered row per key; emits it when a newer message replaces it."""
+    """One remembered row per key; emits it when a newer message replaces it, drops it when silent."""
     if state.hasTimedOut:
         state.remove()
         return
     best = state.get if state.exists else None
     changed = False
     for pdf in batches:
-        ordered = pdf.sort_values(["order_time", "priority", "received_at", "value"])
+        ordered = pdf.sort_values(["order_time", "priority", "received_at", "value"], na_position="first")
         row = ordered.iloc[-1]
-        found = (row["order_time"], int(row["priority"]), float(row["value"]))
-        if best is None or (found[0], found[1]) >= (pd.Timestamp(best[0]), best[1]):
+        value = None if pd.isna(row["value"]) else float(row["value"])
+        found = (row["order_time"], int(row["priority"]), row["received_at"], value)
+        if best is None or _rank(found) > _rank(best):
             best, changed = found, True
     if changed:
         state.update(best)
         yield pd.DataFrame(
-            {"instrument_id": [key[0]], "order_time": [best[0]], "value": [best[2]],
+            {"instrument_id": [key[0]], "order_time": [best[0]], "value": [best[3]],
              "source_priority": [best[1]]}
         )
+    forget = int(pd.Timestamp(best[0]).timestamp() * 1000) + retain_ms
+    state.setTimeoutTimestamp(max(forget, state.getCurrentWatermarkMs() + 1))
+
+
+def _rank(row: tuple) -> tuple:
+    """The order of the batch form: time, source, arrival, and null values lowest."""
+    return pd.Timestamp(row[0]), row[1], pd.Timestamp(row[2]), row[3] is not None, row[3] or 0.0
+
 
+def stream_latest_state(
+    events: DataFrame, late: str = "10 minutes", retain_days: float = 30.0
+) -> DataFrame:
+    """Streaming ``latest_state``: changes of the newest message per instrument.
 
-def stream_latest_state(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Streaming ``latest_state``: changes of the newest message per instrument."""
+    The rule is that of the batch form. A key silent for ``retain_days`` of event time is forgotten.
+    """
+    keep = partial(_keep_newest, retain_ms=int(retain_days * 86_400_000))
     order = event_order()
     rows = events.select(
         "instrument_id",
@@ -174,19 +196,22 @@ def stream_latest_state(events: DataFrame, late: str = "10 minutes") -> DataFram
         F.col("value"),
     ).withWatermark("order_time", late)
     return rows.groupBy("instrument_id").applyInPandasWithState(
-        _keep_newest, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout
+        keep, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def write_snapshots(
     stream: DataFrame, path: str, checkpoint: str, pk: Sequence[str], date_from: str,
-    trigger: dict | None = None,
+    trigger: dict | None = None, order: Sequence[str] = (),
 ) -> StreamingQuery:
-    """Idempotent sink: each micro-batch is merged by key into daily partitions."""
+    """Idempotent sink: each micro-batch is merged by key into daily partitions.
+
+    ``order`` names the columns that make a row the last of its key, in whatever batch it comes.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         rows = batch.withColumn("date", F.to_date(date_from))
-        upsert_partitions(batch.sparkSession, rows, path, [*pk], ["date"])
+        upsert_partitions(batch.sparkSession, rows, path, [*pk], ["date"], order)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "1 minute"})).start()
