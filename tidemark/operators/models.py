@@ -1,16 +1,22 @@
-"""Walk-forward regressions on factor features with pyspark.ml."""
+"""Walk-forward regressions on factor features.
+
+Linear models come from one row of moments per fit; trees are those of pyspark.ml.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 from typing import Any
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.moments import moment_aggs, unpack
 from tidemark.functions.scalars import bar_minutes, finite, shift_time, time_literal
 from tidemark.operators.combine import (
     KEYS,
@@ -26,30 +32,26 @@ SEED = 42
 MODELS = ["ridge", "elastic_net", "random_forest", "gradient_boosting", "hist_gradient_boosting"]
 
 
-def _regressor(model: str, params: dict[str, Any], rows: int):
-    """The estimator; penalties follow the sum-of-squares form, hence the division by rows."""
+LINEAR = ("ridge", "elastic_net")
+# The deepest tree that Spark grows, where no depth is asked for.
+DEEPEST = 30
+
+
+def _regressor(model: str, params: dict[str, Any]):
+    """The tree estimator; a forest tries every feature at each split."""
     base = {"featuresCol": "features", "labelCol": "label_value", "predictionCol": "prediction"}
-    if model == "ridge":
-        alpha = float(params.get("alpha", 1.0))
-        return LinearRegression(
-            **base, regParam=alpha / rows, elasticNetParam=0.0, standardization=False,
-            solver="normal",
-        )
-    if model == "elastic_net":
-        return LinearRegression(
-            **base, regParam=float(params.get("alpha", 0.001)),
-            elasticNetParam=float(params.get("l1_ratio", 0.5)), standardization=False,
-            maxIter=int(params.get("max_iter", 5000)), tol=1e-9,
-        )
-    depth, seed = int(params.get("max_depth", 5)), int(params.get("random_state", SEED))
+    depth, seed = params.get("max_depth"), int(params.get("random_state", SEED))
     if model == "random_forest":
         trees = int(params.get("n_estimators", TREES))
-        return RandomForestRegressor(**base, numTrees=trees, maxDepth=depth, seed=seed)
+        return RandomForestRegressor(
+            **base, numTrees=trees, maxDepth=DEEPEST if depth is None else int(depth), seed=seed,
+            featureSubsetStrategy="all",
+        )
     if model in ("gradient_boosting", "hist_gradient_boosting"):
         rounds = int(params.get("n_estimators", params.get("max_iter", 100)))
         rate = float(params.get("learning_rate", 0.1))
         return GBTRegressor(
-            **base, maxIter=rounds, maxDepth=int(params.get("max_depth", 3)), stepSize=rate,
+            **base, maxIter=rounds, maxDepth=3 if depth is None else int(depth), stepSize=rate,
             seed=seed,
         )
     raise ValueError(f"unknown model {model!r}; choose from {MODELS}")
@@ -76,29 +78,100 @@ def _columns(n: int) -> tuple[list[str], list[str]]:
     return [f"x{i}" for i in range(n)], [f"m{i}" for i in range(n)]
 
 
-def _fit(rows: DataFrame, n: int, model: str, params: dict[str, Any], count: int) -> PipelineModel:
+@dataclass(frozen=True)
+class Fit:
+    """A fitted model: medians for missing features, then a linear form or a tree pipeline."""
+
+    medians: list[float]
+    weights: list[float]
+    centers: list[float] | None = None
+    scales: list[float] | None = None
+    intercept: float = 0.0
+    trees: PipelineModel | None = None
+
+
+def linear_weights(
+    model: str, n: float, gram: np.ndarray, cross: np.ndarray, params: dict[str, Any]
+) -> np.ndarray:
+    """Slopes on standardized features from their correlations and covariances with the target.
+
+    Ridge minimizes the sum of squares plus alpha times the squared slopes; the elastic net half the
+    mean of squares plus its two penalties, by coordinate descent.
+    """
+    k = len(cross)
+    if model == "ridge":
+        return np.linalg.solve(n * gram + float(params.get("alpha", 1.0)) * np.eye(k), n * cross)
+    alpha, share = float(params.get("alpha", 0.001)), float(params.get("l1_ratio", 0.5))
+    w = np.zeros(k)
+    for _ in range(int(params.get("max_iter", 5000))):
+        before = w.copy()
+        for j in range(k):
+            rest = cross[j] - gram[j] @ w + gram[j, j] * w[j]
+            below = gram[j, j] + alpha * (1 - share)
+            w[j] = np.sign(rest) * max(abs(rest) - alpha * share, 0.0) / below if below > 0 else 0.0
+        if np.abs(w - before).max(initial=0.0) <= 1e-14 * max(1.0, np.abs(w).max(initial=0.0)):
+            break
+    return w
+
+
+def _fit(rows: DataFrame, n: int, model: str, params: dict[str, Any]) -> Fit | None:
+    """Fit on the rows; None where a feature is missing on all of them."""
+    raw, filled = _columns(n)
+    medians = list(rows.agg(*[F.percentile(x, 0.5) for x in raw]).first())
+    if any(m is None for m in medians):
+        return None
+    whole = rows.select(
+        *[F.coalesce(x, F.lit(m)).alias(f) for x, f, m in zip(raw, filled, medians, strict=True)],
+        "label_value",
+    )
+    if model not in LINEAR:
+        steps = [VectorAssembler(inputCols=filled, outputCol="features"), _regressor(model, params)]
+        trees = Pipeline(stages=steps).fit(whole)
+        return Fit(medians, list(trees.stages[-1].featureImportances.toArray()), trees=trees)
+    aggs = moment_aggs([*filled, "label_value"])
+    rec = whole.agg(*[c.alias(name) for name, c in aggs.items()]).first().asDict()
+    count, means, cov = unpack(rec, n + 1)
+    spread = np.sqrt(np.diag(cov)[:n])
+    # A feature without spread keeps scale 1 and, being 0 after centring, slope 0.
+    scale = np.where(spread > 0, spread, 1.0)
+    gram, cross = cov[:n, :n] / np.outer(scale, scale), cov[:n, n] / scale
+    weights = linear_weights(model, count, gram, cross, params)
+    return Fit(medians, weights.tolist(), means[:n].tolist(), scale.tolist(), float(means[n]))
+
+
+def _score(part: DataFrame, fit: Fit, n: int, present_min: int) -> DataFrame:
+    """Predictions of one tree model."""
     raw, filled = _columns(n)
-    steps = [
-        Imputer(inputCols=raw, outputCols=filled, strategy="median"),
-        VectorAssembler(inputCols=filled, outputCol="assembled"),
-    ]
-    linear = model in ("ridge", "elastic_net")
-    steps.append(
-        StandardScaler(inputCol="assembled", outputCol="features", withMean=linear, withStd=linear)
-        if linear
-        else VectorAssembler(inputCols=filled, outputCol="features")
+    present = sum((F.col(x).isNotNull().cast("int") for x in raw), F.lit(0))
+    whole = part.withColumns(
+        {f: F.coalesce(x, F.lit(m)) for x, f, m in zip(raw, filled, fit.medians, strict=True)}
+    )
+    return fit.trees.transform(whole).select(
+        *KEYS, F.when(present >= present_min, F.col("prediction")).alias("raw_value")
     )
-    steps.append(_regressor(model, params, count))
-    return Pipeline(stages=steps).fit(rows)
 
 
-def _weights(model: PipelineModel, names, at: datetime, number: int) -> list[tuple]:
-    last = model.stages[-1]
-    if hasattr(last, "coefficients"):
-        values, kind = last.coefficients.toArray(), "coefficient"
-    else:
-        values, kind = last.featureImportances.toArray(), "importance"
-    return [(at, number, n, float(v), kind) for n, v in zip(names, values, strict=True)]
+def _linear_scores(
+    rows: DataFrame, fits: list[tuple[datetime, Fit]], times: list[datetime], n: int, present_min: int
+) -> DataFrame:
+    """Predictions of all linear fits in one pass: every time meets the fit in force."""
+    spark = rows.sparkSession
+    raw, _ = _columns(n)
+    plan, at = [], -1
+    for t in times:
+        while at + 1 < len(fits) and fits[at + 1][0] <= t:
+            at += 1
+        if at >= 0:
+            f = fits[at][1]
+            plan.append((t, f.intercept, *f.medians, *f.centers, *f.scales, *f.weights))
+    names = [f"{p}{i}" for p in ("_d", "_c", "_s", "_w") for i in range(n)]
+    schema = ", ".join(["timestamp timestamp_ntz", "_b double", *[f"{c} double" for c in names]])
+    got = rows.join(spark.createDataFrame(plan, schema), "timestamp")
+    value = F.col("_b")
+    for i, x in enumerate(raw):
+        value = value + F.col(f"_w{i}") * (F.coalesce(x, f"_d{i}") - F.col(f"_c{i}")) / F.col(f"_s{i}")
+    present = sum((F.col(x).isNotNull().cast("int") for x in raw), F.lit(0))
+    return got.select(*KEYS, F.when(present >= present_min, value).alias("raw_value"))
 
 
 def walk_forward(
@@ -137,7 +210,9 @@ def walk_forward(
         F.max("_known").alias("known"), F.count(F.lit(1)).alias("n")
     )
     periods = sorted((r["timestamp"], r["known"], r["n"]) for r in known.collect())
-    fits: list[tuple[datetime, PipelineModel]] = []
+    if model not in MODELS:
+        raise ValueError(f"unknown model {model!r}; choose from {MODELS}")
+    fits: list[tuple[datetime, Fit]] = []
     weights: list[tuple] = []
     last: int | None = None
     for i, at in enumerate(times):
@@ -154,22 +229,28 @@ def walk_forward(
         )
         fitted = _fit(
             transform_target(train, str(p.get("target_transform", "none"))),
-            len(names), model, p.get("model_params", {}), count,
+            len(names), model, p.get("model_params", {}),
         )
+        if fitted is None:
+            continue
         fits.append((at, fitted))
-        weights += _weights(fitted, names, at, len(fits))
+        kind = "coefficient" if model in LINEAR else "importance"
+        weights += [
+            (at, len(fits), name, float(v), kind)
+            for name, v in zip(names, fitted.weights, strict=True)
+        ]
         last = i
-    present = sum((F.col(x).isNotNull().cast("int") for x in raw), F.lit(0))
     scores = None
     bounds = [at for at, _ in fits] + [None]
-    for (begin, fitted), end in zip(fits, bounds[1:], strict=True):
-        part = rows.where(F.col("timestamp") >= time_literal(begin))
-        if end is not None:
-            part = part.where(F.col("timestamp") < time_literal(end))
-        got = fitted.transform(part).select(
-            *KEYS, F.when(present >= present_min, F.col("prediction")).alias("raw_value")
-        )
-        scores = got if scores is None else scores.unionByName(got)
+    if fits and model in LINEAR:
+        scores = _linear_scores(rows, fits, times, len(names), present_min)
+    elif fits:
+        for (begin, fitted), end in zip(fits, bounds[1:], strict=True):
+            part = rows.where(F.col("timestamp") >= time_literal(begin))
+            if end is not None:
+                part = part.where(F.col("timestamp") < time_literal(end))
+            got = _score(part, fitted, len(names), present_min)
+            scores = got if scores is None else scores.unionByName(got)
     warm = rows if not fits else rows.where(F.col("timestamp") < time_literal(bounds[0]))
     out = _scored(warm.select(*KEYS, F.lit(None).cast("double").alias("raw_value")),
                   "MODEL_WARMUP_INCOMPLETE")
