@@ -14,15 +14,19 @@ SAMPLE = [
     "bars_from_ticks", "dedup_keep_last", "missing_intervals", "asof_backward_tolerance", "dense_grid",
     "factor_momentum", "factor_funding_rate", "rank_cross_section", "research_dataset", "ic_summary_spearman",
     "quantile_spread", "ic_scores_renormalize", "threshold_portfolio", "portfolio_trade_log", "ledger_summary",
-    "select_universe", "latest_state", "signal_scale_in",
+    "select_universe", "latest_state", "signal_scale_in", "read_market_range", "clean_candles", "funding_history",
+    "upsert_partitions", "minute_snapshots", "stream_latest_state", "stream_snapshot_sink", "data_fingerprint",
+    "write_compacted", "csv_price_klines", "bootstrap_monthly_returns", "redundancy_report", "walk_forward_ridge",
 ]
+# Queries whose condition no row of the smallest tables meets.
+EMPTY_HERE = {"coverage_summary", "resample_complete", "calendar_returns_month", "weight_grid_screen"}
 
 
 @pytest.mark.parametrize("name", sorted(REGISTRY) if os.environ.get("TIDEMARK_ALL") else SAMPLE)
 def test_query_matches_sql(spark, name):
     sf = str(DATA / "sf0.001")
     text = compare(spark, connect(sf), REGISTRY[name], sf)
-    assert text == "" or text == "no rows" or text.startswith("~"), text
+    assert text == "" or text.startswith("~") or (text == "no rows" and name in EMPTY_HERE), text
 
 
 def test_driver_contract(spark):

@@ -606,7 +606,8 @@ def bootstrap_monthly(
     draws = draws.select(
         "sample", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("draw")
     )
-    pick = F.pmod(F.xxhash64(F.lit(seed), "sample", "draw"), F.col("_n"))
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("sample").cast("string"), F.col("draw").cast("string"))
+    pick = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long") % F.col("_n")
     drawn = draws.withColumn("_k", pick).join(F.broadcast(numbered), "_k")
     return drawn.groupBy("sample").agg(
         F.count(F.lit(1)).alias("months"), (F.product(1 + F.col("_r")) - 1).alias("total_return")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions.groups import average_rank, group_quantiles
 from tidemark.operators import analytics, redundancy
+from tidemark.session import materialize
 from tidemark.queries.base import bars, bars_sql, final, query, series_rows
 from tidemark.queries.q_processing import NAMES, dataset, dataset_sql
 
@@ -358,6 +359,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return redundancy.unique_contribution(dataset(spark, sf), NAMES, min_observations=10)
 
 
+@query("redundancy_report", final(_UC, "uc", **_UC_OUT))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    ds = materialize(dataset(spark, sf))
+    tables = redundancy.redundancy_report(
+        ds, analytics.factor_correlation(ds, NAMES), analytics.overall_ic(ds), NAMES, min_observations=10
+    )
+    return tables["unique_contribution"]
+
+
 @query(
     "unique_contribution_summary",
     final(

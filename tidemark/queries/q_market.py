@@ -170,6 +170,44 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "write_compacted",
+    final(
+        f"x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LINE_ORDER}) AS rn FROM lineitem)",
+        "x", d="l_quantity; l_extendedprice", i="l_orderkey; l_linenumber; l_partkey; l_suppkey; year=year(l_shipdate)",
+        o="date=CAST(l_shipdate AS DATE)", where="rn = 1",
+    ),
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    import uuid
+
+    order = [w.split()[0] for w in _LINE_ORDER.split(", ")]
+    path = f"{shared_folder(spark).rstrip('/')}/compacted-{uuid.uuid4().hex}"
+    done = market.compact(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], "l_shipdate", order)
+    market.write_compacted(done, path)
+    return spark.read.parquet(path).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "year", "date"
+    )
+
+
+@query(
+    "csv_price_klines",
+    final(
+        bars_sql("type"), "bars", d="open=round(open, 4); close=round(close, 4)", i="confirm=1",
+        o="venue='BINANCE'; instrument_id; bar_type='1H'; timestamp=t",
+    ),
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    b = bars(spark, sf, "type")
+    raw = b.select(
+        F.unix_millis(F.col("timestamp").cast("timestamp")).cast("string").alias("open_time"),
+        *[F.round(c, 4).cast("string").alias(c) for c in ("open", "high", "low", "close")],
+        F.col("instrument_id").alias("symbol"),
+    )
+    out = files.csv_price_klines(raw, F.col("symbol"))
+    return out.select("venue", "instrument_id", "bar_type", "timestamp", "open", "close", "confirm")
+
+
 @query(
     "split_by_utc_date",
     final(

@@ -583,7 +583,19 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", F.col("equity_after_order").cast("double").alias("equity"))
 
 
-@query("bootstrap_monthly_returns")
+@query(
+    "bootstrap_monthly_returns",
+    final(
+        "o AS (SELECT CAST(o_orderdate AS DATE) AS d, (avg(o_totalprice) / 250000 - 1) / 100 AS r FROM orders GROUP BY 1), "
+        "m AS (SELECT row_number() OVER (ORDER BY strftime(d, '%Y-%m')) - 1 AS k, product(1 + r) - 1 AS r FROM o GROUP BY strftime(d, '%Y-%m')), "
+        "n AS (SELECT count(*) AS n FROM m), "
+        "dr AS (SELECT s, CAST('0x' || substr(md5('7|' || s || '|' || g), 1, 12) AS BIGINT) % n AS k "
+        "FROM n, (SELECT unnest(range(500)) AS s), LATERAL (SELECT unnest(range(n)) AS g)), "
+        "tot AS (SELECT s, count(*) AS c, product(1 + m.r) - 1 AS r FROM dr JOIN m USING (k) GROUP BY s), "
+        "x AS (SELECT max(c) AS months, avg(CAST(r > 0 AS INT)) AS p, avg(r) AS m, quantile_cont(r, 0.05) AS lo, quantile_cont(r, 0.95) AS hi FROM tot)",
+        "x", d="probability_positive=p; mean_return=m; q05_return=lo; q95_return=hi", i="months",
+    ),
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(
         (F.avg("o_totalprice") / 250_000 - 1).alias("daily_return")
