@@ -58,7 +58,67 @@ def op5_layout_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.visible_text(table(spark, sf, "pages"))
 
 
-@query("op6_pareto_mix")
+# The same mix in one statement: targets by water filling, expected copies, ranks by odds, two closers.
+_MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (
+  SELECT *, [3.0::DOUBLE, 1.0, 2.0][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1] AS w,
+    CAST(2.0 AS DOUBLE) * source_size AS cap
+  FROM s0),
+s2 AS (
+  SELECT *, CAST(1.5 AS DOUBLE) * sum(source_size) OVER () AS total,
+    coalesce(sum(cap) OVER (rise ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+    sum(w) OVER (rise ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w
+  FROM s1 WINDOW rise AS (ORDER BY cap / w, cap, source IS NULL, encode(source))),
+s3 AS (
+  SELECT *, max(CASE WHEN (total - capped) / open_w * w <= cap THEN (total - capped) / open_w END) OVER () AS level FROM s2),
+src AS (SELECT source, source_size, least(cap, coalesce(level * w, cap)) AS target FROM s3),
+t0 AS (
+  SELECT d.*, source_size, target, floor((1.0::DOUBLE + size / (size + 200.0::DOUBLE)) * 64) / 64.0::DOUBLE AS tilt
+  FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source),
+k0 AS (SELECT source, tilt, CAST(sum(size) AS DOUBLE) AS words, max(target) AS goal FROM t0 GROUP BY source, tilt),
+k1 AS (
+  SELECT source, tilt, goal,
+    coalesce(sum(words) OVER (up ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+    sum(words * tilt) OVER (up ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM k0 WINDOW up AS (PARTITION BY source ORDER BY tilt DESC)),
+k2 AS (SELECT source, tilt, CASE WHEN rest > 0 THEN (goal - 2.0::DOUBLE * held) / rest ELSE 0 END AS c FROM k1),
+k AS (SELECT source, arg_max(c, tilt) AS c FROM k2 WHERE c * tilt <= 2.0::DOUBLE + 1e-9::DOUBLE GROUP BY source),
+t1 AS (
+  SELECT t0.*, CASE WHEN source_size > 0 THEN least(2.0::DOUBLE, c * tilt) ELSE 0 END AS due
+  FROM t0 JOIN k ON t0.source IS NOT DISTINCT FROM k.source),
+t2 AS (
+  SELECT *, floor(due + 1e-9::DOUBLE) AS whole, greatest(0, due - floor(due + 1e-9::DOUBLE)) AS p,
+    (CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM t1),
+t3 AS (SELECT *, CASE WHEN p > 1e-9::DOUBLE AND size > 0 THEN (u / (1 - u)) * ((1 - p) / p) END AS q FROM t2),
+t4 AS (SELECT *, q / (1 + q) AS ord, sum(whole * size) OVER (PARTITION BY source) AS sure FROM t3),
+t5 AS (
+  SELECT *, ord IS NOT NULL AND
+    sum(size) FILTER (WHERE ord IS NOT NULL) OVER (PARTITION BY source ORDER BY ord NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) <= target - sure AS p0
+  FROM t4),
+g1 AS (SELECT source, max(target) - sum(size * (whole + p0::INT)) AS gap FROM t5 GROUP BY source),
+n1 AS (
+  SELECT t5.source, arg_min(doc_id, (abs(size - gap), ord, doc_id)) AS last_id FROM t5 JOIN g1 ON t5.source IS NOT DISTINCT FROM g1.source
+  WHERE ord IS NOT NULL AND NOT p0 AND abs(size - gap) < gap GROUP BY t5.source),
+t6 AS (
+  SELECT t5.*, p0 OR coalesce(t5.doc_id = n1.last_id AND ord IS NOT NULL, false) AS p1
+  FROM t5 LEFT JOIN n1 ON t5.source IS NOT DISTINCT FROM n1.source),
+g2 AS (SELECT source, max(target) - sum(size * (whole + p1::INT)) AS gap FROM t6 GROUP BY source),
+n2 AS (
+  SELECT t6.source, arg_min(doc_id, (abs(size - gap), ord, doc_id)) AS last_id FROM t6 JOIN g2 ON t6.source IS NOT DISTINCT FROM g2.source
+  WHERE ord IS NOT NULL AND NOT p1 AND abs(size - gap) < gap GROUP BY t6.source),
+t7 AS (
+  SELECT t6.*, CAST(whole + (p1 OR coalesce(t6.doc_id = n2.last_id AND ord IS NOT NULL, false))::INT AS BIGINT) AS copies
+  FROM t6 LEFT JOIN n2 ON t6.source IS NOT DISTINCT FROM n2.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target, source, copies, CAST(size * copies AS BIGINT) AS taken FROM t7
+"""
+
+
+@query("op6_pareto_mix", _MIX_SQL)
 def op6_pareto_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.pareto_mix(table(spark, sf, "documents"))
 
@@ -81,6 +141,23 @@ def op9_adaptive_scan(spark: SparkSession, sf: str) -> DataFrame:
     return ann.nearest(rows, rows.where("vec_id % 50 = 0"))
 
 
-@query("op10_sorted_projections")
+# Every pair of a label, and the closure of the links.
+_LINKS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x,
+    label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
+      AND len(list_filter(embedding, lambda e: e <> 0)) > 0 AS ok
+  FROM embeddings),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE a.ok AND b.ok AND list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT vec_id, vec_id AS seen FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.seen = l.a)
+SELECT r.vec_id, (SELECT count(*) FROM l WHERE l.a = r.vec_id) AS n_links, min(seen) AS component_id, min(seen) = r.vec_id AS kept
+FROM r GROUP BY r.vec_id
+"""
+
+
+@query("op10_sorted_projections", _LINKS_SQL)
 def op10_sorted_projections(spark: SparkSession, sf: str) -> DataFrame:
     return vecdup.near_vectors(table(spark, sf, "embeddings"))
