@@ -140,7 +140,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return perf.period_comparison(daily_returns(spark, sf), ["instrument_id"], SPLIT)
 
 
-_SLEEVES = ["click", "view", "error"]
+_SLEEVES = ["click", "view", "error", "purchase", "signup"]
+_SLEEVE_WEIGHTS = dict(zip(_SLEEVES, (0.4, 0.3, 0.1, 0.1, 0.1), strict=True))
+_GRID_COLS = ", ".join(f"{n}_weight" for n in _SLEEVES)
+_GRID_PICK = (
+    "SELECT " + ", ".join(f"x{i} / 4.0 AS {n}_weight" for i, n in enumerate(_SLEEVES)) + " FROM "
+    + ", ".join(f"range(5) t{i}(x{i})" for i in range(5)) + " WHERE x0 + x1 + x2 + x3 + x4 = 4 AND x0 / 4.0 BETWEEN 0.25 AND 0.75"
+)
+_GRID_MIX = " + ".join(f"{n}_weight * {n}" for n in _SLEEVES)
 _WIDE = (
     f"{ALIGNED}, wd AS (SELECT d, " + ", ".join(f"max(r) FILTER (WHERE instrument_id = '{s}') AS {s}" for s in _SLEEVES)
     + " FROM dr GROUP BY d)"
@@ -155,11 +162,11 @@ def sleeve_table(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "weight_grid_screen",
     final(
-        f"{_WIDE}, gr AS (SELECT a / 4.0 AS click_weight, b / 4.0 AS view_weight, (4 - a - b) / 4.0 AS error_weight FROM range(5) x(a), range(5) y(b) WHERE a + b <= 4 AND a / 4.0 BETWEEN 0.25 AND 0.75), "
-        "gx AS (SELECT gr.*, d, click_weight * click + view_weight * view + error_weight * error AS r FROM gr, wd WHERE d < TIMESTAMP '2024-01-25'), "
-        f"{perf_sql('click_weight, view_weight, error_weight', 'gx')}, "
-        "hb AS (SELECT click_weight, view_weight, error_weight, product(1 + r) - 1 AS b FROM gx GROUP BY ALL), gs AS (SELECT * FROM pp JOIN hb USING (click_weight, view_weight, error_weight))",
-        "gs", d=PERF_OUT + "; click_weight; view_weight; error_weight; worst_half_return=b; positive_half_rate=(b > 0)::INT", i="days",
+        f"{_WIDE}, gr AS ({_GRID_PICK}), "
+        f"gx AS (SELECT gr.*, d, {_GRID_MIX} AS r FROM gr, wd WHERE d < TIMESTAMP '2024-01-25'), "
+        f"{perf_sql(_GRID_COLS, 'gx')}, "
+        f"hb AS (SELECT {_GRID_COLS}, product(1 + r) - 1 AS b FROM gx GROUP BY ALL), gs AS (SELECT * FROM pp JOIN hb USING ({_GRID_COLS}))",
+        "gs", d=PERF_OUT + "; " + _GRID_COLS.replace(", ", "; ") + "; worst_half_return=b; positive_half_rate=(b > 0)::INT", i="days",
     ),
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,14 +180,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     "adaptive_allocation",
     final(
         f"{_WIDE}, al AS (SELECT *, row_number() OVER (ORDER BY d) AS k, product(1 + view) OVER (ORDER BY d ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) - 1 AS tr FROM wd), "
-        "wt AS (SELECT *, CASE WHEN k > 5 AND tr < 0 THEN 0.7 ELSE 0.5 END AS w1, CASE WHEN k > 5 AND tr < 0 THEN 0.1 ELSE 0.3 END AS w2, 0.2 AS w3 FROM al), "
-        "ct AS (SELECT *, 2 * 0.0005 * (abs(w1 - coalesce(lag(w1) OVER (ORDER BY d), 0.5)) + abs(w2 - coalesce(lag(w2) OVER (ORDER BY d), 0.3))) AS c FROM wt)",
-        "ct", d="click_weight=w1; view_weight=w2; error_weight=w3; allocation_cost=c; daily_return=2 * (w1 * click + w2 * view + w3 * error) - c", o="date=d",
+        "wt AS (SELECT *, CASE WHEN k > 5 AND tr < 0 THEN 0.6 ELSE 0.4 END AS w1, CASE WHEN k > 5 AND tr < 0 THEN 0.1 ELSE 0.3 END AS w2 FROM al), "
+        "ct AS (SELECT *, 2 * 0.0005 * (abs(w1 - coalesce(lag(w1) OVER (ORDER BY d), 0.4)) + abs(w2 - coalesce(lag(w2) OVER (ORDER BY d), 0.3))) AS c FROM wt)",
+        "ct", d="click_weight=w1; view_weight=w2; error_weight=0.1; purchase_weight=0.1; signup_weight=0.1; allocation_cost=c; daily_return=2 * (w1 * click + w2 * view + 0.1 * (error + purchase + signup)) - c", o="date=d",
     ),
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return perf.adaptive_allocation(
-        sleeve_table(spark, sf), {"click": 0.5, "view": 0.3, "error": 0.2}, "view", lookback=5,
+        sleeve_table(spark, sf), _SLEEVE_WEIGHTS, "view", lookback=5,
         losing_scale=1 / 3, transfer_to="click", leverage=2.0, one_way_cost=0.0005,
     )
 
