@@ -94,6 +94,31 @@ def test_cross_component_pairs_are_found(spark):
     assert {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(d).collect()} == brute(rows, idf)
 
 
+def test_crowded_buckets_give_the_same_classes(spark, monkeypatch):
+    rng = random.Random(9)
+    base = words(rng, 60)
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            copy[rng.randrange(60)] = "edit%d" % rng.randrange(10**6)
+        rows.append((i, " ".join(copy)))
+    d = docs(spark, [(i, t, 0, "x", 1) for i, t in rows])
+    want = brute(rows, nd.word_weights(*nd.document_counts(d)))
+    monkeypatch.setattr(nd, "CROWD", 4)
+    monkeypatch.setattr(nd, "BLOCK_TEXTS", 16)
+    assert {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(d).collect()} == want
+
+
+def test_signatures_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(6)
+    idf = rng.uniform(1, 9, nd.DF_CELLS).astype(np.float32)
+    texts = [nd.elements(rng.integers(0, 2**63, n).astype(np.uint64), idf) for n in (1, 3, 0, 40, 700, 5)]
+    whole = nd.signatures(texts)
+    for i, t in enumerate(texts):
+        assert (nd.signatures([t], room=50)[0] == whole[i]).all()
+
+
 @pytest.mark.parametrize("share", [0.95, 0.8, 0.5])
 def test_samples_agree_about_as_often_as_texts_are_alike(share):
     rng = np.random.default_rng(4)
@@ -106,5 +131,6 @@ def test_samples_agree_about_as_often_as_texts_are_alike(share):
         ex, ey = nd.elements(x, idf), nd.elements(y, idf)
         both = len(np.intersect1d(ex, ey))
         true = both / (len(ex) + len(ey) - both)
-        agree.append((nd.signature(ex) == nd.signature(ey)).mean() - true)
+        sx, sy = nd.signatures([ex, ey])
+        agree.append((sx == sy).mean() - true)
     assert abs(np.mean(agree)) < 0.03

@@ -14,10 +14,10 @@ of all their elements.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,6 +30,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 DF_CELLS = 1 << 16
+CROWD = 32
+BLOCK_TEXTS = 256
 WORDS_KEPT = 200_000
 LONGEST_KEPT = 48
 _UNIT = 400.0  # weights are kept as whole numbers in the low 16 bits of an element
@@ -75,8 +77,8 @@ def document_counts(docs: DataFrame, text_col: str = "text") -> tuple[int, np.nd
         for batch in batches:
             for text in batch.column(0):
                 total += 1
-                cells = word_hashes(words_of(text.as_py())) >> np.uint64(64 - 16)
-                seen[np.unique(cells).astype(np.int64)] += 1
+                cells = (word_hashes(words_of(text.as_py())) >> np.uint64(64 - 16)).astype(np.uint16)
+                seen[np.unique(cells)] += 1
         at = np.flatnonzero(seen)
         cols = [np.append(at, -1), np.append(seen[at], total)]
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
@@ -96,32 +98,35 @@ def word_weights(total: int, counts: np.ndarray) -> np.ndarray:
     return np.log1p(max(total, 1) / np.maximum(counts, 1)).astype(np.float32)
 
 
+_ODD = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
+
+
 def elements(words: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Sorted elements of a text from its word hashes: 48 bits of hash, 16 bits of weight."""
     n = len(words)
     if not n:
         return np.zeros(0, np.int64)
     k = min(n, SHINGLE)
-    weight = idf[(words >> np.uint64(64 - 16)).astype(np.int64)].astype(np.float64)
-    h = np.zeros(n - k + 1, np.uint64)
-    w = np.zeros(n - k + 1)
-    for j in range(k):
-        h = mix(h ^ words[j : n - k + 1 + j])
+    weight = idf[(words >> np.uint64(64 - 16)).astype(np.uint16)]
+    h, w = words[: n - k + 1] * _ODD[0], weight[: n - k + 1].astype(np.float64)
+    for j in range(1, k):
+        h = h + words[j : n - k + 1 + j] * _ODD[j]
         w += weight[j : n - k + 1 + j]
-    order = np.argsort(h, kind="stable")
-    h, w = h[order], w[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    nth = (np.arange(len(h)) - first).astype(np.uint64)
-    h = np.where(nth > 0, mix(h + nth), h)
     units = np.clip(np.rint(w * (_UNIT / SHINGLE)), 1, 65_535).astype(np.uint64)
-    return np.sort(((h << np.uint64(16)) | units).view(np.int64))
-
-
-def _draws(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    out = np.sort((mix(h) << np.uint64(16)) | units)
+    again = out[1:] == out[:-1]
+    if again.any():  # the j-th occurrence of a run gets a hash of its own
+        new = np.concatenate(([True], ~again))
+        first = np.maximum.accumulate(np.where(new, np.arange(len(out)), 0))
+        nth = (np.arange(len(out)) - first).astype(np.uint64)
+        other = (mix((out >> np.uint64(16)) + (nth << np.uint64(48))) << np.uint64(16)) | (out & np.uint64(0xFFFF))
+        out = np.sort(np.where(nth > 0, other, out))
+    return out.view(np.int64)
+
+
+def _draws(x: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per element two Gamma(2, 1) numbers and a uniform one, the same wherever the element occurs."""
-    base = mix(x ^ np.uint64(mix(np.array([seed], np.uint64))[0]))
+    base = mix(x ^ seed)
     u = []
     for k in range(1, 6):
         v = mix(base + np.uint64(k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
@@ -129,7 +134,7 @@ def _draws(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return -np.log(u[0] * u[1]), -np.log(u[2] * u[3]), u[4]
 
 
-def _ranked(x: np.ndarray, log_weight: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _ranked(x: np.ndarray, log_weight: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log of the ICWS value a of each element, and its sample (element with step t)."""
     r, c, beta = _draws(x, seed)
     t = np.floor(log_weight / r + beta)
@@ -137,32 +142,56 @@ def _ranked(x: np.ndarray, log_weight: np.ndarray, seed: int) -> tuple[np.ndarra
     return log_a, mix(x ^ (t.astype(np.int64).view(np.uint64) << np.uint64(1)))
 
 
-def signature(elems: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
-    """Bin-wise consistent weighted sampling: ``size`` samples with about one draw per element.
+def _fill(out: np.ndarray, least: np.ndarray, spot: np.ndarray, log_a: np.ndarray, sample: np.ndarray) -> None:
+    """Put the sample of least value into each spot named."""
+    np.minimum.at(least, spot, log_a)
+    won = log_a == least[spot]
+    out[spot[won]] = sample[won]
 
-    Elements fall into ``size`` bins, and each bin keeps its ICWS sample. A bin left empty takes an ICWS
-    sample of all elements under a seed of its own, so short texts get independent samples.
-    """
-    x = elems.view(np.uint64)
-    log_weight = np.log((elems & 0xFFFF).astype(np.float64))
-    bins = (mix(x) % np.uint64(size)).astype(np.int64)
-    log_a, sample = _ranked(x, log_weight, 0)
-    least = np.full(size, np.inf)
-    np.minimum.at(least, bins, log_a)
-    out = np.zeros(size, np.uint64)
-    won = np.flatnonzero(log_a == least[bins])
-    out[bins[won]] = sample[won]
-    for k in np.flatnonzero(np.isinf(least)):
-        log_a, sample = _ranked(x, log_weight, int(k) + 1)
-        out[k] = sample[np.argmin(log_a)]
-    return out
 
+def signatures(texts: list[np.ndarray], size: int = BANDS * ROWS, room: int = 1 << 19) -> np.ndarray:
+    """Bin-wise consistent weighted sampling: ``size`` samples of each text, one draw per element.
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(BANDS, ROWS)
-    h = np.arange(BANDS, dtype=np.uint64)
+    Elements fall into ``size`` bins, and each bin keeps its ICWS sample. A bin left empty takes an ICWS
+    sample of all elements under a seed of its own, so short texts get independent samples. ``room``
+    bounds the draws made at once.
+    """
+    seeds = mix(np.arange(size + 1, dtype=np.uint64))
+    out = np.zeros(len(texts) * size, np.uint64)
+    least = np.full(len(texts) * size, np.inf)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(np.cumsum(lengths) // room)) + 1, [len(texts)]))
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if hi == lo:
+            continue
+        elems = np.concatenate(texts[lo:hi])
+        x = elems.view(np.uint64)
+        log_weight = np.log((elems & 0xFFFF).astype(np.float64))
+        owner = np.repeat(np.arange(lo, hi), lengths[lo:hi])
+        spot = owner * size + (mix(x) % np.uint64(size)).astype(np.int64)
+        _fill(out, least, spot, *_ranked(x, log_weight, seeds[0]))
+        begin = np.cumsum(lengths[lo:hi]) - lengths[lo:hi]
+        empty = np.flatnonzero(np.isinf(least[lo * size : hi * size]))
+        empty = empty[lengths[lo + empty // size] > 0]
+        draws = lengths[lo + empty // size]
+        parts = np.concatenate(([0], np.flatnonzero(np.diff(np.cumsum(draws) // room)) + 1, [len(empty)]))
+        for a, b in zip(parts, parts[1:], strict=False):
+            if a == b:
+                continue
+            some, n = empty[a:b], draws[a:b]
+            total = int(n.sum())
+            at = np.repeat(begin[some // size] - (np.cumsum(n) - n), n) + np.arange(total)
+            seed = np.repeat(seeds[1 + some % size], n)
+            _fill(out, least, np.repeat(lo * size + some, n), *_ranked(x[at], log_weight[at], seed))
+    return out.reshape(len(texts), size)
+
+
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """Keys of the bands of each signature."""
+    rows = sigs.reshape(len(sigs), BANDS, ROWS)
+    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(sigs), BANDS))
     for j in range(ROWS):
-        h = mix(h ^ mix(rows[:, j] + np.uint64(j)))
+        h = mix(h ^ mix(rows[:, :, j] + np.uint64(j)))
     return h.view(np.int64)
 
 
@@ -172,15 +201,14 @@ def sketches(docs: DataFrame, idf: np.ndarray, id_col: str = "doc_id", text_col:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, bands = [], []
+            digests, texts = [], []
             for text in batch.column(1):
                 words = words_of(text.as_py())
-                if not words:
-                    digests.append(None)
-                    bands.append(None)
-                    continue
-                digests.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest())
-                bands.append(band_keys(signature(elements(word_hashes(words), idf))))
+                digest = hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
+                digests.append(digest if words else None)
+                texts.append(elements(word_hashes(words), idf))
+            keys = band_keys(signatures(texts))
+            bands = [k if d else None for k, d in zip(keys, digests, strict=True)]
             cols = [batch.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.record_batch(cols, schema=schema)
 
@@ -218,16 +246,94 @@ def verified(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame
     ).select("a", "b")
 
 
+def block_links(rows: pd.DataFrame, similarity: float, columns: int = 4_096) -> list[tuple[int, int]]:
+    """Links that join different components among some texts: a spanning forest of them.
+
+    ``rows`` has id, weight, elems, component and side; texts of side 0 meet those of side 1, and each
+    other where all are of side 0. Common weights of all pairs come from matrix products over slices of
+    the elements that occur more than once.
+    """
+    rows = rows.drop_duplicates("id")
+    n = len(rows)
+    elems = np.concatenate([np.asarray(e, np.int64) for e in rows["elems"]]) if n else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(n), [len(e) for e in rows["elems"]])
+    found, place, count = np.unique(elems, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    number = np.full(len(found), -1)
+    number[shared] = np.arange(len(shared))
+    at = number[place]
+    owner, at = owner[at >= 0], at[at >= 0]
+    common = np.zeros((n, n))
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for lo in range(0, len(shared), columns):
+        a, b = np.searchsorted(at, (lo, lo + columns))
+        has = np.zeros((n, min(columns, len(shared) - lo)), np.float32)
+        has[owner[a:b], at[a:b] - lo] = 1.0
+        weight = (found[shared[lo : lo + columns]] & 0xFFFF).astype(np.float32)
+        common += (has * weight) @ has.T
+    total = rows["weight"].to_numpy(float)
+    either = total[:, None] + total[None, :] - common
+    near = common >= similarity * either - 1e-3  # weights are whole numbers
+    side = rows["side"].to_numpy()
+    if (side == 1).any():
+        near &= side[:, None] != side[None, :]
+    i, j = np.nonzero(np.triu(near, 1))
+    ids, root = rows["id"].to_numpy(), {}
+
+    def find(v: int) -> int:
+        while root.get(v, v) != v:
+            root[v] = root.get(root[v], root[v])
+            v = root[v]
+        return v
+
+    component = rows["component"].to_numpy()
+    out = []
+    for p, q in zip(i, j, strict=True):
+        u, v = find(int(component[p])), find(int(component[q]))
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            out.append((int(min(ids[p], ids[q])), int(max(ids[p], ids[q]))))
+    return out
+
+
+def crowded_links(placed: DataFrame, table: DataFrame, similarity: float, block: int = BLOCK_TEXTS) -> DataFrame:
+    """Links between components in buckets of many texts: every pair of blocks of a bucket meets in a task
+    of its own, and only links that join components come out.
+
+    ``placed`` has band, id, component and n, the texts of the bucket.
+    """
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    own = placed.withColumn("b", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1))
+    )
+    own = own.select(
+        "band",
+        F.least("b", "other").alias("i"),
+        F.greatest("b", "other").alias("j"),
+        "id",
+        "component",
+        (F.col("b") > F.col("other")).cast("int").alias("side"),
+    )
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(block_links(rows, similarity), columns=["a", "b"]).astype("int64")
+
+    joined = own.join(table, "id")
+    return joined.groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, class_id, kept: one row per document.
 
     ``class_id`` is the smallest id reachable over links between texts of at least ``similarity``;
-    ``kept`` marks that document. Texts with equal words are one text. Every band bucket links its
-    texts to its smallest, and wherever a bucket still holds several components, each text outside the
-    largest is compared with every text of another component: no link between components is lost, and
-    a bucket of m copies costs m pairs, not m squared.
+    ``kept`` marks that document. Texts with equal words are one text. Every band bucket compares its
+    texts with the one of most company, and wherever a bucket still holds several components, each text
+    outside the largest is compared with every text of another component, pair by pair or, in buckets
+    of more than ``CROWD`` texts, block by block: no link between components is lost, and a bucket of m
+    copies of one text costs m pairs, not m squared.
 
     Null texts and texts without words link with nothing, nor does a null id. Rows that repeat an id
     are one document. An empty table gives no rows.
@@ -243,30 +349,43 @@ def near_duplicates(
     )
     texts = materialize(texts)
     keyed = texts.select("id", F.explode("bands").alias("band"))
-    buckets = keyed.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
-    members = materialize(keyed.join(buckets.select("band", "lead"), "band"))
-
-    first = materialize(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    buckets = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(keyed.join(buckets, "band"))
+    # A bucket is led by its text of most company in all its buckets: the one most others are copies of.
+    company = members.groupBy("id").agg(F.sum("n").alias("company"))
+    rated = members.join(company, "id")
+    leads = rated.groupBy("band").agg(F.max_by("id", F.struct("company", -F.col("id"))).alias("lead"))
+    led = members.join(leads, "band").where("id <> lead")
+    first = led.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    first = materialize(first)
     wanted = members.select(F.col("id").alias(id_col)).distinct()
-    table = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(wanted, id_col, "left_semi")
+    # The set of candidates grows with the corpus, so it is never broadcast.
+    table = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(
+        wanted.hint("merge"), id_col, "left_semi"
+    )
     table = materialize(element_table(table, idf, id_col, text_col).dropDuplicates(["id"]))
     links = materialize(verified(first, table, similarity))
     roots = components(links)
 
     placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.select("band", "id", F.coalesce("component", "id").alias("component"))
-    groups = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+    placed = placed.select("band", "id", "n", F.coalesce("component", "id").alias("component"))
+    groups = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
     mixed = groups.groupBy("band").agg(
-        F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")
+        F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")
     )
     mixed = mixed.where("parts > 1").select("band", "largest")
     placed = materialize(placed.join(mixed, "band"))
-    x = placed.where("component <> largest").select("band", F.col("id").alias("x"), F.col("component").alias("cx"))
-    y = placed.select("band", F.col("id").alias("y"), F.col("component").alias("cy"), "largest")
-    cross = x.join(y, "band").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))))
+    few = placed.where(F.col("n") <= CROWD)
+    x = few.where("component <> largest").select("band", F.col("id").alias("x"), F.col("component").alias("cx"))
+    y = few.select("band", F.col("id").alias("y"), F.col("component").alias("cy"), "largest")
+    once = (F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))
+    cross = x.join(y, "band").where((F.col("cx") != F.col("cy")) & once)
     cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     cross = cross.join(first, ["a", "b"], "left_anti")
-    more = materialize(verified(cross, table, similarity))
+    more = verified(cross, table, similarity).unionByName(
+        crowded_links(placed.where(F.col("n") > CROWD), table, similarity)
+    )
+    more = materialize(more)
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
