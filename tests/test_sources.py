@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +185,56 @@ def test_stream_state_equals_batch_state(spark, tmp_path):
     last = out.groupBy("instrument_id").agg(F.max_by("order_time", "epoch").alias("order_time"))
     batch = state.latest_state(df).select("instrument_id", F.col("exchange_ts").cast("timestamp").alias("order_time"))
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_last_written_row_wins(spark, tmp_path):
+    """An unconfirmed bar, then a lower confirmed correction: the correction is read."""
+    path = str(tmp_path)
+    for close, confirm in ((200.0, 0), (100.5, 1)):
+        bar = candles(spark, [close]).withColumns({"venue": F.lit("SIM"), "confirm": F.lit(confirm)})
+        market.write_market(market.canonicalize(bar, "candles", strict=False), path, "candles")
+    got = market.read_market(spark, path, "candles").collect()
+    assert [(r.close, r.confirm) for r in got] == [(100.5, 1)]
+
+
+def test_clean_candles_takes_the_later_bar(spark):
+    early = candles(spark, [200.0]).withColumn("arrival", F.lit(0))
+    late = candles(spark, [100.5]).withColumn("arrival", F.lit(1))
+    got = market.clean_candles(early.unionByName(late), order=["arrival"]).collect()
+    assert [r.close for r in got] == [100.5]
+
+
+def test_upsert_order_beats_arrival(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for rows in ([(1, 0, 5, 1.0)], [(1, 0, 3, 9.0)], [(2, 0, 1, 7.0), (2, 0, 2, 4.0)]):
+        df = spark.createDataFrame(rows, "k int, part int, seq int, v double")
+        market.upsert_partitions(spark, df, path, ["k"], ["part"], ["seq"])
+    assert {r.k: r.v for r in spark.read.parquet(path).collect()} == {1: 1.0, 2: 4.0}
+
+
+def test_instrument_types(spark):
+    names = ["BTC-USD-SWAP", "BTC-USD-SWAP#OLD#1", "BTC-USD-240329", "BTC-USD-240329#OLD#2", "BTC-USDT"]
+    df = spark.createDataFrame([(n,) for n in names], "i string")
+    got = [r.k for r in df.select(files.instrument_kind(F.col("i")).alias("k")).collect()]
+    assert got == ["SWAP", "SWAP", "FUTURES", "FUTURES", "FUTURES"]
+
+
+def test_silent_keys_turn_stale(spark):
+    rows = [("A", datetime(2024, 1, 1, 0, 0), 1.0), ("B", datetime(2024, 1, 1, 0, 10), 2.0)]
+    e = spark.createDataFrame(rows, "instrument_id string, received_at timestamp_ntz, value double")
+    got = state.minute_snapshots(e, columns=["value"]).where("instrument_id = 'A'").orderBy("timestamp").collect()
+    assert len(got) == 11 and [r.status for r in got[:3]] == ["fresh"] * 3 and got[-1].status == "stale"
+    until = datetime(2024, 1, 1, 0, 30)
+    assert state.minute_snapshots(e, columns=["value"], until=until).where("instrument_id = 'B'").count() == 21
+
+
+def test_release_deletes_stage_tables(spark, tmp_path):
+    from tidemark import session
+
+    df = session.materialize(spark.range(5).toDF("x"))
+    folder = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert df.count() == 5 and folder.exists()
+    kept = session._STAGES[spark.sparkContext.applicationId]
+    session._STAGES[spark.sparkContext.applicationId] = [str(folder)]
+    assert session.release(spark) == 1 and not folder.exists()
+    session._STAGES[spark.sparkContext.applicationId] = [p for p in kept if p != str(folder)]
