@@ -104,7 +104,7 @@ class WordScores(dict):
 
 
 def fit_ordinal(
-    rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, rounds: int = 80, rate: float = 0.5, decay: float = 1e-3
+    rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, rounds: int = 200, rate: float = 0.5, decay: float = 1e-3
 ) -> OrdinalModel:
     """Penalised maximum likelihood of the proportional-odds model by Adam.
 
