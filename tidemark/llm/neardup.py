@@ -2,8 +2,9 @@
 
 A text is its lower-case words between white space. Its elements are runs of ``SHINGLE`` words (one
 run of all words where there are fewer), the j-th occurrence of a run being an element of its own, so
-that a sum over elements counts each run as often as it occurs (tf). An element weighs the sum of the
-idf of its words. Word counts come from all documents, in ``DF_CELLS`` hashed cells: a bounded table,
+that a sum over elements counts each run as often as it occurs (tf). An element weighs the sum over its
+words of 1 and ``IDF_SHARE`` of the idf: edits tend to be rare words, and the full idf would rate pairs
+whose plain similarity is well over the threshold under it. Word counts come from all documents, in ``DF_CELLS`` hashed cells: a bounded table,
 whatever the vocabulary. Counting whole runs instead would rate a passage of a large family of copies
 far below each copy's own edits, and copies that are alike would fall under the threshold.
 
@@ -30,6 +31,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 DF_CELLS = 1 << 16
+IDF_SHARE = 0.1
 CROWD = 32
 BLOCK_TEXTS = 256
 WORDS_KEPT = 200_000
@@ -94,8 +96,8 @@ def document_counts(docs: DataFrame, text_col: str = "text") -> tuple[int, np.nd
 
 
 def word_weights(total: int, counts: np.ndarray) -> np.ndarray:
-    """idf per cell, never 0, so that every word counts."""
-    return np.log1p(max(total, 1) / np.maximum(counts, 1)).astype(np.float32)
+    """Weight per cell: 1 and a share of the idf, so that every word counts and rare ones count more."""
+    return (1.0 + IDF_SHARE * np.log1p(max(total, 1) / np.maximum(counts, 1))).astype(np.float32)
 
 
 _ODD = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
