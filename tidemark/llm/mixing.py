@@ -10,6 +10,7 @@ from tidemark.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 SLICES = 4_096
+SALTS = 64
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -55,6 +56,20 @@ def source_targets(
     )
 
 
+def with_source(t: DataFrame, by: DataFrame, how: str = "inner") -> DataFrame:
+    """``t`` with the columns of ``by``, which has one row per source.
+
+    A source may hold a third of all rows, so documents meet ``SALTS`` copies of its row by their id.
+    """
+    names = [c for c in by.columns if c != "source"]
+    salted = by.select(
+        F.col("source").alias("_source"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), *names
+    )
+    salt = F.pmod(F.xxhash64(t["doc_id"], t["size"]), F.lit(SALTS)).cast("int")
+    on = t["source"].eqNullSafe(salted["_source"]) & (salt == salted["_salt"])
+    return t.join(salted, on, how).drop("_source", "_salt")
+
+
 def uniform(*cols: str, seed: int) -> F.Column:
     """A number in (0, 1) from the text of the columns: the same on every run and in any SQL with md5."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
@@ -87,13 +102,11 @@ def pareto_mix(
     """
     sized = materialize(sizes(docs, id_col, text_col, source_col))
     targets = materialize(source_targets(sized, weights, share, most))
-    same = sized["source"].eqNullSafe(targets["source"])
-    t = sized.join(targets, same).select(sized["*"], "source_size", "target")
+    t = with_source(sized, targets)
     # Due copies d = min(most, c * tilt); c solves sum(d * size) = target by halving on slice sums of the tilt.
     tilt = 1.0 + F.col("size") / (F.col("size") + F.lit(200.0))
     t = t.withColumn("tilt", F.floor(tilt * 64) / 64.0)
-    scale = _scales(t, most)
-    t = t.join(scale, t["source"].eqNullSafe(scale["s_source"])).drop("s_source")
+    t = with_source(t, _scales(t, most))
     due = F.least(F.lit(float(most)), F.col("c") * F.col("tilt"))
     t = t.withColumn("due", F.when(F.col("source_size") > 0, due).otherwise(F.lit(0.0)))
     t = t.withColumn("whole", F.floor(F.col("due") + 1e-9)).withColumn("p", F.greatest(F.lit(0.0), F.col("due") - F.col("whole")))
@@ -114,10 +127,10 @@ def pareto_mix(
     j = j.withColumn("room", F.col("goal") - F.col("sure") - F.col("before"))
     # The critical slice is the first that does not fit whole.
     critical = j.where((F.col("room") >= 0) & (F.col("room") < F.col("words")))
-    critical = critical.groupBy(F.col("source").alias("k_source")).agg(
+    critical = critical.groupBy("source").agg(
         F.min("cell").alias("k_cell"), F.min_by("room", "cell").alias("k_room")
     )
-    t = t.join(critical, t["source"].eqNullSafe(F.col("k_source")), "left")
+    t = with_source(t, critical, "left")
     inside = t.where(F.col("cell") == F.col("k_cell"))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("picked", F.sum("size").over(order) <= F.col("k_room"))
@@ -159,22 +172,21 @@ def _scales(t: DataFrame, most: float) -> DataFrame:
     c = F.when(F.col("rest") > 0, (F.col("goal") - most * F.col("full")) / F.col("rest")).otherwise(F.lit(0.0))
     steps = steps.withColumn("c", c)
     fits = steps.where(F.col("c") * F.col("tilt") <= most + 1e-9)
-    return fits.groupBy(F.col("source").alias("s_source")).agg(F.max_by("c", "tilt").alias("c"))
+    return fits.groupBy("source").agg(F.max_by("c", "tilt").alias("c"))
 
 
 def _closer(t: DataFrame) -> DataFrame:
     """Per source, the unsampled document nearest in size to the missing words, if it narrows the gap."""
     taken = F.col("size") * (F.col("whole") + F.col("picked").cast("long"))
     gap = t.groupBy("source").agg(F.max("target").alias("goal"), F.sum(taken).alias("have"))
-    gap = gap.select(F.col("source").alias("g_source"), (F.col("goal") - F.col("have")).alias("gap"))
-    free = t.where((F.col("key").isNotNull()) & ~F.col("picked"))
-    near = free.join(gap, free["source"].eqNullSafe(F.col("g_source")))
+    gap = gap.select("source", (F.col("goal") - F.col("have")).alias("gap"))
+    near = with_source(t.where((F.col("key").isNotNull()) & ~F.col("picked")), gap)
     off = F.abs(F.col("size") - F.col("gap"))
-    near = near.where(off < F.col("gap")).groupBy(F.col("source").alias("n_source")).agg(
+    near = near.where(off < F.col("gap")).groupBy("source").agg(
         F.min_by("doc_id", F.struct(off, F.col("key"), F.col("doc_id"))).alias("last_id"),
         F.first(F.lit(True)).alias("closes"),
     )
-    t = t.join(near, t["source"].eqNullSafe(F.col("n_source")), "left")
+    t = with_source(t, near, "left")
     last = F.col("closes") & F.col("doc_id").eqNullSafe(F.col("last_id")) & F.col("key").isNotNull()
     t = t.withColumn("picked", F.col("picked") | F.coalesce(last, F.lit(False)))
-    return t.drop("n_source", "last_id", "closes")
+    return t.drop("last_id", "closes")
