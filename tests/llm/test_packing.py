@@ -1,5 +1,6 @@
 """Packing against the tokenizer itself and against a plain best-fit loop."""
 
+import random
 import zlib
 from itertools import pairwise
 
@@ -32,6 +33,24 @@ def test_words_put_together_are_the_whole_text():
         assert words.text(t or "") == np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_random_texts_too():
+    tok, words, rng = Tokenizer.from_file(default_tokenizer()), WordIds(default_tokenizer()), random.Random(0)
+    parts = ["a", "The", "'s", "don", "é", "É", "12", "3", "***", "_", "-", "<|endoftext|>", "<|", "|>", "<", "|", ".", "!?", "=", "\u0338", "\u0301",
+             "~", "İ", "Σ", "日本", " ", "\u00a0", "\t", "\u200b", "@", "[at]"]
+    for _ in range(5000):
+        text = "".join(rng.choice([*parts, " ", "\n"]) for _ in range(rng.randrange(1, 9)))
+        assert words.text(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_a_small_memory_changes_nothing(monkeypatch):
+    monkeypatch.setattr("tidemark.llm.tokens.WORDS_KEPT", 3)
+    tok, words = Tokenizer.from_file(default_tokenizer()), WordIds(default_tokenizer())
+    text = "one two three, four five! one two six seven (one) eight two nine one"
+    for _ in range(3):
+        assert words.text(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(words) <= 3 and len(words.older) <= 3
+
+
 def test_pieces_and_places(spark):
     tok = Tokenizer.from_file(default_tokenizer())
     rows = packing.pack_documents(frame(spark, TEXTS), 64).collect()

@@ -32,54 +32,64 @@ from tidemark.llm.tokens import default_tokenizer, word_ids
 MAGIC, VERSION = b"TMREPAIR", 1
 _HEAD = struct.Struct("<8sIIQQQQQB")
 END_ID = 2
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 MIN_COUNT = 8
 RULES_A_ROUND = 4_096
+LEAST_GAIN = 0.01
+_SPREAD = 256
+_SLOT_BITS = 17
 
 
 def _pairs(seq: np.ndarray) -> np.ndarray:
-    return (seq[:-1].astype(np.int64) << 32) | seq[1:].astype(np.int64)
+    out = np.empty((len(seq) - 1, 2), "<u4")  # the right symbol is the low half
+    out[:, 0] = seq[1:]
+    out[:, 1] = seq[:-1]
+    return out.view("<u8").ravel()
 
 
 def _starts(marked: np.ndarray) -> np.ndarray:
     """Positions to replace: of each run of marked positions every second one, from its first."""
-    at = np.flatnonzero(marked)
-    if not len(at):
-        return at
-    new = np.ones(len(at), bool)
-    new[1:] = np.diff(at) != 1
-    head = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-    return at[(np.arange(len(at)) - head) % 2 == 0]
+    place = np.arange(1, len(marked) + 1, dtype=np.int32)
+    # How far behind the last position without a mark: an odd number of steps in every second place.
+    gap = np.maximum.accumulate(np.where(marked, np.int32(0), place))
+    np.subtract(place, gap, out=gap)
+    gap &= 1
+    return np.flatnonzero(gap)
 
 
 def compress(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT, rules_a_round: int = RULES_A_ROUND):
     """Sequence, rules (left, right) and expansion lengths of a Re-Pair grammar.
 
-    Each round counts all adjacent pairs and replaces the most frequent ones by new nonterminals, in
-    rounds of up to ``rules_a_round`` pairs: those from half the highest count down to an eighth are
-    taken together, since one replacement seldom changes the rank of the others. Overlaps go to the
-    left. It ends when no pair occurs ``min_count`` times. A pair that overlaps left without a use gets
-    no rule.
+    Each round counts all adjacent pairs and replaces the most frequent ones, up to ``rules_a_round``,
+    by new nonterminals: a pair much rarer than the most frequent one waits for the counts of the next
+    round. Overlaps go to the left; a pair left without two uses gets no rule. It ends when no pair
+    occurs ``min_count`` times or a round shortens the sequence by less than ``LEAST_GAIN``.
     """
-    seq = np.asarray(ids, np.uint32)
+    seq = np.array(ids, np.uint32)
     lefts: list[np.ndarray] = []
     rights: list[np.ndarray] = []
     next_symbol = terminals
+    slots = np.empty(1 << _SLOT_BITS, np.int32)
     while len(seq) > 1:
         pairs = _pairs(seq)
         order = np.sort(pairs)
-        edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
-        count = np.diff(np.concatenate((edge, [len(order)])))
+        edge = np.flatnonzero(order[1:] != order[:-1]) + 1
+        edge = np.concatenate(([0], edge, [len(order)]))
+        count = np.diff(edge)
         top = int(count.max())
         if top < min_count:
             break
-        good = np.flatnonzero(count >= max(min_count, top // 8))
+        good = np.flatnonzero(count >= max(min_count, top // _SPREAD))
         if len(good) > rules_a_round:
             good = good[np.argsort(-count[good], kind="stable")[:rules_a_round]]
-            good.sort()
+        else:
+            good = good[np.argsort(-count[good], kind="stable")]
         chosen = order[edge[good]]
-        place = np.searchsorted(chosen, pairs)
-        place[place == len(chosen)] = 0
+        # Pairs are found again through a table of hashed slots; of two in a slot the more frequent stays.
+        slot = _slot(chosen)
+        slots.fill(0)
+        slots[slot[::-1]] = np.arange(len(chosen) - 1, -1, -1, dtype=np.int32)
+        place = slots[_slot(pairs)]
         at = _starts(chosen[place] == pairs)
         which = place[at]
         used = np.bincount(which, minlength=len(chosen)) >= 2
@@ -88,19 +98,25 @@ def compress(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT, rules_
         if not len(at):
             break
         name = np.cumsum(used) - 1
-        lefts.append((chosen[used] >> 32).astype(np.uint32))
-        rights.append((chosen[used] & 0xFFFFFFFF).astype(np.uint32))
-        seq = seq.copy()
+        lefts.append((chosen[used] >> np.uint64(32)).astype(np.uint32))
+        rights.append((chosen[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        before = len(seq)
         seq[at] = (next_symbol + name[which]).astype(np.uint32)
-        drop = np.ones(len(seq), bool)
+        drop = np.ones(before, bool)
         drop[at + 1] = False
         seq = seq[drop]
         next_symbol += int(used.sum())
+        if before - len(seq) < LEAST_GAIN * before:
+            break
     left = np.concatenate(lefts) if lefts else np.zeros(0, np.uint32)
     right = np.concatenate(rights) if rights else np.zeros(0, np.uint32)
     return seq, left, right, expansions(left, right, terminals)
 
 
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
+
+
 def expansions(left: np.ndarray, right: np.ndarray, terminals: int) -> np.ndarray:
     """Expanded length of each rule; a rule only names terminals and earlier rules."""
     out = np.zeros(len(left), np.uint32)
@@ -115,21 +131,42 @@ def expansions(left: np.ndarray, right: np.ndarray, terminals: int) -> np.ndarra
     return out
 
 
-def expand(seq: np.ndarray, left: np.ndarray, right: np.ndarray, terminals: int) -> np.ndarray:
-    """All ids of a run of symbols, one level of rules at a time."""
-    seq = np.asarray(seq, np.uint32)
-    while True:
-        rule = seq >= terminals
-        if not rule.any():
-            return seq
-        size = np.where(rule, 2, 1)
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.uint32)
-        out[at[~rule]] = seq[~rule]
-        k = seq[rule] - terminals
-        out[at[rule]] = left[k]
-        out[at[rule] + 1] = right[k]
-        seq = out
+def rule_pool(left: np.ndarray, right: np.ndarray, lengths: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
+    """All rules' ids one after another, and where each rule's begin."""
+    lengths = np.asarray(lengths, np.int64)
+    begin = np.cumsum(lengths) - lengths
+    pool = np.empty(int(lengths.sum()), np.uint32)
+    sides = np.stack([left, right], axis=1).astype(np.int64) if len(left) else np.zeros((0, 2), np.int64)
+    size = np.where(sides < terminals, 1, lengths[np.maximum(sides - terminals, 0)]) if len(left) else sides
+    level = np.zeros(len(left), np.int64)
+    deeper = True
+    while deeper:  # a rule lies one level above its parts
+        inner = np.where(sides < terminals, -1, level[np.maximum(sides - terminals, 0)]).max(axis=1, initial=-1) + 1
+        deeper = bool((inner != level).any())
+        level = inner
+    for depth in range(int(level.max(initial=-1)) + 1):
+        at = np.flatnonzero(level == depth)
+        for side, to in ((0, begin[at]), (1, begin[at] + size[at, 0])):
+            part, n = sides[at, side], size[at, side]
+            plain = part < terminals
+            pool[to[plain]] = part[plain]
+            source = begin[part[~plain] - terminals]
+            pool[_ranges(to[~plain], n[~plain])] = pool[_ranges(source, n[~plain])]
+    return pool, begin
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after another."""
+    end = np.cumsum(size, dtype=begin.dtype)
+    total = int(end[-1]) if len(end) else 0
+    out = np.repeat(begin - (end - size), size)
+    out += np.arange(total, dtype=begin.dtype)
+    return out
+
+
+def expand(seq: np.ndarray, size: np.ndarray, begin: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """All ids of a run of symbols; ``size`` and ``begin`` place each symbol's ids in the pool."""
+    return pool[_ranges(begin[seq], size[seq])]
 
 
 def write_shard(ids: np.ndarray, doc_lengths: np.ndarray, terminals: int, end_id: int = END_ID) -> bytes:
@@ -163,17 +200,20 @@ class Shard:
         pairs = np.frombuffer(data, "<u4", 2 * rules, at).reshape(rules, 2)
         self.left, self.right = pairs[:, 0], pairs[:, 1]
         at += 8 * rules
-        self.lengths = np.frombuffer(data, "<u4", rules, at).astype(np.int64)
+        lengths = np.frombuffer(data, "<u4", rules, at).astype(np.int64)
         at += 4 * rules
         self.seq = np.frombuffer(data, "<u4" if width == 4 else "<u2", symbols, at).astype(np.uint32)
-        size = np.ones(symbols, np.int64)
-        rule = self.seq >= self.terminals
-        size[rule] = self.lengths[self.seq[rule] - self.terminals]
-        self.ends = np.cumsum(size)
+        pool, begin = rule_pool(self.left, self.right, lengths, self.terminals)
+        # A terminal stands for itself: the pool opens with all of them.
+        self.pool = np.concatenate((np.arange(self.terminals, dtype=np.uint32), pool))
+        kind = np.int32 if len(self.pool) + self.n_ids < 2**31 else np.int64
+        self.size = np.concatenate((np.ones(self.terminals, kind), lengths.astype(kind)))
+        self.begin = np.concatenate((np.arange(self.terminals, dtype=kind), self.terminals + begin.astype(kind)))
+        self.ends = np.cumsum(self.size[self.seq], dtype=np.int64)
         self.doc_ends = np.cumsum(self.doc_lengths)
 
     def decode(self) -> np.ndarray:
-        return expand(self.seq, self.left, self.right, self.terminals)
+        return expand(self.seq, self.size, self.begin, self.pool)
 
     def decode_range(self, start: int, stop: int) -> np.ndarray:
         """Ids from ``start`` up to ``stop``: only the symbols over that range are expanded."""
@@ -182,7 +222,7 @@ class Shard:
         first = int(np.searchsorted(self.ends, start, "right"))
         last = int(np.searchsorted(self.ends, stop, "left"))
         before = int(self.ends[first - 1]) if first else 0
-        ids = expand(self.seq[first : last + 1], self.left, self.right, self.terminals)
+        ids = expand(self.seq[first : last + 1], self.size, self.begin, self.pool)
         return ids[start - before : stop - before]
 
     def document(self, n: int) -> np.ndarray:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
 import numpy as np
 
-WORDS_KEPT = 300_000
+# Words of a generation; the one before is kept too, and words still in use move on from it.
+WORDS_KEPT = 400_000
 LONGEST_KEPT = 48
-_LOOSE = ".,!?;:"
+# Marks that end a word as one run apart from its letters; those of contractions and special tokens are not among them.
+_LOOSE = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 # Letters that lower-casing and composing leave as they are, in one piece to any splitter by letters.
 _PLAIN = re.compile("[a-zà-öø-ÿ]+")
 _PROBES = ("the", "tionheast", "naïve", "über", "éçment", "señorzzq", "x", "straße", "abcdefghijklmnopqrstuvwxyz")
@@ -36,10 +39,14 @@ class WordIds(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        # The memory holds no cycles, and the default threshold would walk it for every few hundred words.
+        gc.set_threshold(100_000, 20, 20)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.older: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.older_cores: dict[str, bytes] = {}
         self.direct = all(self._by_model(w) == self._whole(w) for w in _PROBES)
 
     def _whole(self, word: str) -> bytes:
@@ -57,21 +64,27 @@ class WordIds(dict):
         key = word.lower() if word.isascii() and "<|" not in word else word
         ids = self.cores.get(key)
         if ids is None:
-            ids = self._by_model(key) if self.direct and _PLAIN.fullmatch(key) else self._whole(key)
+            ids = self.older_cores.get(key)
+            if ids is None:
+                ids = self._by_model(key) if self.direct and _PLAIN.fullmatch(key) else self._whole(key)
             if len(key) <= LONGEST_KEPT:
                 if len(self.cores) >= WORDS_KEPT:
-                    self.cores.clear()
+                    self.older_cores, self.cores = self.cores, {}
                 self.cores[key] = ids
         return ids
 
     def __missing__(self, word: str) -> bytes:
-        stem = word.rstrip(_LOOSE)
-        if stem != word and stem and stem[-1].isalnum():
-            ids = self._core(stem) + self._core(word[len(stem) :])
-        else:
-            ids = self._core(word)
+        ids = self.older.get(word)
+        if ids is None:
+            stem = word.rstrip(_LOOSE)
+            # (One capital grows a combining mark in lower case, which would join the marks behind it.)
+            if len(stem) < len(word) and stem and stem[-1].isalnum() and len(stem[-1].lower()) == 1:
+                ids = self._core(stem) + self._core(word[len(stem) :])
+            else:
+                ids = self._core(word)
         if len(word) <= LONGEST_KEPT:
             if len(self) >= WORDS_KEPT:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
