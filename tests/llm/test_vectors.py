@@ -101,3 +101,29 @@ def test_scan_abandons_no_neighbour_of_a_list():
         true = np.argsort(-(x @ q[n]) / norm)[:5]
         hit += len(set(true) & set(at_r[at_q == n]))
     assert hit >= 97
+
+
+def test_links_of_a_cone(spark):
+    """Unrelated vectors share most sign bits and sort between the two of a link in every pass."""
+    rng = np.random.default_rng(3)
+    x = np.c_[np.full(1500, 40.0), rng.standard_normal((1500, 31))]
+    x[1000:1040] = x[:40] + 0.6 * np.c_[np.zeros(40), rng.standard_normal((40, 31))]
+    x *= 1 + rng.random((1500, 1))
+    labels = np.zeros(1500, int)
+    want = brute(x, labels, 0.995)
+    assert 60 <= want[0].sum() <= 200
+    got = vecdup.near_vectors(table(spark, rows_of(x, labels)), 0.995, window=4).orderBy("vec_id").collect()
+    assert [r["n_links"] for r in got] == want[0].tolist()
+    assert [r["component_id"] for r in got] == want[1].tolist()
+
+
+def test_links_of_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 8))
+    labels = rng.integers(0, 2, 300)
+    want = brute(x, labels, 0.8)
+    monkeypatch.setattr(vecdup, "BLOCK_ROWS", 16)
+    got = vecdup.near_vectors(table(spark, rows_of(x, labels)), 0.8, window=5).orderBy("vec_id").collect()
+    assert want[0].sum() > 100
+    assert [r["n_links"] for r in got] == want[0].tolist()
+    assert [r["component_id"] for r in got] == want[1].tolist()
