@@ -117,6 +117,26 @@ def test_links_of_a_cone(spark):
     assert [r["component_id"] for r in got] == want[1].tolist()
 
 
+def test_links_across_ranges(spark):
+    """A group of near copies lies over many ranges of the order: members far apart by id still meet."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((400, 16))
+    x[50:350] = x[50] + 0.001 * rng.standard_normal((300, 16))
+    labels = np.zeros(400, int)
+    want = brute(x, labels)
+    keys = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = vecdup.near_vectors(table(spark, rows_of(x, labels)), window=16).orderBy("vec_id").collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert [r["n_links"] for r in got] == want[0].tolist()
+    assert [r["component_id"] for r in got] == want[1].tolist()
+
+
 def test_links_of_many_blocks(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((300, 8))
