@@ -57,6 +57,24 @@ def test_labelled_table_and_unseen_forms():
         assert pii.find_spans([text], crf) == [([], [])], text
 
 
+def test_spans_deep_in_a_long_chain():
+    """No span is torn, wherever in a chain of digit-dense words it lies."""
+    crf = pii.train(pii.parse_labelled())
+    for k in range(16):
+        before = "chapter 4 section 12 page 345 " * 85 + "room 101 " * k
+        text = before + "text 555 010 4477 for help " + "chapter 4 section 12 page 345 " * 90
+        assert pii.find_spans([text], crf) == [([], [("crf_phone", len(before) + 5, len(before) + 17)])], k
+
+
+def test_long_chains_decode_like_short_ones(monkeypatch):
+    rows = [w * 7 for w, _ in pii.parse_labelled()]
+    crf = pii.train(pii.parse_labelled())
+    want = crf.decode(rows)
+    monkeypatch.setattr(pii, "LONG_CHAIN", 3)
+    got = crf.decode(rows)
+    assert all((a == b).all() for a, b in zip(got, want, strict=True))
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     emit, moves, first = rng.standard_normal((6, 5, 3)), rng.standard_normal((3, 3)), rng.standard_normal(3)

@@ -145,7 +145,8 @@ _WORD = re.compile(r"\S+")
 _HOT = re.compile(r"[0-9@]|[\[(]at[\])]")
 _KEYS = frozenset("at dot tel tel: phone phone: call mobile fax ring text number mail email card visa amex ip host server".split())
 REACH = 4
-LONGEST_CHAIN = 512
+# Longer chains are decoded alone, so many words at a time.
+LONG_CHAIN = 512
 CELLS = 1 << 12
 
 
@@ -202,9 +203,12 @@ class Crf:
         return out
 
     def decode(self, chains: list[list[str]]) -> list[np.ndarray]:
-        """Viterbi labels of many chains at once, those of like length together."""
+        """Viterbi labels of many chains at once, those of like length together and very long ones alone."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chains)
         order = sorted(range(len(chains)), key=lambda i: len(chains[i]))
+        while order and len(chains[order[-1]]) > LONG_CHAIN:
+            i = order.pop()
+            out[i] = self.decode_long(chains[i])
         at = 0
         while at < len(order):
             longest = len(chains[order[at]])
@@ -221,6 +225,28 @@ class Crf:
             at = upto
         return out
 
+    def decode_long(self, words: list[str]) -> np.ndarray:
+        """Viterbi labels of one chain, scored ``LONG_CHAIN`` words at a time; the best scores carry over."""
+        n = len(words)
+        back = np.zeros((n, len(LABELS)), np.int8)
+        best = np.zeros(0)
+        for lo in range(0, n, LONG_CHAIN):
+            skip = min(lo, 1)  # the neighbours on both sides score too
+            emit = self.scores(words[lo - skip : lo + LONG_CHAIN + 1])[skip : skip + LONG_CHAIN]
+            for t, own in enumerate(emit, lo):
+                if t:
+                    via = best[:, None] + self.moves
+                    back[t] = via.argmax(axis=0)
+                    best = via.max(axis=0) + own
+                else:
+                    best = self.first + own
+        tags = np.zeros(n, np.int64)
+        last = int(best.argmax())
+        for t in range(n - 1, -1, -1):
+            tags[t] = last
+            last = back[t, last]
+        return tags
+
 
 def viterbi(emit: np.ndarray, lengths: np.ndarray, moves: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     n, steps, kinds = emit.shape
@@ -331,8 +357,8 @@ def _marginals(emit: np.ndarray, lengths: np.ndarray, moves: np.ndarray, first:
 def chains_of(text: str) -> list[list[tuple[str, int, int]]]:
     """Words with offsets around each word that has a digit, an at-sign or a bracketed "at".
 
-    Words farther than ``REACH`` from one are label O by rule: no kind can begin there. A chain that
-    would pass ``LONGEST_CHAIN`` words goes on as a new one.
+    Words farther than ``REACH`` from one are label O by rule: no kind can begin there. A chain is never
+    cut, however long.
     """
     if not _HOT.search(text):
         return []
@@ -341,12 +367,12 @@ def chains_of(text: str) -> list[list[tuple[str, int, int]]]:
     out: list[list[tuple[str, int, int]]] = []
     lo = hi = -1
     for i in hot:
-        if lo >= 0 and i - REACH <= hi and i - lo < LONGEST_CHAIN:
+        if lo >= 0 and i - REACH <= hi:
             hi = min(len(words), i + REACH + 1)
             continue
         if lo >= 0:
             out.append(words[lo:hi])
-        lo, hi = max(0, i - REACH, hi), min(len(words), i + REACH + 1)
+        lo, hi = max(0, i - REACH), min(len(words), i + REACH + 1)
     if lo >= 0:
         out.append(words[lo:hi])
     return out
