@@ -6,6 +6,7 @@ from itertools import pairwise
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing
@@ -124,3 +125,9 @@ def test_an_item_over_a_capacity_is_refused(spark):
         packing.pack(items, {"cost": (4.0, 1.0)}).collect()
     with pytest.raises(ValueError):
         packing.pack(items, {"cost": (0.0, 1.0)})
+
+
+def test_short_items_fill_few_more_sequences_than_needed(spark):
+    items = spark.range(40_000).withColumn("length", F.lit(2))
+    got = packing.pack(items, {"length": (2_048, 1.0)}, block_items=1_500).select("sequence_id").distinct().count()
+    assert got == -(-80_000 // 2_048)

@@ -18,6 +18,8 @@ from tidemark.session import materialize
 
 # Items packed together: far above the items of a sequence, so that a block's last open bins weigh little.
 BLOCK_ITEMS = 8_192
+# Of short items a block takes more, up to MOST_ITEMS, until they fill so many sequences.
+BLOCK_BINS, MOST_ITEMS = 256, 1 << 20
 END_ID = 0
 
 
@@ -112,7 +114,8 @@ def pack(
 ) -> DataFrame:
     """Items with ``sequence_id`` and ``offset``: vector best-fit in even blocks.
 
-    ``demands`` maps a column to (capacity, weight); no item may exceed a capacity on its own. The
+    ``demands`` maps a column to (capacity, weight); no item may exceed a capacity on its own. A block
+    has ``block_items`` items, or more where those would fill few sequences. The
     items are written once and dealt over blocks by row position, so neither a common id nor repeated
     rows gather in one task. ``offset`` is the running sum of ``order_col`` within the sequence.
     """
@@ -121,7 +124,11 @@ def pack(
     weights = np.array([float(demands[k][1]) for k in names])
     if not names or (caps <= 0).any() or (weights < 0).any() or rule not in ("norm", "dot"):
         raise ValueError("packing needs positive capacities, weights from 0 up, and rule norm or dot")
-    table = blocks_of(materialize(items), block_items)
+    table = materialize(items)
+    count, *filled = table.agg(F.count("*"), *(F.sum(F.col(k).cast("double")) for k in names)).first()
+    need = max((v or 0.0) / c for v, c in zip(filled, caps, strict=True))
+    blocks = max(1, -(-count // MOST_ITEMS), min(-(-count // block_items), int(need // BLOCK_BINS)))
+    table = blocks_of(table, max(1, -(-count // blocks)))
     out = T.StructType(
         [f for f in table.schema.fields if f.name != "_block"]
         + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
