@@ -90,6 +90,21 @@ def test_few_and_odd_candidates(spark):
     assert ann.nearest(table(spark, []), table(spark, [])).count() == 0
 
 
+def test_each_length_is_searched(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((60, 4))
+    rows = [(i, [float(v) for v in (r[:3] if i % 3 == 0 else r)], 1, 0, "") for i, r in enumerate(x)]
+    t = table(spark, rows, "double")
+    got = ann.nearest(t, t.where("vec_id < 12"), recall=1.0).collect()
+    for dim, ids in ((3, range(0, 60, 3)), (4, [i for i in range(60) if i % 3])):
+        part = x[list(ids), :dim]
+        norm = np.sqrt((part * part).sum(1))
+        for at, q in enumerate(ids):
+            if q < 12:
+                order = [ids[j] for j in np.argsort(-(part @ part[at]) / norm) if j != at][:5]
+                assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == order
+
+
 def test_scan_abandons_no_neighbour_of_a_list():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((1200, 48))

@@ -148,8 +148,9 @@ def nearest(
     and the queries of a list into blocks of ``QUERIES``, so neither a hot list nor a common query
     gathers in one task. A row of the query's own id is no candidate; ties go to the smaller id.
 
-    Vectors that are null, zero or not finite take no part, nor do those of another length than the
-    most common one of the sample. Fewer candidates than ``k`` give fewer rows; an empty table none.
+    Vectors that are null, zero or not finite take no part. A query's candidates are the rows of its
+    own length; each length that queries have is fitted and searched on its own. Fewer candidates than
+    ``k`` give fewer rows; an empty table none.
     """
     def valid(df: DataFrame) -> DataFrame:
         vec = F.col(vec_col).cast("array<double>")
@@ -157,21 +158,29 @@ def nearest(
             usable(F.col("vec")) & F.col("vec_id").isNotNull()
         )
 
-    rows = valid(table)
+    rows, asked = valid(table), valid(queries)
+    found = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for n, r in enumerate(asked.select(F.size("vec").alias("dim")).distinct().orderBy("dim").collect()):
+        same = F.size("vec") == r["dim"]
+        part = _nearest(rows.where(same), asked.where(same), r["dim"], k, sample_rows, recall)
+        if part is not None:
+            found = found.unionByName(part) if n else part
+    return found
+
+
+def _nearest(rows: DataFrame, queries: DataFrame, dim: int, k: int, sample_rows: int, recall: float) -> DataFrame | None:
+    """``nearest`` among valid vectors of one length; None where there are no rows."""
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vec").toPandas()["vec"]
-    empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(picked):
-        return empty
-    dims = np.array([len(v) for v in picked])
-    dim = int(np.bincount(dims).argmax())
-    sample = np.stack([v for v in picked if len(v) == dim])
+        return None
+    sample = np.stack(picked.to_list())
     lists = max(1, min(LISTS, len(sample) // 16, int(round(len(sample) ** 0.5))))
     centres = fit_lists(sample, lists)
     probes = min(lists, tune_probes(sample, centres, k, recall))
 
-    index = _assigned(rows.where(F.size("vec") == dim), centres, 1).withColumn("list", F.col("lists")[0]).drop("lists")
+    index = _assigned(rows, centres, 1).withColumn("list", F.col("lists")[0]).drop("lists")
     index = materialize(index)
-    asked = _assigned(valid(queries).where(F.size("vec") == dim), centres, lists)
+    asked = _assigned(queries, centres, lists)
     counts = index.groupBy("list").agg(F.count("*").alias("n")).collect()  # one row per list
     size = np.zeros(lists, np.int64)
     for r in counts:
