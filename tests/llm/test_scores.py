@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import quality, toxicity
@@ -87,6 +88,17 @@ def test_quality_on_rows_not_learned_from(spark):
     assert kept[1] > 0.98 and kept[0] < 0.15
 
 
+def test_too_many_grades_are_an_error(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(101)], "doc_id long, text string")
+    graded = spark.createDataFrame([(i, i) for i in range(101)], "doc_id long, grade int")
+    with pytest.raises(ValueError, match="grades"):
+        quality.fit(docs, graded)
+
+
+def test_whole_words_are_hashed():
+    assert quality.word_features("a" * 64 + "bc") != quality.word_features("a" * 64 + "de")
+
+
 def test_quality_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "fine words here"), (3, "fine words here"), (None, "x"), (4, "w " * 40_000)]
     docs = spark.createDataFrame([(*r, "a") for r in rows], "doc_id long, text string, kept string")

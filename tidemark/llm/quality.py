@@ -20,6 +20,7 @@ SAMPLE_CHARS = 20_000
 WORDS_KEPT = 200_000
 LONGEST_KEPT = 48
 REPEAT, EMPTY = 0, 1
+MOST_GRADES = 64
 _PLAIN = re.compile(r"[^\W\d_]+")
 
 
@@ -29,7 +30,6 @@ def _hash(name: str) -> int:
 
 def word_features(word: str) -> tuple[int, int]:
     """Hashed cells of a word: its letters in lower case, and its form (cases, digits, marks)."""
-    word = word[:64]
     core = "".join(_PLAIN.findall(word))
     if core == word:  # letters only: the form is the case
         form = "aa" if word.islower() else "AA" if word.isupper() else "Aa"
@@ -168,10 +168,13 @@ def fit(
     sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS,
 ) -> OrdinalModel:
     """Fit on a bounded sample: per grade the ``sample_rows`` rated rows of lowest hash, at most
-    ``sample_chars`` characters long. Grades are numbers in any steps; there are few of them."""
+    ``sample_chars`` characters long. Grades are numbers in any steps; more than
+    ``MOST_GRADES`` of them are an error."""
     given = graded.select(F.col(id_col).cast("long").alias(id_col), F.col(grade_col).cast("double").alias("_y"))
     given = given.where("_y IS NOT NULL")
-    found = [r["_y"] for r in given.select("_y").distinct().orderBy("_y").limit(64).collect()]
+    found = [r["_y"] for r in given.select("_y").distinct().orderBy("_y").limit(MOST_GRADES + 1).collect()]
+    if len(found) > MOST_GRADES:
+        raise ValueError(f"more than {MOST_GRADES} grades: bin them first")
     if not found:
         return OrdinalModel(np.zeros(CELLS), np.zeros(0), np.zeros(1))
     parts = [given.where(F.col("_y") == y).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows) for y in found]
