@@ -52,6 +52,18 @@ def test_overlapping_pairs_go_left():
     assert shard.decode().tolist() == [0] * 33
 
 
+def test_no_frequent_pair_is_left():
+    """One pair of many uses, and many rare ones that wait for it."""
+    rng = np.random.default_rng(1)
+    rare = np.repeat(np.arange(100, 1_100, dtype=np.uint32).reshape(-1, 2), 12, axis=0)
+    parts = [np.tile(np.array([[1, 2]], np.uint32), (5_000, 1)), rare, rng.integers(2_000, 40_000, (260_000, 2)).astype(np.uint32)]
+    ids = rng.permutation(np.concatenate(parts)).ravel()
+    seq, left, right, _ = repair.compress(ids, 49_408)
+    _, count = np.unique(repair._pairs(seq), return_counts=True)
+    assert count.max() < repair.MIN_COUNT
+    assert len(left) >= 501
+
+
 def test_files(spark, tmp_path):
     texts = ["b a", None, "", "x " * 5000, "same", "same"]
     keys = [5, 3, None, 1, 9, 9]

@@ -62,13 +62,15 @@ def compress(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT, rules_
 
     Each round counts all adjacent pairs and replaces the most frequent ones, up to ``rules_a_round``,
     by new nonterminals: a pair much rarer than the most frequent one waits for the counts of the next
-    round. Overlaps go to the left; a pair left without two uses gets no rule. It ends when no pair
-    occurs ``min_count`` times or a round shortens the sequence by less than ``LEAST_GAIN``.
+    round, until a round shortens the sequence by less than ``LEAST_GAIN``; from then on none waits.
+    Overlaps go to the left; a pair left without two uses gets no rule. It ends when no pair occurs
+    ``min_count`` times.
     """
     seq = np.array(ids, np.uint32)
     lefts: list[np.ndarray] = []
     rights: list[np.ndarray] = []
     next_symbol = terminals
+    spread, most = _SPREAD, rules_a_round
     slots = np.empty(1 << _SLOT_BITS, np.int32)
     while len(seq) > 1:
         pairs = _pairs(seq)
@@ -79,9 +81,9 @@ def compress(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT, rules_
         top = int(count.max())
         if top < min_count:
             break
-        good = np.flatnonzero(count >= max(min_count, top // _SPREAD))
-        if len(good) > rules_a_round:
-            good = good[np.argsort(-count[good], kind="stable")[:rules_a_round]]
+        good = np.flatnonzero(count >= (max(min_count, top // spread) if spread else min_count))
+        if len(good) > most:
+            good = good[np.argsort(-count[good], kind="stable")[:most]]
         else:
             good = good[np.argsort(-count[good], kind="stable")]
         chosen = order[edge[good]]
@@ -95,8 +97,12 @@ def compress(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT, rules_
         used = np.bincount(which, minlength=len(chosen)) >= 2
         keep = used[which]
         at, which = at[keep], which[keep]
-        if not len(at):
-            break
+        if not len(at):  # each took the others' places: the most frequent one alone has two uses
+            if most == 1:
+                break
+            most = 1
+            continue
+        most = rules_a_round
         name = np.cumsum(used) - 1
         lefts.append((chosen[used] >> np.uint64(32)).astype(np.uint32))
         rights.append((chosen[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
@@ -107,7 +113,7 @@ def compress(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT, rules_
         seq = seq[drop]
         next_symbol += int(used.sum())
         if before - len(seq) < LEAST_GAIN * before:
-            break
+            spread = 0
     left = np.concatenate(lefts) if lefts else np.zeros(0, np.uint32)
     right = np.concatenate(rights) if rights else np.zeros(0, np.uint32)
     return seq, left, right, expansions(left, right, terminals)
