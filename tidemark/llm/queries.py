@@ -6,8 +6,11 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import ann, html_text, mixing, neardup, packing, pii, quality, repair, toxicity, vecdup
+from tidemark.llm import (
+    ann, html_text, middle, mixing, neardup, negatives, packing, pii, quality, repair, tokencount, toxicity, vecdup,
+)
 from tidemark.session import shared_folder, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +164,69 @@ FROM r GROUP BY r.vec_id
 @query("op10_sorted_projections", _LINKS_SQL)
 def op10_sorted_projections(spark: SparkSession, sf: str) -> DataFrame:
     return vecdup.near_vectors(table(spark, sf, "embeddings"))
+
+
+# The transformation in one statement: units and borders by regular expressions over whole texts.
+_MIDDLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(text, '(?s)[A-Za-z]+|[^A-Za-z]') AS units,
+    [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN [0, 1, 2, 3]] AS r
+  FROM d),
+c AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 90 THEN 'plain'
+      WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM u),
+p AS (
+  SELECT *, array_to_string(units[1:least(r[1] % (n + 1), r[2] % (n + 1))], '') AS a,
+    array_to_string(units[least(r[1] % (n + 1), r[2] % (n + 1)) + 1:greatest(r[1] % (n + 1), r[2] % (n + 1))], '') AS b,
+    array_to_string(units[greatest(r[1] % (n + 1), r[2] % (n + 1)) + 1:], '') AS c
+  FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
+    ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query("op11_sorted_middle", _MIDDLE_SQL)
+def op11_sorted_middle(spark: SparkSession, sf: str) -> DataFrame:
+    return middle.fill_in_middle(table(spark, sf, "documents"))
+
+
+# Every pair of an anchor and a row, twice.
+_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [CAST(floor(CAST(256 AS DOUBLE) * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id, s.other_id AS negative_id, p.positive_score, s.score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY rank <= 5
+"""
+
+
+@query("op12_segment_negatives", _NEGATIVES_SQL)
+def op12_segment_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_transducer_counts")
+def op13_transducer_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf, "documents"))
