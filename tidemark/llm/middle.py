@@ -27,8 +27,10 @@ PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 
 # Characters of a piece, and of a part of a text that is looked at at a time.
 PIECE, PART = 65_536, 1 << 20
-# Place of the summary of a document, before any of its pieces.
-_HEAD = -1
+# Segment of a document's summary, after those of its text.
+_END = 3
+# Pieces are compressed with a dictionary of so many bytes, from the first characters of so many texts.
+DICTIONARY, SAMPLE_TEXTS, SAMPLE_CHARS = 131_072, 2_000, 4_000
 
 
 class Cut(NamedTuple):
@@ -72,27 +74,47 @@ def cut_text(doc_id: int | None, text: str) -> Cut:
 
 
 def _pieces(text: str, cut: Cut) -> Iterator[str]:
-    """The output in order, in pieces of at most ``PIECE`` characters; marks are pieces of their own."""
+    """The output in order: each segment with its mark, in pieces of at most ``PIECE`` characters beside the mark."""
     a, b = cut.first, cut.second
-    prefix, middle, suffix = (0, a), (a, b), (b, len(text))
-    if cut.form == "plain":
-        rows = [("", (0, len(text)))]
-    elif cut.form == "psm":
-        rows = [(PREFIX, prefix), (SUFFIX, suffix), (MIDDLE, middle)]
-    else:
-        rows = [(SUFFIX, suffix), (PREFIX, prefix), (MIDDLE, middle)]
-    for mark, (lo, hi) in rows:
-        if mark:
-            yield mark
-        for at in range(lo, hi, PIECE):
+    prefix, middle, suffix = (PREFIX, 0, a), (MIDDLE, a, b), (SUFFIX, b, len(text))
+    rows = {"plain": [("", 0, len(text))], "psm": [prefix, suffix, middle], "spm": [suffix, prefix, middle]}[cut.form]
+    for mark, lo, hi in rows:
+        yield mark + text[lo : min(hi, lo + PIECE)]
+        for at in range(lo + PIECE, hi, PIECE):
             yield text[at : min(hi, at + PIECE)]
 
 
-def output_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Packer:
+    """Compresses pieces with a dictionary trained on a sample of texts; pieces of short texts hold little to learn from."""
+
+    def __init__(self, dictionary: bytes) -> None:
+        known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        lean = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        self._pack = zstandard.ZstdCompressor(level=6, dict_data=known, **lean)
+        self._unpack = zstandard.ZstdDecompressor(dict_data=known)
+
+    def pack(self, piece: str) -> bytes:
+        return self._pack.compress(piece.encode())
+
+    def unpack(self, data: bytes) -> bytes:
+        return self._unpack.decompressobj().decompress(data)
+
+
+def sample_dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
+    """A compression dictionary from the beginnings of at most ``SAMPLE_TEXTS`` texts; it changes sizes, not results."""
+    head = F.substring(F.col(text_col), 1, SAMPLE_CHARS)
+    texts = docs.select(head.alias("head")).where("head <> ''").limit(SAMPLE_TEXTS).collect()
+    try:
+        return zstandard.train_dictionary(DICTIONARY, [r["head"].encode() for r in texts]).as_bytes()
+    except zstandard.ZstdError:  # too little to learn from
+        return b""
+
+
+def output_pieces(docs: DataFrame, dictionary: bytes = b"", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_row, place, doc_id, n, form, prefix_chars, middle_chars, piece: the output of each row in pieces.
 
     ``_row`` numbers the rows of ``docs`` (a table that reads the same again, such as files), so that repeated ids
-    stay apart. The summary columns stand in the row of place -1 alone; ``piece`` is UTF-8, compressed.
+    stay apart. The summary columns stand in the first piece alone; ``piece`` is UTF-8, compressed.
     """
     bounded_batches(docs.sparkSession)
     fields = [
@@ -102,20 +124,17 @@ def output_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        packer = Packer(dictionary)
         for batch in batches:
             rows, size = [], 0
             for row, key, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = cell.as_py() or ""
                 cut = cut_text(key, text)
-                plain = cut.form == "plain"
-                rows.append(
-                    (row, _HEAD, key, cut.n, cut.form, None if plain else cut.first,
-                     None if plain else cut.second - cut.first, None)
-                )
+                lengths = (None, None) if cut.form == "plain" else (cut.first, cut.second - cut.first)
+                head = (key, cut.n, cut.form, *lengths)
                 for place, piece in enumerate(_pieces(text, cut)):
-                    data = pack.compress(piece.encode())
-                    rows.append((row, place, None, None, None, None, None, data))
+                    data = packer.pack(piece)
+                    rows.append((row, place, *(head if place == 0 else (None,) * 5), data))
                     size += len(data)
                     if size > 8 << 20:
                         yield _batch(rows, schema)
@@ -147,31 +166,33 @@ def _partitions(df: DataFrame) -> int:
     )
 
 
-def assembled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> RDD:
-    """The pieces of all outputs, keyed by (row, place) and sorted: the summary first, then the text in order.
+def assembled(docs: DataFrame, dictionary: bytes = b"", id_col: str = "doc_id", text_col: str = "text") -> RDD:
+    """The pieces of all outputs, keyed by (row, place) and sorted: each document's text in order.
 
-    Values are tuples: of a summary (doc_id, n, form, prefix_chars, middle_chars), of a piece its compressed UTF-8.
+    Values are compressed UTF-8; that of a first piece is (doc_id, n, form, prefix_chars, middle_chars, UTF-8).
     """
-    pieces = output_pieces(docs, id_col, text_col)
-    keyed = pieces.rdd.map(lambda r: ((r[0], r[1]), tuple(r[2:7]) if r[1] == _HEAD else r[7]))
+    pieces = output_pieces(docs, dictionary, id_col, text_col)
+    keyed = pieces.rdd.map(lambda r: ((r[0], r[1]), tuple(r[2:8]) if r[1] == 0 else bytes(r[7])))
     return _sorted(keyed, _partitions(docs))
 
 
 def outputs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, form, place, piece: the transformed texts in readable pieces; a document's pieces joined in order of
-    ``place`` are its output. Rows of a document stand together, in order."""
+    """_row, doc_id, form, place, piece: the transformed texts in readable pieces.
+
+    A row's pieces joined in order of ``place`` are its output; they stand together, in order.
+    """
+    dictionary = sample_dictionary(docs, text_col)
 
     def read(rows: Iterable[tuple]) -> Iterator[Row]:
-        unpack = zstandard.ZstdDecompressor()
+        packer = Packer(dictionary)
         head: tuple = ()
         for (row, place), value in rows:
-            if place == _HEAD:
-                head = value
-            else:
-                yield Row(row, head[0], head[2], place, unpack.decompress(value).decode())
+            if place == 0:
+                head, value = value[:5], value[5]
+            yield Row(row, head[0], head[2], place, packer.unpack(value).decode())
 
     spark = docs.sparkSession
-    found = assembled(docs, id_col, text_col).mapPartitions(read)
+    found = assembled(docs, dictionary, id_col, text_col).mapPartitions(read)
     return spark.createDataFrame(found, "_row long, doc_id long, form string, place int, piece string")
 
 
@@ -185,6 +206,7 @@ class Parser:
     def __init__(self, form: str) -> None:
         segment = {PREFIX: 0, MIDDLE: 1, SUFFIX: 2}
         marks = {"plain": [], "psm": [PREFIX, SUFFIX, MIDDLE], "spm": [SUFFIX, PREFIX, MIDDLE]}[form]
+        self.form = form
         self.marks = [(m, segment[m]) for m in marks]
         self.segment = 0
         self.held = ""
@@ -214,51 +236,53 @@ class Parser:
             self.held = ""
 
 
-def _restoring(rows: Iterable[tuple]) -> Iterator[tuple]:
-    """Digest each output and key its parts by document and place in the original."""
-    unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+def _restoring(rows: Iterable[tuple], dictionary: bytes = b"") -> Iterator[tuple]:
+    """Digest each output and key its parts by document and place in the original; its summary follows at ``_END``.
+
+    A plain output is its original as it stands: only its digest goes on.
+    """
+    packer = Packer(dictionary)
     row, head, digest, parser, place = None, (), None, None, 0
 
     def keyed(parts: Iterator[tuple[int, str]]) -> Iterator[tuple]:
         nonlocal place
         for segment, text in parts:
-            yield (row, segment, place), pack.compress(text.encode())
-            place += 1
+            if parser.form != "plain":
+                yield (row, segment, place), packer.pack(text)
+                place += 1
 
     def done() -> Iterator[tuple]:
         if row is not None:
             yield from keyed(parser.close())
-            yield (row, _HEAD, 0), (*head, digest.hexdigest())
+            yield (row, _END, 0), (*head, digest.digest())
 
     for (next_row, at), value in rows:
-        if at == _HEAD:
+        if at == 0:
             yield from done()
-            row, head, digest, parser, place = next_row, value, hashlib.sha256(), Parser(value[2]), 0
-        else:
-            data = unpack.decompress(value)
-            digest.update(data)
-            yield from keyed(parser.feed(data.decode()))
+            row, head, digest, parser, place = next_row, value[:5], hashlib.sha256(), Parser(value[2]), 0
+            value = value[5]
+        data = packer.unpack(value)
+        digest.update(data)
+        yield from keyed(parser.feed(data.decode()))
     yield from done()
 
 
-def restored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> RDD:
-    """The originals, rebuilt from the outputs: keyed by (row, segment, place) and sorted, a summary before each."""
-    out = assembled(docs, id_col, text_col)
-    return _sorted(out.mapPartitions(_restoring, preservesPartitioning=False), out.getNumPartitions())
+def restored(docs: DataFrame, dictionary: bytes = b"", id_col: str = "doc_id", text_col: str = "text") -> RDD:
+    """The originals, rebuilt from the outputs: keyed by (row, segment, place) and sorted, a summary after each."""
+    out = assembled(docs, dictionary, id_col, text_col)
+    return _sorted(out.mapPartitions(lambda rows: _restoring(rows, dictionary)), out.getNumPartitions())
 
 
-def _digests(rows: Iterable[tuple]) -> Iterator[tuple]:
-    unpack = zstandard.ZstdDecompressor()
-    head, digest = None, None
+def _digests(rows: Iterable[tuple], dictionary: bytes = b"") -> Iterator[tuple]:
+    packer = Packer(dictionary)
+    digest = hashlib.sha256()
     for (_, segment, _), value in rows:
-        if segment == _HEAD:
-            if head is not None:
-                yield (*head, digest.hexdigest())
-            head, digest = value, hashlib.sha256()
+        if segment == _END:
+            output = value[5].hex()
+            yield (*value[:5], output, output if value[2] == "plain" else digest.hexdigest())
+            digest = hashlib.sha256()
         else:
-            digest.update(unpack.decompress(value))
-    if head is not None:
-        yield (*head, digest.hexdigest())
+            digest.update(packer.unpack(value))
 
 
 def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,7 +297,8 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     length streams through one task piece by piece; sorts spill, and lost tasks are made again from the files.
     """
     spark = docs.sparkSession
-    found = restored(docs, id_col, text_col).mapPartitions(_digests)
+    dictionary = sample_dictionary(docs, text_col)
+    found = restored(docs, dictionary, id_col, text_col).mapPartitions(lambda rows: _digests(rows, dictionary))
     kinds = (
         "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, "
         "restored_sha256 string"
