@@ -145,3 +145,96 @@ def test_bootstrap_is_repeatable(spark):
     df = spark.createDataFrame([("1", 0.01), ("2", 0.02), ("3", -0.01)], "period string, period_return double")
     a, b = (perf.bootstrap_summary(perf.bootstrap_monthly(spark, df, 100, 7)).first() for _ in range(2))
     assert a == b and a.months == 3 and a.probability_positive > 0.5
+
+
+def both_ways(monkeypatch, make, order, rows=23):
+    """The same frame from whole series and from series cut into runs of a few rows."""
+    import pandas as pd
+
+    whole = make().orderBy(*order).toPandas()
+    monkeypatch.setattr("tidemark.functions.rolling.TASK_ROWS", rows)
+    cut = make().orderBy(*order).toPandas()
+    assert len(whole) > 3 * rows
+    pd.testing.assert_frame_equal(whole, cut[whole.columns], rtol=1e-9)
+
+
+def wave(n=150, seed=3):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    return [float(np.sin(i / 5) + 0.2 * rng.normal()) for i in range(n)], [float(v) for v in 0.01 * rng.normal(size=n)]
+
+
+def test_threshold_portfolio_is_the_same_cut(spark, monkeypatch):
+    signals, returns = wave()
+    tradable = [i % 7 != 3 and not 40 <= i < 75 for i in range(150)]
+    both_ways(
+        monkeypatch,
+        lambda: book(spark, signals, returns, tradable, smoothing=2, standardize=10, trend_bars=3, trend_min_return=-1.0),
+        ["timestamp"],
+    )
+
+
+def test_wealth_paths_are_the_same_cut(spark, monkeypatch):
+    signals, returns = wave(seed=4)
+    paths = book(spark, signals, returns)
+    both_ways(monkeypatch, lambda: pf.enrich(paths), ["timestamp"])
+
+
+def test_trade_log_is_the_same_cut(spark, monkeypatch):
+    signals, returns = wave(400, seed=5)
+    made = book(spark, signals, returns)
+    both_ways(monkeypatch, lambda: pf.trade_log(made, "1h"), ["label_name", "trade_id"], rows=5)
+
+
+def ledger_bars(spark, n=260):
+    signals, returns = wave(n, seed=6)
+    price, rows = 100.0, []
+    for i, t in enumerate(hours(n)):
+        price *= 1 + returns[i]
+        rows.append(("A", t, price, price * 1.001, 1 if signals[i] > 0.4 else -1 if signals[i] < -0.4 else 0))
+        rows.append(("B", t, price, price * 0.999, 1))
+    return spark.createDataFrame(rows, "instrument_id string, timestamp timestamp_ntz, open double, close double, target int")
+
+
+def test_ledger_and_equity_are_the_same_cut(spark, monkeypatch):
+    bars = ledger_bars(spark)
+    kw = {"fee_rate": 0.0005, "starting_balance": 1000.0}
+    trades = perf.trade_ledger(bars, ["instrument_id"], **kw, max_rows=1000).toPandas()
+    fixed = spark.createDataFrame(trades)
+    with monkeypatch.context() as m:
+        both_ways(m, lambda: perf.trade_ledger(bars, ["instrument_id"], **kw), ["instrument_id", "trade_id"], rows=6)
+    with monkeypatch.context() as m:
+        both_ways(m, lambda: perf.equity_curve(bars, fixed, ["instrument_id"], **kw), ["instrument_id", "timestamp"], rows=40)
+
+
+def test_scale_in_is_the_same_cut(spark, monkeypatch):
+    from tidemark.functions.rolling import over_series
+    from tidemark.operators import signals as sig
+
+    spread, _ = wave(200, seed=7)
+    rows = [("A", i, None if i % 31 == 30 else v * 0.05, None if i % 17 == 16 else 0.01) for i, v in enumerate(spread)]
+    df = spark.createDataFrame(rows, "k string, t int, spread_pct double, atr_pct double")
+    both_ways(
+        monkeypatch,
+        lambda: over_series(df, ["k"], ["t"], sig.scale_in([0.01, 0.03, 0.05], [0.3, 0.6, 1.0])), ["k", "t"],
+    )
+
+
+def test_no_registered_window_reaches_a_whole_series(spark, monkeypatch):
+    """Windows of unknown reach would keep a series whole: none is left among the series queries."""
+    from tidemark.functions import rolling
+    from tidemark.queries import REGISTRY
+
+    seen = []
+    build = rolling.Series.build
+
+    def watched(self, outputs, keep=None):
+        seen.append(self.span())
+        return build(self, outputs, keep)
+
+    monkeypatch.setattr(rolling.Series, "build", watched)
+    for name in ("trade_ledger", "equity_curve", "threshold_portfolio", "portfolio_trade_log", "signal_scale_in", "factor_kdj",
+                 "adaptive_macd_er_scaled_wide"):
+        REGISTRY[name].run(spark, "/root/testdata/sf0.001")
+    assert seen and max(seen) < rolling.UNBOUNDED

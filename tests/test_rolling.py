@@ -9,6 +9,7 @@ from conftest import candles
 from tidemark.functions.rolling import FRAME_ROWS, Series, over_series
 from tidemark.operators.factors import DEFAULT, Factor, FactorSpec, Registry, factor_columns, factor_history
 from tidemark.operators.grid import asof_backward
+from tidemark.operators.indicators import variable_ema
 
 
 @pytest.fixture(scope="module")
@@ -80,9 +81,81 @@ def test_long_series_cut_into_runs_gives_the_same(spark, walk):
     pd.testing.assert_frame_equal(whole, cut.orderBy("t").toPandas()[whole.columns], rtol=1e-9)
 
 
-def test_series_with_a_running_sum_is_not_cut(spark, walk):
+def odd_series(spark, kind):
+    rng = np.random.default_rng(11)
+    x = [float(v) for v in 100 + np.cumsum(rng.normal(size=600))]
+    if kind == "gappy":
+        x = [v if t % 100 == 40 or 210 <= t < 230 else None for t, v in enumerate(x)]
+    if kind == "nan":
+        x[3] = float("nan")
+    if kind == "late nan":
+        x[450], x[100] = float("nan"), None
+    rows = [("a", t, v) for t, v in enumerate(x)] + [("b", t, 2.0 * t) for t in range(90)] + [(None, t, 1.0) for t in range(50)]
+    return spark.createDataFrame(rows, "k string, t int, x double"), x
+
+
+def scans(s):
+    event = s.add(F.when(F.col("t") % 97 == 5, F.col("t")))
+    out = {f"e{n}": s.ewm("x", a, 5) for n, a in enumerate((0.5, 0.002, 1.0))} | {"j": s.ewm_adjusted("x", 0.01, 2)}
+    total, wealth = s.cumsum("x"), s.cumprod(s.add(1 + F.col("x") * 1e-4))
+    return out | {
+        "twice": s.ewm(s.ewm("x", 0.2, 2), 0.1, 3), "total": total, "wealth": wealth, "fall": s.add(wealth / s.cummax(wealth)),
+        "before": s.lag(total, 3), "last": s.fill(event), "older": s.lag(s.fill(event), 2), "peak": s.cummax_since("x", event.isNotNull()),
+        "vary": variable_ema(s, "x", s.add(F.when(F.col("t") % 50 != 9, 0.1 + (F.col("t") % 7) * 0.15)), 0.1), "nth": s.seen("x"), "mean": s.running_mean("x"),
+        "wide": s.mean(s.ewm("x", 0.4), 70, 1), "at": s.position(), "ahead": s.lead(total, 2),
+    }
+
+
+@pytest.mark.parametrize("kind", ["plain", "gappy", "nan", "late nan"])
+def test_scans_are_the_same_whole_and_cut(spark, kind):
+    df, _ = odd_series(spark, kind)
+    whole = over_series(df, ["k"], ["t"], scans, max_rows=600).orderBy("k", "t").toPandas()
+    for task_rows in (37,) if kind == "gappy" else (200,):
+        cut = over_series(df, ["k"], ["t"], scans, task_rows=task_rows).orderBy("k", "t").toPandas()
+        pd.testing.assert_frame_equal(whole, cut[whole.columns], rtol=1e-9)
+
+
+def recursion(x, alpha, least):
+    y, weight, seen, out = None, 1.0, 0, []
+    for v in x:
+        weight *= 1 - alpha
+        if v is not None:
+            y = v if y is None else (weight * y + alpha * v) / (weight + alpha)
+            weight, seen = 1.0, seen + 1
+        out.append(y if v is not None and seen >= least else None)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["plain", "gappy", "nan", "late nan"])
+# Alphas on both sides of what was once a limit (a weight of 1e-16 after 127 and 129 rows).
+@pytest.mark.parametrize("alpha", [0.5, 0.2538, 0.2502, 0.05, 0.002])
+def test_exponential_mean_is_the_plain_recursion(spark, kind, alpha):
+    df, x = odd_series(spark, kind)
+    s = Series(df.where("k = 'a'"), ["k"], ["t"])
+    got = [r["y"] for r in s.build({"y": s.ewm("x", alpha, 5)}).orderBy("t").collect()]
+    want = recursion(x, alpha, 5)
+    assert [v is None for v in got] == [v is None for v in want]
+    np.testing.assert_allclose([v for v in got if v is not None], [v for v in want if v is not None], rtol=1e-11)
+
+
+def test_adaptive_mean_is_the_plain_recursion(spark):
+    df, x = odd_series(spark, "gappy")
+    alphas = [None if t % 50 == 9 else 0.1 + (t % 7) * 0.15 for t in range(600)]
+    s = Series(df.where("k = 'a'"), ["k"], ["t"])
+    alpha = s.add(F.when(F.col("t") % 50 != 9, 0.1 + (F.col("t") % 7) * 0.15))
+    got = [r["y"] for r in s.build({"y": variable_ema(s, "x", alpha, 0.1)}).orderBy("t").collect()]
+    y, seen, want = None, [], []
+    for v, a in zip(x, alphas, strict=True):
+        seen += [] if v is None else [v]
+        if v is not None and a is not None:
+            y = sum(seen) / len(seen) if y is None else y + a * (v - y)
+        want.append(y)
+    np.testing.assert_allclose(np.array(got, float), np.array(want, float), rtol=1e-11)
+
+
+def test_a_window_of_unknown_reach_keeps_its_series_whole(spark, walk):
     df, pdf = walk
-    got = over_series(df, ["k"], ["t"], lambda s: {"c": s.cumsum("x")}, task_rows=37)
+    got = over_series(df, ["k"], ["t"], lambda s: {"c": s.add(F.sum("x").over(s.running))}, task_rows=37)
     np.testing.assert_allclose(column(got, "c")[5:], pdf["x"].cumsum()[5:])
 
 

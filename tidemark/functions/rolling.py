@@ -9,7 +9,9 @@ the window, so that a window is the tail of one block and the head of the next.
 window take part: a later row, or a NaN outside it, changes nothing.
 
 Every staged column knows how many rows it reaches back and ahead; ``over_series`` cuts long series by
-that reach.
+that reach. What depends on all rows before (running sums, products and extremes, the last value, exponential
+means) is a *scan*: each run of a cut series yields one row, its map from the state before it to the state after
+it; the maps of a series are composed in order, and every run goes on from the state it is handed.
 """
 
 from __future__ import annotations
@@ -21,22 +23,27 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.groups import TASK_ROWS, tie_range
+from tidemark.functions.groups import TASK_ROWS, fits, tie_range
 from tidemark.functions.scalars import ratio
+from tidemark.session import materialize
 
 FRAME_ROWS = 64
-FOLD_ROWS = 128
 UNBOUNDED = 1 << 60
 _TINY = 1e-16
 _TEMP = re.compile(r"_t\d+")
-_RUN, _OWN = "_run", "_own"
+_RUN, _OWN, _AT = "_run", "_own", "_at"
+# Decay (as a logarithm) of a block of an affine scan: terms are scaled by at most its exponential.
+_DECAY = 13.8
 
 
 class Series:
     """Window columns over ``keys`` ordered by ``order``; every result is a named column."""
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> None:
-        self.df = df
+    def __init__(
+        self, df: DataFrame, keys: Sequence[str], order: Sequence[str], cut: tuple[int, int] | None = None
+    ) -> None:
+        """``cut`` names the rows of a run and the rows it copies from before it, for the runs of a cut series."""
+        self.df, self._cut = df, cut
         self.keys, self.order = list(keys), list(order)
         self.part = Window.partitionBy(*self.keys)
         self.window = self.part.orderBy(*self.order)
@@ -46,15 +53,19 @@ class Series:
         self._seen: dict[str, str] = {}
         self._back: dict[str, int] = {}
         self._ahead: dict[str, int] = {}
-        # Columns filled forward, and their inputs: in a cut series they also take what earlier runs saw.
-        self._fills: dict[str, str] = {}
+        # Rows that a window itself copies from before; a scan reaches back further than it copies.
+        self._span: dict[str, int] = {}
+        # Scans: how the states of runs are put together, the rows their inputs copy, names of their own columns.
+        self._scans: dict[str, tuple[str, int, dict[str, str]]] = {}
 
     # -- staging ---------------------------------------------------------------------------
-    def add(self, expr: str | Column, back: int | None = None, ahead: int = 0) -> Column:
+    def add(
+        self, expr: str | Column, back: int | None = None, ahead: int = 0, span: int | None = None
+    ) -> Column:
         """Stage an expression after the columns it mentions and return a reference to it.
 
-        ``back`` and ``ahead`` are the rows its own window reaches. A window of which nothing is said
-        may reach the whole series.
+        ``back`` and ``ahead`` are the rows its own window reaches, ``span`` those of ``back`` that a run of a cut
+        series has to hold (default: all). A window of which nothing is said may reach the whole series.
         """
         if isinstance(expr, str):
             return F.col(expr)
@@ -73,41 +84,96 @@ class Series:
         self._seen[text] = name
         self._back[name] = min(UNBOUNDED, back + max((self._back[t] for t in parts), default=0))
         self._ahead[name] = min(UNBOUNDED, ahead + max((self._ahead[t] for t in parts), default=0))
+        own = back if span is None else span
+        self._span[name] = min(UNBOUNDED, own + max((self._span[t] for t in parts), default=0))
         return F.col(name)
 
     def reach(self) -> tuple[int, int]:
         """Rows that any staged column reaches back and ahead."""
         return max(self._back.values(), default=0), max(self._ahead.values(), default=0)
 
+    def span(self) -> int:
+        """Rows before it that a run of a cut series has to hold."""
+        return max(self._span.values(), default=0)
+
     def build(self, outputs: dict[str, Column], keep: Sequence[str] | None = None) -> DataFrame:
         """Apply the staged columns and return ``keep`` (default: all input columns) + outputs."""
         df = self.df
         keep = list(df.columns if keep is None else keep)
         for stage in self._stages:
             df = df.withColumns(stage)
-            filled = [n for n in stage if n in self._fills]
-            if filled and _OWN in df.columns:
-                df = self._carried(df, filled)
+            scans = [n for n in stage if n in self._scans]
+            if scans and self._cut is not None:
+                df = self._handed_on(df, scans)
         keep = [c for c in keep if c not in outputs]
         return df.select(*keep, *[c.alias(n) for n, c in outputs.items()])
 
-    def _carried(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
-        """Fills of a cut series: where a run has seen no value yet, the last one of the runs before it."""
-        order = F.struct(*[F.col(c) for c in self.order])
-        last = [
-            F.max_by(F.col(self._fills[n]), F.when(F.col(self._fills[n]).isNotNull(), order)).alias(f"{n}_end")
-            for n in names
-        ]
-        ends = df.where(_OWN).groupBy(*self.keys).agg(*last)
+    def _live(self, *inputs: Column) -> tuple[int, Column]:
+        """Rows that the inputs of a scan copy, and the rows of a run from which on they are right."""
+        span = max(self._span.get(_name(x) or "", 0) for x in inputs)
+        if self._cut is None:
+            return span, F.lit(True)
+        return span, F.col(_AT) > F.col(_RUN) * self._cut[0] - (self._cut[1] - span)
+
+    def _scan(self, expr: Column, kind: str, span: int, back: int = UNBOUNDED, **own: str) -> Column:
+        """Stage a window over all rows up to the current one, which a cut series puts together over runs."""
+        out = self.add(expr, back=back, span=0)
+        self._scans[_name(out)] = (kind, span, own)
+        return out
+
+    def _running(self, make: Callable[[Column], Column], x: str | Column, kind: str, back: int = UNBOUNDED) -> Column:
+        x = self.add(x)
+        span, live = self._live(x)
+        return self._scan(make(x if self._cut is None else F.when(live, x)).over(self.running), kind, span, back)
+
+    def _handed_on(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
+        """Scans of a cut series: each run goes on from the state that the runs before it reach.
+
+        A scan begins at the first row of a run where its inputs are right. The row before that is the last one of
+        the run before which it does not see, and that run's scan up to there is the map handed on: one row per run.
+        """
+        df = materialize(df)  # read twice
+        for span in sorted({self._scans[n][1] for n in names}):
+            df = self._handed(df, [n for n in names if self._scans[n][1] == span], span)
+        return df
+
+    def _handed(self, df: DataFrame, names: Sequence[str], span: int) -> DataFrame:
+        task_rows, copied = self._cut
         series = [k for k in self.keys if k != _RUN]
-        earlier = Window.partitionBy(*series).orderBy(_RUN).rowsBetween(Window.unboundedPreceding, -1)
+        upto = Window.partitionBy(*series).orderBy(_RUN).rowsBetween(Window.unboundedPreceding, 0)
+        ends = df.where(F.col(_AT) == (F.col(_RUN) + 1) * task_rows - (copied - span))
+        states, fixed = [], {}
+        for n in names:
+            kind, _, own = self._scans[n]
+            value, before = F.col(n), F.col(f"{n}_in")
+            if kind in ("sum", "product"):
+                whole = (F.sum if kind == "sum" else F.product)(value).over(upto)
+                both = before + value if kind == "sum" else before * value
+                fixed[n] = F.when(before.isNull(), value).when(value.isNull(), before).otherwise(both)
+            elif kind == "max":
+                whole, fixed[n] = F.max(value).over(upto), F.greatest(before, value)
+            elif kind == "last":
+                whole, fixed[n] = F.last(value, ignorenulls=True).over(upto), F.coalesce(value, before)
+            elif kind == "affine":
+                decay = F.exp(-F.col(own["decay"]))
+                maps = F.collect_list(F.struct(decay.alias("a"), value.alias("b"))).over(upto)
+                whole = F.aggregate(maps, F.lit(0.0), lambda acc, it: it["a"] * acc + it["b"])
+                fixed[n] = F.when(before.isNull(), value).otherwise(value + decay * before)
+            else:  # the maximum since the last reset
+                fresh = F.col(own["resets"]) > 0
+                maps = F.collect_list(F.struct(fresh.alias("a"), value.alias("b"))).over(upto)
+                whole = F.aggregate(
+                    maps, F.lit(None).cast("double"),
+                    lambda acc, it: F.when(it["a"], it["b"]).otherwise(F.greatest(acc, it["b"])),
+                )
+                fixed[n] = F.when(fresh, value).otherwise(F.greatest(before, value))
+            states.append(whole.alias(f"{n}_in"))
         ends = ends.select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)],
-            *[F.last(f"{n}_end", ignorenulls=True).over(earlier).alias(f"{n}_in") for n in names],
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(series)], (F.col(_RUN) + 1).alias("_next"), *states
         )
-        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(self.keys)]
-        both = df.join(ends, on, "left").withColumns({n: F.coalesce(F.col(n), F.col(f"{n}_in")) for n in names})
-        return both.drop(*[f"_k{i}" for i in range(len(self.keys))], *[f"{n}_in" for n in names])
+        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(series)]
+        both = df.join(ends, [*on, F.col(_RUN) == F.col("_next")], "left").withColumns(fixed)
+        return both.drop("_next", *[f"_k{i}" for i in range(len(series))], *[f"{n}_in" for n in names])
 
     def frame(self, n: int):
         return self.window.rowsBetween(-(n - 1), 0)
@@ -125,17 +191,12 @@ class Series:
 
     def fill(self, x: str | Column) -> Column:
         """Last non-null value up to the current row, however far back; null where there is none."""
-        value = self.add(x)
-        name = _name(value)
-        if name is None:
-            value = self.add(F.when(F.lit(True), value))
-            name = _name(value)
-        out = self.add(F.last(value, ignorenulls=True).over(self.running), back=0)
-        self._fills[_name(out)] = name
-        return out
+        return self._running(lambda v: F.last(v, ignorenulls=True), x, "last", back=0)
 
     def position(self) -> Column:
-        """Number of the row; its origin differs between runs, so only differences of it have a meaning."""
+        """Number of the row in its series, from 1."""
+        if self._cut is not None:
+            return self.add(F.when(F.lit(True), F.col(_AT).cast("int")))
         return self.add(F.row_number().over(self.window), back=0)
 
     # -- rolling ---------------------------------------------------------------------------
@@ -247,116 +308,90 @@ class Series:
         return self._enough(x, n, m, F.when(x.isNotNull(), less + (same + 1) / F.lit(2.0)))
 
     # -- exponential means -----------------------------------------------------------------
+    def affine(self, a: str | Column, b: str | Column, back: int = UNBOUNDED) -> Column:
+        """The recursion ``y = a * y + b`` from 0, with ``a`` in 0..1 and no nulls; linear in rows.
+
+        A term weighs the exponential of the decay since; an ``a`` of 0 counts as 1e-300. Terms are summed in blocks
+        of bounded decay, and four blocks back a weight is below 1e-17. After a NaN in ``b`` all values are NaN.
+        """
+        a, b = self.add(a), self.add(b)
+        span, live = self._live(a, b)
+        if self._cut is not None:
+            a, b = self.add(F.when(live, a).otherwise(1.0)), self.add(F.when(live, b).otherwise(0.0))
+        decay = self.add(F.sum(-F.ln(F.greatest(a, F.lit(1e-300)))).over(self.running), back=back, span=0)
+        spoilt = self.add(F.max(F.isnan(b)).over(self.running), back=back, span=0)
+        block = self.add(F.floor(decay / _DECAY))
+        scaled = self.add(F.when(F.isnan(b), 0.0).otherwise(b) * F.exp(decay - block * _DECAY))
+        inside = Window.partitionBy(*self.keys, block).orderBy(*self.order)
+        # (Both windows are met by one sort.)
+        blocks = self.part.orderBy(block)
+        total = self.add(F.sum(scaled).over(inside.rowsBetween(Window.unboundedPreceding, 0)), back=0)
+        value = total * F.exp(block * _DECAY - decay)
+        for i in range(1, 4):
+            one = self.add(F.sum(scaled).over(blocks.rangeBetween(-i, -i)), back=0)
+            value = value + F.coalesce(one, F.lit(0.0)) * F.exp((block - i) * _DECAY - decay)
+        value = F.when(spoilt, F.lit(float("nan"))).otherwise(value)
+        return self._scan(value, "affine", span, back=0, decay=_name(decay))
+
     def ewm(
         self, x: str | Column, alpha: float, min_samples: int = 1, *, gapless: bool = False
     ) -> Column:
         """Recursive exponential mean ``y = (1-a) y + a x`` started at the first value.
 
-        A gap of g rows decays the old mean to weight (1-a)^g before renormalizing; a null input
-        gives a null output. ``gapless`` promises that nulls only lead, which allows the block form
-        (linear in rows) for slow alphas.
+        A gap of g rows decays the old mean to weight (1-a)^g before renormalizing; a null input gives a null
+        output; after a NaN all values are NaN. ``gapless`` promises that nulls only lead.
         """
-        x = self.add(x)
-        rows = fold_rows(alpha)
-        if gapless and rows > FOLD_ROWS:
-            y = self._ewm_blocks(x, alpha)
+        x, keep, rows = self.add(x), 1.0 - alpha, fold_rows(alpha)
+        if gapless:
+            before, weight = self.lag(x), F.lit(keep)
         else:
-            y = self._ewm_fold(x, alpha, rows)
-        seen = self.add(F.count(x).over(self.running), back=0)
-        return self.add(F.when(x.isNotNull() & (seen >= min_samples), y))
-
-    def _ewm_fold(self, x: Column, alpha: float, rows: int) -> Column:
-        keep = 1.0 - alpha
-        seen = self.add(F.collect_list(F.struct(x.alias("x"))).over(self.frame(rows)), back=rows - 1)
-        start = F.struct(
-            F.lit(None).cast("double").alias("y"), F.lit(1.0).cast("double").alias("w")
-        )
-
-        def step(acc: Column, item: Column) -> Column:
-            v, y, w = item["x"], acc["y"], acc["w"] * F.lit(keep)
-            mixed = F.when(y.isNull(), v).otherwise((w * y + F.lit(alpha) * v) / (w + F.lit(alpha)))
-            return F.struct(
-                F.when(v.isNull(), y).otherwise(mixed).alias("y"),
-                F.when(v.isNull(), w).otherwise(F.lit(1.0)).alias("w"),
-            )
-
-        return self.add(F.aggregate(seen, start, step, lambda acc: acc["y"]))
-
-    def _ewm_blocks(self, x: Column, alpha: float) -> Column:
-        keep = 1.0 - alpha
-        block_rows = max(2, int(math.log(1e6) / -math.log(keep)))
-        back = math.ceil(fold_rows(alpha) / block_rows) + 1
-        at = self.add(F.count(x).over(self.running) - 1, back=0)
-        block = self.add(F.when(x.isNotNull(), F.floor(at / block_rows)))
-        j = self.add(at % block_rows)
-        weight = F.when(at == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-        scaled = self.add(weight * x * F.pow(F.lit(keep), -j))
-        inside = Window.partitionBy(*self.keys, block).orderBy(*self.order)
-        local = self.add(
-            F.sum(scaled).over(inside.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(keep), j),
-            back=0,
-        )
-        end = self.add(F.when(j == block_rows - 1, local))
-        by_block = self.part.orderBy(block)
-        carry = F.lit(0.0)
-        for i in range(1, back + 1):
-            one = self.add(F.sum(end).over(by_block.rangeBetween(-i, -i)), back=0)
-            carry = carry + F.coalesce(one, F.lit(0.0)) * F.lit(keep ** ((i - 1) * block_rows))
-        # Blocks are numbered from the first row of a run: a run has to see the oldest one whole.
-        return self.add(local + carry * F.pow(F.lit(keep), j + 1), back=(back + 1) * block_rows)
-
-    def _decayed(self, v: Column, keep: float) -> Column:
-        """Running sum whose older terms shrink by ``keep`` a row; ``v`` holds no nulls.
-
-        Linear in rows: within a block the terms are scaled up to its start, and the ends of the blocks
-        before come in with their own weight.
-        """
-        block_rows = max(2, int(math.log(1e6) / -math.log(keep)))
-        reach = math.ceil(fold_rows(1 - keep) / block_rows) + 1
-        at = self.add(F.row_number().over(self.window) - 1, back=0)
-        block, j = self.add(F.floor(at / block_rows)), self.add(at % block_rows)
-        inside = Window.partitionBy(*self.keys, block).orderBy(*self.order)
-        scaled = self.add(v * F.pow(F.lit(keep), -j))
-        total = F.sum(scaled).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-        local = self.add(total * F.pow(F.lit(keep), j), back=0)
-        end = self.add(F.when(j == block_rows - 1, local))
-        by_block = self.part.orderBy(block)
-        carry = F.lit(0.0)
-        for i in range(1, reach + 1):
-            one = self.add(F.sum(end).over(by_block.rangeBetween(-i, -i)), back=0)
-            carry = carry + F.coalesce(one, F.lit(0.0)) * F.lit(keep ** ((i - 1) * block_rows))
-        return self.add(local + carry * F.pow(F.lit(keep), j + 1), back=(reach + 1) * block_rows)
+            at = self.position()
+            before = self.lag(self.fill(F.when(x.isNotNull(), at)))
+            weight = F.pow(F.lit(keep), (at - before).cast("double"))
+        # The first value is taken whole: there is nothing before it.
+        held = x.isNull() | before.isNull()
+        a = F.when(held, 1.0).otherwise(weight / (weight + alpha))
+        b = F.when(x.isNull(), 0.0).when(before.isNull(), x).otherwise(x * alpha / (weight + alpha))
+        y = self.affine(a, b, back=rows - 1) if alpha < 1 else x
+        return self.add(F.when(x.isNotNull() & (self.seen(x) >= min_samples), y))
+
+    def seen(self, x: str | Column) -> Column:
+        """Number of values up to the current row."""
+        return self._running(F.count, x, "sum", back=0)
+
+    def running_mean(self, x: str | Column) -> Column:
+        """Mean of the values up to the current row."""
+        x = self.add(x)
+        total = self._running(F.sum, x, "sum", back=0)
+        return self.add(F.try_divide(total, self.seen(x)))
 
     def ewm_adjusted(self, x: str | Column, alpha: float, min_samples: int = 1) -> Column:
         """Weighted mean with weights (1-a)^age over the rows seen (``adjust=True``)."""
-        x = self.add(x)
-        keep = 1.0 - alpha
-        n = self._decayed(F.coalesce(x, F.lit(0.0)), keep)
-        d = self._decayed(F.when(x.isNull(), 0.0).otherwise(1.0), keep)
-        count = self.add(F.count(x).over(self.running), back=0)
-        return self.add(F.when(x.isNotNull() & (count >= min_samples), F.try_divide(n, d)))
-
-    def ewm_varying(self, x: str | Column, alpha: str | Column, smallest: float) -> Column:
-        """Recursive mean whose alpha changes per row and never falls below ``smallest``."""
-        x, alpha = self.add(x), self.add(alpha)
-        item = F.struct(x.alias("x"), alpha.alias("a"))
-        rows = fold_rows(smallest)
-        seen = self.add(F.collect_list(item).over(self.frame(rows)), back=rows - 1)
-
-        def step(acc: Column, it: Column) -> Column:
-            return F.when(acc.isNull(), it["x"]).otherwise(acc + it["a"] * (it["x"] - acc))
-
-        return self.add(F.aggregate(seen, F.lit(None).cast("double"), step))
+        x, keep, back = self.add(x), F.lit(1.0 - alpha), fold_rows(alpha) - 1
+        n = self.affine(keep, F.coalesce(x, F.lit(0.0)), back=back)
+        d = self.affine(keep, F.when(x.isNull(), 0.0).otherwise(1.0), back=back)
+        return self.add(F.when(x.isNotNull() & (self.seen(x) >= min_samples), F.try_divide(n, d)))
 
     # -- running ---------------------------------------------------------------------------
     def cumsum(self, x: str | Column) -> Column:
-        return self.add(F.sum(self.add(x)).over(self.running), back=UNBOUNDED)
+        return self._running(F.sum, x, "sum")
 
     def cumprod(self, x: str | Column) -> Column:
-        return self.add(F.product(self.add(x)).over(self.running), back=UNBOUNDED)
+        return self._running(F.product, x, "product")
 
     def cummax(self, x: str | Column) -> Column:
-        return self.add(F.max(self.add(x)).over(self.running), back=UNBOUNDED)
+        return self._running(F.max, x, "max")
+
+    def cummax_since(self, x: str | Column, reset: Column) -> Column:
+        """Maximum since the last row where ``reset`` holds, that row included."""
+        x, reset = self.add(x), self.add(F.when(reset, 1).otherwise(0))
+        span, live = self._live(x, reset)
+        if self._cut is not None:
+            x, reset = self.add(F.when(live, x)), self.add(F.when(live, reset).otherwise(0))
+        resets = self.add(F.sum(reset).over(self.running), back=UNBOUNDED, span=0)
+        since = Window.partitionBy(*self.keys, resets).orderBy(*self.order)
+        peak = F.max(x).over(since.rowsBetween(Window.unboundedPreceding, 0))
+        return self._scan(peak, "peak", span, back=0, resets=_name(resets))
 
     def zscore(self, x: str | Column, n: int, m: int | None = None) -> Column:
         x = self.add(x)
@@ -395,32 +430,39 @@ def over_series(
     ``max_rows`` is the caller's bound on rows per series; bars in a time range have one by
     construction. Within ``task_rows`` the series stay whole. Longer ones are cut into runs of
     ``task_rows`` consecutive rows, each with a copy of the neighbouring rows that the staged windows
-    reach; forward fills also take the last value of the runs before. The copies are dropped
-    afterwards. Order keys must be unique per series. Running sums, products and extremes have no
-    bounded reach: a series with one is never cut.
+    reach; scans go on from the runs before. The copies are dropped afterwards. Order keys must be unique
+    per series. Only a staged window of which nothing is said keeps a series whole.
     """
     keys, order = list(keys), list(order)
     task_rows = task_rows or TASK_ROWS
     whole = Series(df, keys, order)
     outputs = make(whole)
-    lookback, lookahead = whole.reach()
-    if lookback >= UNBOUNDED or (max_rows is not None and max_rows <= task_rows):
+    span, lookahead = whole.span(), whole.reach()[1]
+    if max(span, lookahead) >= UNBOUNDED or (max_rows is not None and max_rows <= task_rows):
         return whole.build(outputs, keep)
-    at = tie_range(df, keys, order, first="_at", task_rows=task_rows).drop("_last", "_size")
-    slot = F.col("_at") - 1
+    bounded = fits(df, keys, task_rows)
+    if bounded:
+        return whole.build(outputs, keep)
+    at = tie_range(df, keys, order, first=_AT, bounded=False, task_rows=task_rows).drop("_last", "_size")
+    slot = F.col(_AT) - 1
     home = F.floor(slot / task_rows).cast("long")
     low = F.floor((slot - lookahead) / task_rows).cast("long")
-    high = F.floor((slot + lookback) / task_rows).cast("long")
+    high = F.floor((slot + span) / task_rows).cast("long")
     runs = at.withColumn(_RUN, F.explode(F.sequence(F.greatest(low, F.lit(0)), high))).withColumn(
         _OWN, F.col(_RUN) == home
     )
-    cut = Series(runs.drop("_at"), [*keys, _RUN], order)
+    cut = Series(runs, [*keys, _RUN], order, cut=(task_rows, span))
     outputs = make(cut)
     kept = list(df.columns if keep is None else keep)
     out = cut.build(outputs, [*kept, _RUN, _OWN])
     return out.where(_OWN).drop(_RUN, _OWN)
 
 
+def series_bound(df: DataFrame, keys: Sequence[str]) -> int | None:
+    """A bound on rows per series that keeps series whole, where they are short enough (one counting job)."""
+    return TASK_ROWS if fits(df, keys) else None
+
+
 def slots_between(df: DataFrame, on: str, minutes: int) -> int:
     """Grid slots between the first and last time: a bound on bars per series (one small job)."""
     lo, hi = df.agg(F.min(on), F.max(on)).first()

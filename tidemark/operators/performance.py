@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.groups import running_totals
-from tidemark.functions.rolling import Series
+from tidemark.functions.rolling import Series, over_series, series_bound
 from tidemark.functions.scalars import (
     corr_safe,
     day_start,
@@ -28,7 +28,8 @@ YEAR_SECONDS = 365.25 * 24 * 3600
 
 # -- daily wealth --------------------------------------------------------------------------
 def interval_daily_wealth(
-    portfolio: DataFrame, bars: DataFrame, keys: Sequence[str], cost_multiplier: float = 1.0
+    portfolio: DataFrame, bars: DataFrame, keys: Sequence[str], cost_multiplier: float = 1.0,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Wealth at each UTC midnight, marking the open interval to market.
 
@@ -36,9 +37,12 @@ def interval_daily_wealth(
     """
     keys = list(keys)
     stressed = F.col("portfolio_return") - (cost_multiplier - 1.0) * F.col("transaction_cost")
-    s = Series(portfolio, keys, ["timestamp"])
-    wealth = s.cumprod(s.add(1 + stressed))
-    base = s.build({"_base": F.coalesce(s.lag(wealth), F.lit(1.0)), "_left": s.lag("exit_time")})
+
+    def make(s: Series) -> dict[str, Column]:
+        wealth = s.cumprod(s.add(1 + stressed))
+        return {"_base": F.coalesce(s.lag(wealth), F.lit(1.0)), "_left": s.lag("exit_time")}
+
+    base = over_series(portfolio, keys, ["timestamp"], make, max_rows=max_rows)
     marks = boundaries_inside(base)
     # An entry at midnight is marked there unless the previous interval ends on it.
     at_entry = base.where(
@@ -61,12 +65,14 @@ def interval_daily_wealth(
 
 
 def streaming_daily_wealth(
-    portfolio: DataFrame, keys: Sequence[str], cost_multiplier: float = 1.0
+    portfolio: DataFrame, keys: Sequence[str], cost_multiplier: float = 1.0,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Last compounded wealth of each day, stamped with the following midnight."""
-    s = Series(portfolio, keys, ["timestamp"])
     r = F.col("portfolio_return") - (cost_multiplier - 1.0) * F.col("transaction_cost")
-    df = s.build({"_wealth": s.cumprod(s.add(1 + r))})
+    df = over_series(
+        portfolio, keys, ["timestamp"], lambda s: {"_wealth": s.cumprod(s.add(1 + r))}, max_rows=max_rows
+    )
     next_day = day_start("timestamp") + F.expr("INTERVAL 1 DAY")
     return df.groupBy(*keys, next_day.alias("date")).agg(
         F.max_by("_wealth", "timestamp").alias("wealth")
@@ -247,36 +253,39 @@ def adaptive_allocation(
 
 
 # -- ledger --------------------------------------------------------------------------------
-def _stints(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _stints(bars: DataFrame, keys: Sequence[str], max_rows: int | None) -> DataFrame:
     """Bars with the position held (the target of the previous bar) and its stint number."""
-    s = Series(bars, keys, ["timestamp"])
-    side = s.add(F.coalesce(s.lag("target"), F.lit(0)))
-    begins = s.add(
-        F.when((side != 0) & (side != F.coalesce(s.lag(side), F.lit(0))), 1).otherwise(0)
-    )
-    last = s.add(F.max("timestamp").over(s.part))
-    return s.build(
-        {
+
+    def make(s: Series) -> dict[str, Column]:
+        side = s.add(F.coalesce(s.lag("target"), F.lit(0)))
+        begins = s.add(
+            F.when((side != 0) & (side != F.coalesce(s.lag(side), F.lit(0))), 1).otherwise(0)
+        )
+        return {
             "_side": side,
             "_stint": s.cumsum(begins).cast("long"),
             "_bar": s.position(),
             "_next_open": s.lead("open"),
             "_next_time": s.lead("timestamp"),
-            "_last": last,
         }
-    )
+
+    return over_series(bars, keys, ["timestamp"], make, max_rows=max_rows)
 
 
 def trade_ledger(
-    bars: DataFrame, keys: Sequence[str], *, fee_rate: float, starting_balance: float
+    bars: DataFrame, keys: Sequence[str], *, fee_rate: float, starting_balance: float,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """All-in trades filled at the next open, fees on both legs, flips closed and reopened.
 
     With sizing all-in, a trade multiplies equity by a factor of its entry and exit price, so equity
-    is a running product over trades and no bar loop is needed.
+    is a running product over trades and no bar loop is needed. ``max_rows`` is a known bound on bars per
+    series; longer ones are cut, with the same result.
     """
     keys = list(keys)
-    held = _stints(bars, keys).where(F.col("_side") != 0)
+    if max_rows is None:
+        max_rows = series_bound(bars, keys)
+    held = _stints(bars, keys, max_rows).where(F.col("_side") != 0)
     b, e = F.col("_bar"), F.col("timestamp")
     is_open = F.col("_next_time").isNull()
     trades = held.groupBy(*keys, F.col("_stint").alias("trade_id")).agg(
@@ -290,36 +299,36 @@ def trade_ledger(
     )
     r = ratio("exit_price", "entry_price")
     factor = 1 - fee_rate + F.col("_side") * (r - 1) - fee_rate * r
-    s = Series(trades, keys, ["trade_id"])
-    grown = s.cumprod(s.add(factor))
-    entry_equity = s.add(F.lit(float(starting_balance)) * F.coalesce(s.lag(grown), F.lit(1.0)))
-    return s.build(
-        {
+
+    def make(s: Series) -> dict[str, Column]:
+        grown = s.cumprod(s.add(factor))
+        entry_equity = s.add(F.lit(float(starting_balance)) * F.coalesce(s.lag(grown), F.lit(1.0)))
+        return {
             "side": F.when(F.col("_side") > 0, "long").otherwise("short"),
             "entry_equity": entry_equity,
             "pnl": entry_equity * (factor - 1),
             "return_pct": (factor - 1) * 100,
             "fees": entry_equity * fee_rate * (1 + r),
-        },
-        [*keys, "trade_id", "entry_time", "exit_time", "entry_price", "exit_price",
-         "closed_at_end", "holding_bars"],
-    )
+        }
+
+    kept = ["trade_id", "entry_time", "exit_time", "entry_price", "exit_price", "closed_at_end", "holding_bars"]
+    return over_series(trades, keys, ["trade_id"], make, [*keys, *kept], max_rows=max_rows)
 
 
 def equity_curve(
     bars: DataFrame, trades: DataFrame, keys: Sequence[str], *, fee_rate: float,
-    starting_balance: float,
+    starting_balance: float, max_rows: int | None = None,
 ) -> DataFrame:
     """Equity at each close; the final bar shows it after closing an open position."""
     keys = list(keys)
-    df = _stints(bars, keys)
+    df = _stints(bars, keys, max_rows)
     t = trades.select(
         *keys, F.col("trade_id").alias("_stint"), F.col("entry_price").alias("_in"),
         F.col("entry_equity").alias("_start"), (F.col("entry_equity") + F.col("pnl")).alias("_done"),
     )
     got = df.join(t, [*keys, "_stint"], "left")
     inside = F.col("_side") != 0
-    final = inside & (F.col("timestamp") == F.col("_last"))
+    final = inside & F.col("_next_time").isNull()
     marked = F.col("_start") * (1 - fee_rate + F.col("_side") * (ratio("close", "_in") - 1))
     flat = F.coalesce("_done", F.lit(float(starting_balance)))
     equity = F.when(final, F.col("_done")).when(inside, marked).otherwise(flat)
@@ -332,8 +341,9 @@ def equity_curve(
 
 def _max_fall(df: DataFrame, keys: Sequence[str], start: Column) -> DataFrame:
     """``_fall``: equity below its running peak, which starts at ``start``."""
-    s = Series(df, keys, ["timestamp"])
-    return s.build({"_fall": ratio("equity", F.greatest(s.cummax("equity"), start)) - 1})
+    return over_series(
+        df, keys, ["timestamp"], lambda s: {"_fall": ratio("equity", F.greatest(s.cummax("equity"), start)) - 1}
+    )
 
 
 def ledger_summary(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.rolling import Series
@@ -214,7 +214,7 @@ def scale_in(
 ) -> Build:
     """Exposure that only grows with the spread until the next accepted reversal.
 
-    Accepted crossings number the regimes; inside one, the fraction is the running maximum of the
+    From one accepted crossing to the next, the fraction is the running maximum of the
     levels passed. Rows without a spread or ATR keep the exposure and break the crossing test.
     """
 
@@ -227,15 +227,12 @@ def scale_in(
             spread < -entry
         )
         event = s.add(F.when(up, 1).when(down, -1))
-        regime = s.add(F.count(event).over(s.running))
         side = hold(s, event)
         reached = F.lit(0.0)
         for level, share in zip(levels, fractions, strict=True):
             passed = ready & (side * spread > level)
             reached = F.greatest(reached, F.when(passed, F.lit(float(share))).otherwise(0.0))
         now = s.add(F.when(event.isNotNull(), F.lit(float(fractions[0]))).otherwise(reached))
-        inside = Window.partitionBy(*s.keys, regime).orderBy(*s.order)
-        peak = s.add(F.max(now).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        return {"target": side * peak}
+        return {"target": side * s.cummax_since(now, event.isNotNull())}
 
     return build

@@ -229,7 +229,7 @@ def phased_book(spark: SparkSession, sf: str) -> DataFrame:
         pf.threshold_portfolio(
             ds, MOM, start=START, timeframe="4h", cost_bps=10.0, signal_multiplier=-1.0, smoothing=2,
             position_size=0.5, long_threshold=0.01, short_threshold=0.01, keys=["phase", *TKEYS],
-            offset=F.col("phase"),
+            offset=F.col("phase"), max_rows=series_rows(spark, sf, "calm_type"),
         )
     )
 
@@ -285,7 +285,7 @@ def targets(spark: SparkSession, sf: str) -> DataFrame:
 
 def ledger(spark: SparkSession, sf: str, df: DataFrame | None = None, keys=("instrument_id",)):
     df = targets(spark, sf) if df is None else df
-    kw = {"fee_rate": FEE, "starting_balance": CASH}
+    kw = {"fee_rate": FEE, "starting_balance": CASH, "max_rows": series_rows(spark, sf, "calm_type")}
     trades = materialize(perf.trade_ledger(df, keys, **kw))
     return trades, materialize(perf.equity_curve(df, trades, keys, **kw))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import portfolio as pf
-from tidemark.queries.base import final, query
+from tidemark.queries.base import final, query, series_rows
 from tidemark.queries.q_processing import MOM, SPREAD, dataset, dataset_sql
 from tidemark.session import materialize
 
@@ -42,7 +42,8 @@ LONG_SHORT = f"{QUANTILE},\n{wealth_sql('pb')}"
 
 def long_short(spark: SparkSession, sf: str, mode: str = "long_short") -> DataFrame:
     return pf.quantile_portfolio(
-        dataset(spark, sf, "calm_user"), MOM, start=START, timeframe="1d", quantiles=5, cost_bps=16.0, mode=mode
+        dataset(spark, sf, "calm_user"), MOM, start=START, timeframe="1d", quantiles=5, cost_bps=16.0, mode=mode,
+        max_rows=series_rows(spark, sf, "calm_user"),
     )
 
 
@@ -176,6 +177,7 @@ def threshold_book(spark: SparkSession, sf: str, **kw) -> DataFrame:
         pf.threshold_portfolio(
             dataset(spark, sf, "calm_type", (2,)), MOM, start=START, timeframe="4h", cost_bps=10.0,
             signal_multiplier=-1.0, smoothing=2, position_size=0.5, keys=TKEYS,
+            max_rows=series_rows(spark, sf, "calm_type"),
             **({"long_threshold": 0.01, "short_threshold": 0.01} | kw),
         )
     )
@@ -262,7 +264,7 @@ tr AS (SELECT {TK}, k, min(t) FILTER (WHERE kind = 'r') AS entry_time, coalesce(
     ),
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return pf.trade_log(threshold_book(spark, sf), "4h", TKEYS)
+    return pf.trade_log(threshold_book(spark, sf), "4h", TKEYS, series_rows(spark, sf, "calm_type"))
 
 
 MONTHLY = f"""{calendar_sql('month', "strftime(t, '%Y-%m')", 'mm')},
@@ -282,7 +284,7 @@ mo AS (SELECT * FROM mm LEFT JOIN mt USING ({TK}, month))"""
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     book = threshold_book(spark, sf)
-    return pf.monthly_metrics(book, pf.trade_log(book, "4h", TKEYS), "4h", TKEYS)
+    return pf.monthly_metrics(book, pf.trade_log(book, "4h", TKEYS, series_rows(spark, sf, "calm_type")), "4h", TKEYS)
 
 
 @query(
@@ -300,7 +302,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     book = threshold_book(spark, sf)
-    trades = materialize(pf.trade_log(book, "4h", TKEYS))
+    trades = materialize(pf.trade_log(book, "4h", TKEYS, series_rows(spark, sf, "calm_type")))
     return pf.monthly_summary(pf.monthly_metrics(book, trades, "4h", TKEYS), trades, TKEYS)
 
 
