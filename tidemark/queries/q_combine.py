@@ -255,25 +255,107 @@ def model_request(model: str, **more) -> cb.CombinationRequest:
     return cb.CombinationRequest("machine_learning", (MOM, SPREAD, TURN), name="model", params=params)
 
 
-def _model_query(model: str) -> None:
-    @query(f"walk_forward_{model}")
+_TRIO = ", ".join(f"max(v) FILTER (WHERE factor_name = '{n}') AS x{i}" for i, n in enumerate((MOM, SPREAD, TURN)))
+
+
+def _each(text: str, sep: str = ", ") -> str:
+    """``text`` for each of the three features."""
+    return sep.join(text.replace("#", str(i)) for i in range(3))
+
+
+# Training rows of every refit, standardized, and their correlations. (Without a window, a time at which a fit can be
+# made is followed by such times only.)
+_WALK = f"""{dataset_sql()},
+ft AS (SELECT venue, instrument_id, bar_type, t, {_TRIO} FROM ds GROUP BY ALL),
+tg AS (SELECT DISTINCT venue, instrument_id, bar_type, t, exit_time, y, ok FROM ds WHERE h = 1),
+rw AS (SELECT ft.*, exit_time, y, ok FROM ft LEFT JOIN tg USING (venue, instrument_id, bar_type, t)),
+rd AS (SELECT *, exit_time + INTERVAL 1 DAY AS known FROM rw WHERE ok AND y IS NOT NULL),
+tm AS (SELECT t AS due, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT t FROM rw)),
+ct AS (SELECT due, i, count(*) AS n, count(DISTINCT t) AS periods, least({_each('count(x#)')}) AS least_seen
+  FROM tm JOIN rd ON known <= due GROUP BY ALL),
+ab AS (SELECT *, min(i) OVER () AS i0 FROM ct WHERE i >= 5 AND periods >= 5 AND n >= 50 AND least_seen > 0),
+rf AS (SELECT due, n, CAST(row_number() OVER (ORDER BY due) AS INTEGER) AS fit FROM ab WHERE (i - i0) % 10 = 0),
+tr AS (SELECT due, fit, n, {_each('x#')}, y FROM rf JOIN rd ON known <= due),
+md AS (SELECT due, {_each('median(x#) AS d#')} FROM tr GROUP BY due),
+im AS (SELECT tr.due, fit, n, y, {_each('coalesce(x#, d#) AS x#')} FROM tr JOIN md USING (due)),
+st AS (SELECT due, avg(y) AS ym, stddev_pop(y) AS ys, {_each('avg(x#) AS c#')}, {_each('stddev_pop(x#) AS s#')} FROM im GROUP BY due),
+zz AS (SELECT im.due, fit, n, {_each('(x# - c#) / s# AS z#')}, (y - ym) / ys AS u FROM im JOIN st USING (due)),
+mo AS (SELECT due, fit, CAST(n AS DOUBLE) AS n, avg(z0 * z1) AS g, avg(z0 * z2) AS k, avg(z1 * z2) AS l, {_each('avg(z# * u) AS r#')} FROM zz GROUP BY ALL)"""
+# The ridge system by cofactors: diagonal n + 1, right side n times the correlations.
+_RIDGE = f"""{_WALK},
+ws AS (
+  SELECT due, fit,
+    (n * r0 * (a * a - n * l * n * l) - n * g * (n * r1 * a - n * l * n * r2) + n * k * (n * r1 * n * l - a * n * r2)) / det AS w0,
+    (a * (n * r1 * a - n * l * n * r2) - n * r0 * (n * g * a - n * l * n * k) + n * k * (n * g * n * r2 - n * r1 * n * k)) / det AS w1,
+    (a * (a * n * r2 - n * r1 * n * l) - n * g * (n * g * n * r2 - n * r1 * n * k) + n * r0 * (n * g * n * l - a * n * k)) / det AS w2
+  FROM (SELECT *, n + 1.0 AS a,
+    (n + 1.0) * ((n + 1.0) * (n + 1.0) - n * l * n * l) - n * g * (n * g * (n + 1.0) - n * l * n * k)
+      + n * k * (n * g * n * l - (n + 1.0) * n * k) AS det FROM mo))"""
+# The elastic net by 200 rounds over its three coordinates: alpha 0.001, half of it on the absolute slopes.
+_SOFT = "sign({0}) * greatest(abs({0}) - 0.0005, 0) / 1.0005"
+_NET = f"""{_WALK},
+cd AS (
+  SELECT due, 0 AS step, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 FROM mo
+  UNION ALL
+  SELECT due, step + 1, v0, v1, {_SOFT.format('(r2 - k * v0 - l * v1)')} FROM (
+    SELECT *, {_SOFT.format('(r1 - g * v0 - l * w2)')} AS v1 FROM (
+      SELECT cd.*, r0, r1, r2, g, k, l, {_SOFT.format('(r0 - g * w1 - k * w2)')} AS v0 FROM cd JOIN mo USING (due) WHERE step < 200))),
+ws AS (SELECT due, fit, w0, w1, w2 FROM cd JOIN mo USING (due) WHERE step = 200)"""
+_SCORE = f""",
+fs AS (SELECT ws.*, {_each('d#')}, {_each('c#')}, {_each('s#')} FROM ws JOIN md USING (due) JOIN st USING (due)),
+fo AS (SELECT rw.*, fs.* FROM rw ASOF LEFT JOIN fs ON rw.t >= fs.due),
+sc AS (SELECT *, CASE WHEN {_each('x# IS NOT NULL', ' OR ')} THEN {_each('w# * (coalesce(x#, d#) - c#) / s#', ' + ')} END AS raw FROM fo)"""
+_FLAG = "CASE WHEN due IS NULL THEN 'MODEL_WARMUP_INCOMPLETE' WHEN raw IS NULL THEN 'MISSING_COMPONENT_FACTOR' ELSE '' END"
+_SCORED = dict(d="raw_value=raw", o=f"{T}; factor_quality_flags={_FLAG}")
+
+
+def _linear_scores(spark: SparkSession, sf: str, model: str) -> DataFrame:
+    out, _ = models.walk_forward(dataset(spark, sf), model_request(model))
+    return out.select("instrument_id", "timestamp", "raw_value", "factor_quality_flags")
+
+
+@query("walk_forward_ridge", final(_RIDGE + _SCORE, "sc", **_SCORED))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _linear_scores(spark, sf, "ridge")
+
+
+@query("walk_forward_elastic_net", final(_NET + _SCORE, "sc", **_SCORED).replace("WITH", "WITH RECURSIVE", 1))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _linear_scores(spark, sf, "elastic_net")
+
+
+@query(
+    "walk_forward_weights",
+    final(
+        f"{_RIDGE}, wt AS (" + " UNION ALL ".join(
+            f"SELECT due, fit, '{n}' AS factor_name, w{i} AS weight FROM ws" for i, n in enumerate((MOM, SPREAD, TURN))
+        ) + ")",
+        "wt", d="weight", i="fit", o="timestamp=due; factor_name; kind='coefficient'",
+    ),
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return models.walk_forward(dataset(spark, sf), model_request("ridge"))[1]
+
+
+# Trees are compared by where they score: their splits differ between engines.
+_TREES = f"""{_WALK},
+tc AS (
+  SELECT t, CASE WHEN due IS NULL THEN 'MODEL_WARMUP_INCOMPLETE' WHEN {_each('x# IS NULL', ' AND ')} THEN 'MISSING_COMPONENT_FACTOR' ELSE '' END AS flags
+  FROM rw ASOF LEFT JOIN rf ON rw.t >= rf.due),
+tn AS (SELECT t, flags, count(*) AS n, count(*) FILTER (WHERE flags = '') AS scored FROM tc GROUP BY ALL)"""
+
+
+def _tree_query(model: str) -> None:
+    @query(f"walk_forward_{model}", final(_TREES, "tn", i="rows=n", o="timestamp=t; factor_quality_flags=flags; scored"))
     def _(spark: SparkSession, sf: str) -> DataFrame:
         out, _ = models.walk_forward(dataset(spark, sf), model_request(model))
-        if model in models.LINEAR:
-            return out.select("instrument_id", "timestamp", "raw_value", "factor_quality_flags")
-        # Trees are compared by shape only: their splits differ between engines.
         return out.groupBy("timestamp", "factor_quality_flags").agg(
             F.count(F.lit(1)).alias("rows"), F.count("raw_value").alias("scored")
         )
 
 
-for _m in ("ridge", "elastic_net", "random_forest", "gradient_boosting"):
-    _model_query(_m)
-
-
-@query("walk_forward_weights")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    return models.walk_forward(dataset(spark, sf), model_request("ridge"))[1]
+for _m in ("random_forest", "gradient_boosting", "hist_gradient_boosting"):
+    _tree_query(_m)
 
 
 @query(
