@@ -1,7 +1,7 @@
 """From documents to packed sequences: five stages, each written as Parquet and read by the next.
 
     quality        ordinal quality model; documents it rejects go
-    near_dedup     weighted MinHash; the smallest id of each group stays
+    near_dedup     weighted MinHash; the smallest document of each group stays
     pii            patterns and CRF; what they find is replaced by its kind
     mix            Pareto order sampling; a document stands as often as the mix takes it
     pack           vector best-fit of token pieces into sequences
@@ -33,16 +33,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-copies; rows that repeat an id are one document.
+    """Keeps one document of each group of near-copies: the smallest by id, then digest of its text.
 
-    Documents with a null id are in no group and stay.
+    Rows that repeat id and text are one document, of which the smallest of the other columns stay; another text under
+    the same id is another document. Documents with a null id are in no group and stay.
     """
     ship_package(spark)
     docs = docs.select(*COLUMNS)
     classes = neardup.near_duplicates(docs)
-    kept = classes.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    kept = classes.where("kept AND doc_id IS NOT NULL").select("doc_id", "raw").distinct()
+    named = docs.withColumn("raw", neardup.text_digest("text")).join(kept, ["doc_id", "raw"], "left_semi")
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    named = named.groupBy("doc_id", "raw").agg(F.min("text").alias("text"), F.min(F.struct(*rest)).alias("rest"))
+    return named.select("doc_id", "text", "rest.*").select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,8 +61,23 @@ def test_run_and_odd_rows(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == 0
 
 
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    long = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    rows = [(1, long[0]), (1, long[1]), (2, long[0]), (3, long[1]), (1, long[2]), (1, None), (1, ""), (1, None), (1, long[2]), (4, long[1] + " more"),
+            (None, long[3]), (None, long[3]), (9, long[3]), (9, long[3])]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n % 3}", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [sorted(map(tuple, cp.near_dedup_stage(spark, d, SF).collect()), key=str) for d in (docs, docs.repartition(5))]
+    assert kept[0] == kept[1]
+    found = sorted(((r[0], r[1]) for r in kept[0]), key=str)
+    want = [(1, long[0]), (1, long[1]), (1, long[2]), (1, None), (1, ""), (None, long[3]), (None, long[3]), (9, long[3])]
+    assert found == sorted(want, key=str)
+    classes = neardup.near_duplicates(docs).collect()
+    of = {(r["doc_id"], r["raw"]): (r["class_id"], r["class_raw"]) for r in classes}
+    assert len({of[k] for k in of if k[0] in (1, 2, 3, 4)}) == 5  # three texts, no text and the empty one
+
+
 def test_entry_lists_pipeline_and_operators():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13

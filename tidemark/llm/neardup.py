@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, components
@@ -197,39 +197,53 @@ def band_keys(sigs: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def words_digest(words: list[str]) -> bytes | None:
+    return hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest() if words else None
+
+
+def text_digest(text: str) -> Column:
+    """Names a text as it stands; a null has the empty name."""
+    return F.coalesce(F.sha2(F.col(text), 256), F.lit(""))
+
+
 def sketches(docs: DataFrame, idf: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest of the words, band keys; texts without words have neither digest nor bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, digest of the text itself, digest of its words, band keys.
+
+    Texts without words have neither of the last two; the text digest of a null is empty.
+    """
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("raw", pa.string()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))]
+    )
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, texts = [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 words = words_of(text.as_py())
-                digest = hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
-                digests.append(digest if words else None)
+                digests.append(words_digest(words))
                 texts.append(elements(word_hashes(words), idf))
             keys = band_keys(signatures(texts))
             bands = [k if d else None for k, d in zip(keys, digests, strict=True)]
-            cols = [batch.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            cols = [*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.record_batch(cols, schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(
-        sketch, "doc_id long, digest binary, bands array<long>"
+    return docs.select(F.col(id_col).cast("long"), text_digest(text_col), text_col).mapInArrow(
+        sketch, "doc_id long, raw string, digest binary, bands array<long>"
     )
 
 
-def element_table(docs: DataFrame, idf: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, weight of all elements, elements."""
-    schema = pa.schema([("id", pa.int64()), ("weight", pa.int64()), ("elems", pa.list_(pa.int64()))])
+def element_table(docs: DataFrame, idf: np.ndarray, text_col: str = "text") -> DataFrame:
+    """Digest of the words, weight of all elements, elements."""
+    schema = pa.schema([("digest", pa.binary()), ("weight", pa.int64()), ("elems", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [elements(word_hashes(words_of(t.as_py())), idf) for t in batch.column(1)]
-            cols = [batch.column(0), pa.array([int((e & 0xFFFF).sum()) for e in got], pa.int64())]
+            words = [words_of(t.as_py()) for t in batch.column(0)]
+            got = [elements(word_hashes(w), idf) for w in words]
+            cols = [pa.array(map(words_digest, words), pa.binary()), pa.array([int((e & 0xFFFF).sum()) for e in got], pa.int64())]
             yield pa.record_batch([*cols, pa.array(got, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, weight long, elems array<long>")
+    return docs.select(text_col).mapInArrow(run, "digest binary, weight long, elems array<long>")
 
 
 def verified(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
@@ -328,17 +342,19 @@ def crowded_links(placed: DataFrame, table: DataFrame, similarity: float, block:
 def near_duplicates(
     docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, class_id, kept: one row per document.
+    """doc_id, class_id, kept, raw, class_raw: one row per row of ``docs``.
 
-    ``class_id`` is the smallest id reachable over links between texts of at least ``similarity``;
-    ``kept`` marks that document. Texts with equal words are one text. Every band bucket compares its
+    A document is a pair of id and text, ``raw`` being the text's digest: rows that repeat both are one document,
+    rows that repeat an id over another text are documents of their own, with classes of their own. A class is
+    what links between texts of at least ``similarity`` reach; ``class_id`` and ``class_raw`` name its smallest
+    document, by id and then digest, which alone is ``kept``. Texts with equal words are one text. Every band bucket compares its
     texts with the one of most company, and wherever a bucket still holds several components, each text
     outside the largest is compared with every text of another component, pair by pair or, in buckets
     of more than ``CROWD`` texts, block by block: no link between components is lost, and a bucket of m
     copies of one text costs m pairs, not m squared.
 
-    Null texts and texts without words link with nothing, nor does a null id. Rows that repeat an id
-    are one document. An empty table gives no rows.
+    Null texts and texts without words link with nothing, nor does a null id: they are kept. An empty table gives
+    no rows.
     """
     bounded_batches(docs.sparkSession)
     total, counts = document_counts(docs, text_col)
@@ -347,10 +363,14 @@ def near_duplicates(
     texts = (
         sketch.where("digest IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"))
+        .agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.any_value("bands").alias("bands"))
     )
     texts = materialize(texts)
-    keyed = texts.select("id", F.explode("bands").alias("band"))
+    salt = 0
+    while not texts.groupBy(_node(salt)).count().where("count > 1").isEmpty():
+        salt += 1
+    texts = texts.withColumn("id", _node(salt))
+    keyed = texts.select("id", F.col("first.doc_id").alias("doc_id"), F.explode("bands").alias("band"))
     buckets = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(keyed.join(buckets, "band"))
     # A bucket is led by its text of most company in all its buckets: the one most others are copies of.
@@ -360,12 +380,14 @@ def near_duplicates(
     led = members.join(leads, "band").where("id <> lead")
     first = led.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     first = materialize(first)
-    wanted = members.select(F.col("id").alias(id_col)).distinct()
+    wanted = members.select(F.col("doc_id").alias(id_col)).distinct()
     # The set of candidates grows with the corpus, so it is never broadcast.
     table = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(
         wanted.hint("merge"), id_col, "left_semi"
     )
-    table = materialize(element_table(table, idf, id_col, text_col).dropDuplicates(["id"]))
+    table = element_table(table, idf, text_col).withColumn("id", _node(salt)).drop("digest")
+    table = table.join(members.select("id").distinct().hint("merge"), "id", "left_semi")
+    table = materialize(table.dropDuplicates(["id"]))
     links = materialize(verified(first, table, similarity))
     roots = components(links)
 
@@ -391,12 +413,20 @@ def near_duplicates(
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
-    of_text = texts.join(roots.withColumnRenamed("node", "id"), "id", "left")
-    of_text = of_text.select("digest", F.coalesce("component", "id").alias("text_class"))
-    out = sketch.select("doc_id", "digest").join(of_text, "digest", "left")
-    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("text_class", "doc_id"))
+    linked = texts.join(roots.withColumnRenamed("node", "id"), "id").select("digest", "first", "component")
+    heads = linked.groupBy("component").agg(F.min("first").alias("head"))
+    linked = linked.join(heads, "component").select("digest", "head")
+    of_text = texts.select("digest", "first").join(linked, "digest", "left")
+    of_text = of_text.select("digest", F.coalesce("head", "first").alias("head"))
+    out = sketch.select("doc_id", "raw", "digest").join(of_text, "digest", "left")
+    head = F.when(F.col("doc_id").isNotNull(), F.coalesce("head", F.struct("doc_id", "raw")))
+    kept = (F.col("doc_id") == head["doc_id"]) & (F.col("raw") == head["raw"])
     return out.select(
-        "doc_id",
-        class_id.alias("class_id"),
-        F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"),
+        "doc_id", head["doc_id"].alias("class_id"), F.coalesce(kept, F.lit(True)).alias("kept"), "raw",
+        head["raw"].alias("class_raw"),
     )
+
+
+def _node(salt: int) -> Column:
+    """A number for a text, from the digest of its words; the salt is one that gives no two texts the same."""
+    return F.xxhash64("digest", F.lit(salt))
