@@ -235,13 +235,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     def best(ds: DataFrame, request: cb.CombinationRequest) -> DataFrame:
         feats = cb.prepare_features(ds, request.factor_names).dropna()
         top = F.greatest(*[F.col(f"`{n}`") for n in request.factor_names])
-        return feats.select(*cb.KEYS, top.alias("raw_value"))
+        return feats.select(
+            *cb.KEYS, top.alias("raw_value"), F.lit(True).alias("factor_is_valid"), F.lit("").alias("factor_quality_flags")
+        )
 
     cb.register("best_of", best, replace=True)
-    ds = dataset(spark, sf)
-    return best(ds, cb.CombinationRequest("best_of", PAIR)).select(
-        "instrument_id", "timestamp", "raw_value"
-    )
+    combined = cb.combine(dataset(spark, sf), cb.CombinationRequest("best_of", PAIR))
+    return combined.where("horizon_bars = 1 AND raw_value IS NOT NULL").select("instrument_id", "timestamp", "raw_value")
 
 
 # -- models --------------------------------------------------------------------------------
