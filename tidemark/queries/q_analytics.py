@@ -36,7 +36,7 @@ def spearman_sql(keys: str, name: str = "ic", source: str = "va") -> str:
 
 SERIES = f"{spearman_sql(G + ', t', 'ics')},\nser AS (SELECT * FROM ics WHERE n >= 5 AND ic IS NOT NULL)"
 SUMMARY = """su AS (SELECT factor_name, label_name, h, count(*) AS n, avg(ic) AS m, stddev_samp(ic) AS s,
-  median(ic) AS md, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS pr FROM ser GROUP BY ALL)"""
+  median(ic) AS md, avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0.0 END) AS pr FROM ser GROUP BY ALL)"""
 SUMMARY_OUT = dict(
     d="mean_ic=m; std_ic=s; median_ic=md; positive_rate=pr; icir=CASE WHEN s > 0 THEN m / s END; "
       "t_stat=CASE WHEN s > 0 AND n > 1 THEN m / (s / sqrt(n)) END",
