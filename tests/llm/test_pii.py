@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -105,3 +106,33 @@ def test_rows(spark):
 @pytest.mark.parametrize("spans,want", [([("ip", 0, 3), ("card", 2, 6)], "[IP]gh"), ([], "abcdefgh"), ([("ip", 6, 8)], "abcdef[IP]")])
 def test_redacted(spans, want):
     assert pii.redacted("abcdefgh", spans) == want
+
+
+def test_long_words_are_read_whole():
+    crf = pii.train(pii.parse_labelled(pii.LABELLED))
+    for n in (60, 90, 500, 5_000):
+        text = "mail " + "x" * n + "[at]example.com today"
+        assert pii.find_spans([text], crf)[0][1] == [("crf_email", 5, 5 + n + len("[at]example.com"))], n
+
+
+def test_taken_places_match_a_scan():
+    rng = random.Random(3)
+    for _ in range(500):
+        spans = [("x", a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(6)))]
+        taken = pii.Taken(spans)
+        for _ in range(20):
+            start = rng.randrange(70)
+            end = start + rng.randrange(1, 6)
+            assert taken.meets(start, end) == any(not (end <= a or start >= b) for _, a, b in spans)
+
+
+def test_many_spans_take_linear_time():
+    crf = pii.train(pii.parse_labelled(pii.LABELLED))
+    line = "mail a.b%d@example.com or call 555 010 %04d from 10.0.0.%d\n"
+    took = []
+    for n in (1_000, 4_000):
+        text = "".join(line % (i, i % 10_000, i % 256) for i in range(n))
+        start = time.process_time()
+        pii.find_spans([text], crf)
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0]

@@ -110,3 +110,64 @@ def test_quality_odd_rows(spark):
     kept = quality.keep_graded(docs, quality.ratings(some))
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
     assert quality.graded_texts(docs.limit(0), quality.ratings(some)).count() == 0
+
+
+@pytest.mark.parametrize("words", [200, 6_000])
+def test_toxic_texts_of_any_length_are_learned(spark, words):
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        ws = ["w%s" % "abcdefghij"[rng.randrange(10)] * rng.randrange(1, 4) for _ in range(words)]
+        for at in range(i % 20, words, 20) if i % 2 else ():
+            ws[at] = "vileword"
+        rows.append((i, " ".join(ws), i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = toxicity.toxic_scores(docs, labels).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in got)
+
+
+def test_labels_without_texts_are_warned_of(spark):
+    docs = spark.createDataFrame([(i, "some text" if i % 2 else None) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(20)], "doc_id long, toxic int")
+    with pytest.warns(UserWarning, match="no text"):
+        assert toxicity.toxic_scores(docs, labels).count() == 20
+    graded = spark.createDataFrame([(i, float(i % 2)) for i in range(20)], "doc_id long, grade double")
+    with pytest.warns(UserWarning, match="no text"):
+        quality.fit(docs, graded)
+
+
+def test_ordinal_fit_matches_a_plain_optimiser():
+    """Cumulative-link loss at the fit against plain descent with numeric gradients on the same features."""
+    rng = np.random.default_rng(5)
+    names = [f"word{c}" for c in "abcdef"]
+    pull = np.array([2.0, 1.0, 0.0, 0.0, -1.0, -2.0])
+    texts, grades = [], []
+    for _ in range(240):
+        counts = rng.integers(0, 3, 6)
+        grades.append(int(np.digitize(counts @ pull + rng.logistic(0, 1), [-1.0, 1.0])))
+        texts.append(" ".join(n for n, c in zip(names, counts, strict=True) for _ in range(c)) or "none")
+    y = np.array(grades, float)
+    model = quality.fit_ordinal([quality.text_features(t) for t in texts], y)
+    words = quality.WordScores(model.weights)
+    f = np.array([words.text(t) for t in texts])
+    tail = model.tails(f)
+    full = np.column_stack([np.ones(len(f)), tail, np.zeros(len(f))])
+    p = full[np.arange(len(f)), y.astype(int)] - full[np.arange(len(f)), y.astype(int) + 1]
+    assert (p > 0).all() and np.allclose(model.expected(f), tail.sum(axis=1) + model.grades[0], atol=1e-6)
+    share = np.bincount(y.astype(int)) / len(y)
+    assert -np.log(p).mean() < -(share * np.log(share)).sum() - 0.2  # far better than the shares alone
+    # No small step of the cuts alone, of the slope alone or of both lessens the weighted loss by more than a trace.
+    weight = 1 / np.sqrt(share[y.astype(int)])
+    weight = weight / weight.sum()
+    cuts = model.cuts
+
+    def loss(scale, shift, spread):
+        c = shift + spread * (cuts - cuts.mean()) + cuts.mean()
+        up = np.column_stack([np.ones(len(f)), 1 / (1 + np.exp(c[None, :] - scale * f[:, None])), np.zeros(len(f))])
+        at = np.arange(len(f)), y.astype(int)
+        return -(weight * np.log(up[at] - up[at[0], at[1] + 1])).sum()
+
+    here = loss(1.0, 0.0, 1.0)
+    grid = [(a, b, c) for a in (0.8, 0.9, 1.0, 1.1, 1.25) for b in (-0.2, 0.0, 0.2) for c in (0.8, 0.9, 1.0, 1.1, 1.25)]
+    assert here <= min(loss(*g) for g in grid) + 0.02

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize
@@ -18,6 +18,13 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def text_window(text: str, key: str, chars: int) -> Column:
+    """A text of at most ``chars`` code points as it is; of a longer one, that many from a place named by its key."""
+    last = F.length(text) - F.lit(chars)
+    place = F.pmod(F.xxhash64(key), F.greatest(last, F.lit(0)).cast("long") + 1).cast("int") + 1
+    return F.when(last > 0, F.substr(F.col(text), place, F.lit(chars))).otherwise(F.col(text)).alias(text)
+
+
 def blocks_of(df: DataFrame, rows: int, name: str = "_block") -> DataFrame:
     """Rows with an even block number, about ``rows`` to a block, whatever their values.
 

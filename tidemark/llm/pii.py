@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +149,8 @@ _KEYS = frozenset("at dot tel tel: phone phone: call mobile fax ring text number
 REACH = 4
 # Longer chains are decoded alone, so many words at a time.
 LONG_CHAIN = 512
+# Longer words are scored whole each time they occur, but not remembered.
+LONGEST_KEPT = 256
 CELLS = 1 << 12
 
 
@@ -161,7 +165,6 @@ def _cell(name: str) -> int:
 
 def features(word: str) -> list[str]:
     """What a word tells of itself, whatever its neighbours."""
-    word = word[:80]
     s = shape(word)
     digits = sum(c in "0123456789" for c in word)
     out = [
@@ -190,9 +193,10 @@ class Crf:
         if got is None:
             at = [_cell(f) for f in features(word)]
             got = self.own[at].sum(axis=0), self.before[at].sum(axis=0), self.after[at].sum(axis=0)
-            if len(self.seen) >= 50_000:
-                self.seen.clear()
-            self.seen[word] = got
+            if len(word) <= LONGEST_KEPT:
+                if len(self.seen) >= 50_000:
+                    self.seen.clear()
+                self.seen[word] = got
         return got
 
     def scores(self, words: list[str]) -> np.ndarray:
@@ -393,7 +397,20 @@ def _passes(kind: str, found: str) -> bool:
     return bool(re.fullmatch(rf"{name}{at}[A-Za-z0-9-]+(?:{dot}[A-Za-z0-9-]+)+", found))
 
 
-def crf_spans(text: str, chain: list[tuple[str, int, int]], tags: np.ndarray, base: list[Span]) -> list[Span]:
+class Taken:
+    """Places that spans cover, asked in logarithmic time."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        order = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in order]
+        self.ends = list(accumulate((b for _, b in order), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.ends[before - 1] > start
+
+
+def crf_spans(text: str, chain: list[tuple[str, int, int]], tags: np.ndarray, taken: Taken) -> list[Span]:
     out = []
     i = 0
     while i < len(tags):
@@ -409,8 +426,7 @@ def crf_spans(text: str, chain: list[tuple[str, int, int]], tags: np.ndarray, ba
             end -= 1
         while start < end and text[start] in ",;:\"'":
             start += 1
-        clear = all(end <= a or start >= b for _, a, b in base)
-        if clear and _passes(kind, text[start:end]):
+        if not taken.meets(start, end) and _passes(kind, text[start:end]):
             out.append((f"crf_{kind}", start, end))
         i = j
     return out
@@ -425,9 +441,10 @@ def find_spans(texts: list[str], crf: Crf) -> list[tuple[list[Span], list[Span]]
             chains.append(chain)
             owner.append(n)
     more: list[list[Span]] = [[] for _ in texts]
+    taken = [Taken(b) for b in base]
     for n, chain, tags in zip(owner, chains, crf.decode([[w[0] for w in c] for c in chains]), strict=True):
         if tags.any():
-            more[n] += crf_spans(texts[n], chain, tags, base[n])
+            more[n] += crf_spans(texts[n], chain, tags, taken[n])
     order = {f"crf_{k}": i for i, k in enumerate(KINDS)}
     return [(b, sorted(set(m), key=lambda s: (order[s[0]], s[1]))) for b, m in zip(base, more, strict=True)]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches
+from tidemark.llm.common import bounded_batches, text_window
 
 CELLS = 1 << 18
 SAMPLE_ROWS = 2_500
@@ -35,7 +36,7 @@ def word_features(word: str) -> tuple[int, int]:
         form = "aa" if word.islower() else "AA" if word.isupper() else "Aa"
     else:
         form = re.sub(r"[^\W\d_]+", lambda m: "aa" if m.group().islower() else "AA" if m.group().isupper() else "Aa", word)
-        form = re.sub(r"(.)\1+", r"\1\1", re.sub(r"\d", "0", form))[-8:]
+        form = re.sub(r"(.)\1+", r"\1\1", re.sub(r"\d", "0", form))
     return _hash("w:" + core.lower()), _hash("f:" + form)
 
 
@@ -167,8 +168,9 @@ def fit(
     docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade",
     sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS,
 ) -> OrdinalModel:
-    """Fit on a bounded sample: per grade the ``sample_rows`` rated rows of lowest hash, at most
-    ``sample_chars`` characters long. Grades are numbers in any steps; more than
+    """Fit on a bounded sample: per grade the ``sample_rows`` rated rows of lowest hash; of a text
+    longer than ``sample_chars`` characters, that many from a place named by its id. A grade of which no text
+    is found is warned of. Grades are numbers in any steps; more than
     ``MOST_GRADES`` of them are an error."""
     given = graded.select(F.col(id_col).cast("long").alias(id_col), F.col(grade_col).cast("double").alias("_y"))
     given = given.where("_y IS NOT NULL")
@@ -183,8 +185,11 @@ def fit(
         sample = sample.unionByName(part)
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"))
     # The sample has at most sample_rows ids a grade: the texts need no shuffle to meet it.
-    rows = rows.where(F.length("_text") <= sample_chars).join(F.broadcast(sample), id_col).collect()
-    rows = sorted((r[id_col], r["_y"], r["_text"]) for r in rows)
+    rows = rows.join(F.broadcast(sample), id_col).select(id_col, "_y", text_window("_text", id_col, sample_chars)).collect()
+    rows = sorted((r[id_col], r["_y"], r["_text"]) for r in rows if r["_text"] is not None)
+    missing = set(found) - {r[1] for r in rows}
+    if missing:
+        warnings.warn(f"no text to learn grades {sorted(missing)} from", stacklevel=2)
     return fit_ordinal([text_features(r[2]) for r in rows], np.array([r[1] for r in rows]))
 
 

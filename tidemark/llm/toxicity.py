@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches
+from tidemark.llm.common import bounded_batches, text_window
 
 WORD = re.compile(r"[^\W\d_]+")
 CELLS = 1 << 20
@@ -362,7 +363,8 @@ def fit(
     sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS,
 ) -> ToxicCrf:
     """Fit on a bounded sample: per label the ``sample_rows`` rows of lowest hash among those that may be
-    learned from and have at most ``sample_chars`` characters. Label shares come from all such rows."""
+    learned from; of a text longer than ``sample_chars`` characters, that many from a place named by its id.
+    A label of which no text is found is warned of. Label shares come from all such rows."""
     given = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("int").alias("_y"))
     given = given.where(F.col("_y").isin(0, 1) & ~held_out(id_col))
     shares = {r["_y"]: r["n"] for r in given.groupBy("_y").agg(F.count("*").alias("n")).collect()}
@@ -370,8 +372,11 @@ def fit(
     sample = parts[0].unionByName(parts[1])
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"))
     # The sample has at most twice sample_rows ids: the texts need no shuffle to meet it.
-    rows = rows.where(F.length("_text") <= sample_chars).join(F.broadcast(sample), id_col).collect()
-    rows = sorted((r["_y"], r[id_col], r["_text"]) for r in rows)
+    rows = rows.join(F.broadcast(sample), id_col).select(id_col, "_y", text_window("_text", id_col, sample_chars)).collect()
+    rows = sorted((r["_y"], r[id_col], r["_text"]) for r in rows if r["_text"] is not None)
+    missing = {y for y, n in shares.items() if n} - {r[0] for r in rows}
+    if missing:
+        warnings.warn(f"no text to learn toxic = {sorted(missing)} from", stacklevel=2)
     texts = [words_of(r[2]) for r in rows]
     toxic = np.array([r[0] for r in rows], bool)
     if not toxic.any() or toxic.all():  # nothing to tell apart: the share of the label is the score
