@@ -1,13 +1,16 @@
 """Labels, analytics, redundancy and combinations on tiny datasets."""
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import hours
+from tidemark.functions import moments
 from tidemark.operators import analytics, combine, labels, redundancy
+from tidemark.operators.analytics import factor_correlation
 
 LB = "venue string, instrument_id string, bar_type string, timestamp timestamp_ntz, open double, volume double"
 
@@ -214,3 +217,59 @@ def test_study_neutralizes_and_labels(spark):
     )
     assert rest.agg(F.max("c")).first()[0] < 1e-9
     assert tables["ic_summary"].count() > 0
+
+
+def gappy_panel(spark, n=400, seed=0):
+    """Four factors of which two have the same gaps, one others and one none; values tie."""
+    rng = np.random.default_rng(seed)
+    gaps, other = rng.random(n) < 0.2, rng.random(n) < 0.3
+    wide = pd.DataFrame({"a": rng.integers(0, 30, n), "b": rng.integers(0, 9, n), "c": rng.normal(size=n).round(1), "d": rng.normal(size=n)}).astype(float)
+    wide.loc[gaps, ["a", "b"]] = np.nan
+    wide.loc[other, "c"] = np.nan
+    rows = [
+        ("v", f"i{i % 20}", datetime(2024, 1, 1 + i // 20), name, float(wide[name][i]))
+        for i in range(n) for name in wide if not np.isnan(wide[name][i])
+    ]
+    df = spark.createDataFrame(rows, "venue string, instrument_id string, timestamp timestamp, factor_name string, value double")
+    return wide, df
+
+
+@pytest.mark.parametrize("method", ["spearman", "pearson"])
+@pytest.mark.parametrize("bounded", [True, False])
+def test_factor_correlation_with_gaps(spark, method, bounded):
+    wide, df = gappy_panel(spark)
+    got = {(r["factor_left"], r["factor_right"]): r for r in factor_correlation(df, [*wide, "absent"], method, bounded=bounded).collect()}
+    assert len(got) == 15
+    for i, a in enumerate(wide):
+        for b in [*wide][i:]:
+            both = wide[[a, b]].dropna() if a != b else wide[[a]].dropna()
+            row = got[a, b]
+            assert row["observations"] == len(both)
+            want = 1.0 if a == b else (both.rank() if method == "spearman" else both)[a].corr((both.rank() if method == "spearman" else both)[b])
+            assert row["correlation"] == pytest.approx(want, abs=1e-9), (a, b)
+    assert got["a", "absent"]["observations"] == 0 and got["a", "absent"]["correlation"] is None
+
+
+def test_stacked_systems_match_single_ones():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(30, 40, 4))
+    x[3, :, 1] = x[3, :, 0]  # collinear
+    x[4, :, 2] = 1.0  # without spread
+    x[5] *= 1e-14
+    cov = np.stack([np.cov(one, rowvar=False, bias=True) for one in x])
+    cov[6, 0, 0] = np.nan
+    n = rng.integers(5, 50, 30).astype(float)
+    for c in (cov, moments.scaled_stack(cov)):
+        if c is not cov:
+            assert np.array_equal(c, np.stack([moments.scaled(one) for one in cov]), equal_nan=True)
+        for xs, y in (([], 0), ([0], 3), ([0, 1, 2], 3), ([2, 0], 1)):
+            beta, sound = moments.slopes_stack(n, c, xs, y, 0.0)
+            share, given = moments.fit_quality_stack(n, c, xs, y, beta)
+            for i in range(30):
+                want = moments.slopes(n[i], c[i], xs, y, 0.0)
+                assert sound[i] == (want is not None)
+                if want is not None:
+                    assert np.allclose(beta[i], want, rtol=1e-6)
+                    quality = moments.fit_quality(n[i], c[i], xs, y, want)
+                    assert given[i] == (quality is not None)
+                    assert quality is None or share[i] == pytest.approx(quality, abs=1e-9, nan_ok=True)

@@ -77,6 +77,83 @@ def scaled(cov: np.ndarray) -> np.ndarray:
     return out
 
 
+def unpack_stack(frame: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, means and covariance matrices of a batch of moment rows, stacked on the first axis."""
+    means = np.stack([frame[f"m{i}"].to_numpy(float) for i in range(k)], axis=1)
+    cov = np.zeros((len(frame), k, k))
+    for i in range(k):
+        for j in range(i, k):
+            cov[:, i, j] = cov[:, j, i] = frame[f"c{i}_{j}"].to_numpy(float)
+    return frame["n"].to_numpy(float), means, cov
+
+
+def scaled_stack(cov: np.ndarray) -> np.ndarray:
+    """``scaled`` of a stack of matrices."""
+    var = np.diagonal(cov, axis1=1, axis2=2)
+    flat = var <= 1e-24
+    scale = np.where(flat, 1.0, np.sqrt(np.where(flat, 1.0, var)))
+    out = cov / (scale[:, :, None] * scale[:, None, :])
+    return np.where(flat[:, :, None] | flat[:, None, :], 0.0, out)
+
+
+def slopes_stack(
+    n: np.ndarray, cov: np.ndarray, xs: Sequence[int], y: int, ridge: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """``slopes`` of a stack of systems, solved together, and which of them are sound."""
+    xs = list(xs)
+    if not xs:
+        return np.zeros((len(n), 0)), np.ones(len(n), bool)
+    a = n[:, None, None] * cov[:, xs][:, :, xs] + ridge * np.eye(len(xs))
+    sound = np.isfinite(a).all(axis=(1, 2))
+    a = np.where(sound[:, None, None], a, np.eye(len(xs)))
+    work, rows = a.copy(), np.arange(len(n))
+    for c in range(len(xs)):
+        r = c + np.abs(work[:, c:, c]).argmax(axis=1)
+        top = work[rows, r].copy()
+        work[rows, r] = work[:, c]
+        work[:, c] = top
+        sound &= np.abs(top[:, c]) >= PIVOT_FLOOR
+        pivot = np.where(sound, top[:, c], 1.0)
+        work[:, c + 1 :] -= (work[:, c + 1 :, c] / pivot[:, None])[:, :, None] * top[:, None]
+    a = np.where(sound[:, None, None], a, np.eye(len(xs)))
+    return np.linalg.solve(a, (n[:, None] * cov[:, xs, y])[:, :, None])[:, :, 0], sound
+
+
+def residual_stack(cov: np.ndarray, xs: Sequence[int], y: int, beta: np.ndarray) -> np.ndarray:
+    """Variance of y that the fitted slopes leave, for each system of a stack."""
+    xs = list(xs)
+    fitted = np.einsum("bi,bij,bj->b", beta, cov[:, xs][:, :, xs], beta)
+    return cov[:, y, y] - 2 * np.einsum("bi,bi->b", beta, cov[:, xs, y]) + fitted
+
+
+def fit_quality_stack(
+    n: np.ndarray, cov: np.ndarray, xs: Sequence[int], y: int, beta: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """``fit_quality`` of a stack of systems, and where y has any variance to explain."""
+    total = n * cov[:, y, y]
+    given = ~(total <= 1e-24)
+    rest = n * residual_stack(cov, xs, y, beta)
+    return np.fmin(1.0, np.fmax(0.0, 1 - rest / np.where(given, total, 1.0))), given
+
+
+def solve_batches(
+    moments: DataFrame,
+    keys: Sequence[str],
+    args: Sequence[str],
+    schema: str,
+    fn: Callable[[pd.DataFrame], list[list[list]]],
+) -> DataFrame:
+    """Apply ``fn`` to batches of moment rows; for each row it returns zero or more result rows of ``schema``."""
+    args, names = list(args), [part.split()[0] for part in schema.split(", ")]
+
+    @F.pandas_udf(f"array<struct<{', '.join(p.replace(' ', ': ', 1) for p in schema.split(', '))}>>")
+    def run(*parts: pd.Series) -> pd.Series:
+        found = fn(pd.DataFrame(dict(zip(args, parts, strict=True))))
+        return pd.Series([[dict(zip(names, row, strict=True)) for row in rows] for rows in found])
+
+    return moments.select(*keys, F.inline(run(*[F.col(a) for a in args])))
+
+
 def solve_rows(
     moments: DataFrame,
     keys: Sequence[str],

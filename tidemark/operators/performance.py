@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -177,6 +178,10 @@ def weight_grid(spark: SparkSession, sleeves: Sequence[str], units: int) -> Data
     return grid.select(F.transform(full, lambda n: n / F.lit(float(units))).alias("weights"))
 
 
+# Weight splits of a block that one row carries.
+GRID_BLOCK = 1_024
+
+
 def weight_grid_screen(
     daily: DataFrame,
     sleeves: Sequence[str],
@@ -189,7 +194,8 @@ def weight_grid_screen(
 ) -> DataFrame:
     """Rank sleeve weights by half-year consistency.
 
-    ``daily`` has one row per date and a column per sleeve; each date is expanded by the fixed grid.
+    ``daily`` has one row per date and a column per sleeve. Grid and dates meet as two keyed tables: the grid is
+    dealt over blocks of about ``GRID_BLOCK`` splits, each date is sent to every block, and neither side is broadcast whole.
     """
     spark = daily.sparkSession
     grid = weight_grid(spark, sleeves, units)
@@ -202,11 +208,13 @@ def weight_grid_screen(
     mixed = F.lit(0.0)
     for sleeve, n in zip(sleeves, names, strict=True):
         mixed = mixed + F.col(n) * F.col(sleeve)
-    packed = F.array_agg(F.struct(*names)).alias("_grid")
-    # The grid is one row of fixed size, so each date carries it without a shuffle.
-    expanded = daily.crossJoin(F.broadcast(grid.agg(packed))).select(
-        "date", *sleeves, F.inline("_grid")
-    )
+    splits = comb(units + len(sleeves) - 1, len(sleeves) - 1)
+    blocks_of_grid = -(-splits // GRID_BLOCK)
+    grid = grid.withColumn("_block", F.pmod(F.xxhash64(*names), F.lit(blocks_of_grid)))
+    grid = grid.groupBy("_block").agg(F.array_agg(F.struct(*names)).alias("_grid"))
+    dealt = daily.select("date", *sleeves, F.explode(F.sequence(F.lit(0), F.lit(blocks_of_grid - 1))).alias("_block"))
+    dealt = dealt.withColumn("_block", F.col("_block").cast("long"))
+    expanded = dealt.hint("shuffle_hash").join(grid, "_block").select("date", *sleeves, F.inline("_grid"))
     returns = expanded.select(*names, "date", (mixed * leverage).alias("daily_return"))
     blocks = calendar_returns(returns, names, "half_year", least=least_days)
     halves = blocks.groupBy(*names).agg(

@@ -9,7 +9,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.groups import average_rank, fits, latest_row
-from tidemark.functions.moments import fit_quality, moment_aggs, scaled, slopes, solve_rows, unpack
+from tidemark.functions.moments import (
+    fit_quality,
+    fit_quality_stack,
+    moment_aggs,
+    residual_stack,
+    scaled,
+    scaled_stack,
+    slopes,
+    slopes_stack,
+    solve_batches,
+    solve_rows,
+    unpack,
+    unpack_stack,
+)
 from tidemark.functions.scalars import finite, ratio
 from tidemark.session import materialize
 
@@ -91,7 +104,8 @@ def unique_contribution(
 ) -> DataFrame:
     """Conditional IC and incremental R2 of each target per cross-section.
 
-    Targets that share a set of variables share one ranking pass and one moment row.
+    Targets that share a set of variables share one ranking pass and one moment row; the systems of all
+    cross-sections of a batch are solved together.
     """
     names = sorted(factors)
     at = {n: i for i, n in enumerate(names)}
@@ -106,7 +120,7 @@ def unique_contribution(
     for used, wanted in plan.items():
         cols = [*[f"x{at[n]}" for n in used], "label_value"]
         part = _contribution(
-            _complete(wide, cols).select(*group, *cols), group, cols, list(used), wanted,
+            _complete(wide, cols).select(*group, "instrument_id", *cols), group, cols, list(used), wanted,
             method, min_observations, ridge, bounded,
         )
         out = part if out is None else out.unionByName(part)
@@ -119,39 +133,45 @@ def _contribution(
     if method == "spearman":
         if bounded is None:
             bounded = fits(rows, group)
-        for c in cols:
-            rows = average_rank(rows, group, c, f"r_{c}", bounded=bounded)
-        rows = rows.select(*group, *[F.col(f"r_{c}").alias(c) for c in cols])
+        if bounded:  # plain windows on one key set share a shuffle
+            for c in cols:
+                rows = average_rank(rows, group, c, f"r_{c}", bounded=True)
+            rows = rows.select(*group, *[F.col(f"r_{c}").alias(c) for c in cols])
+        else:  # slices are cut once, for all variables
+            rows = _tall_ranks(rows, group, cols)
     aggs = moment_aggs(cols)
     moments = rows.groupBy(*group).agg(*[c.alias(n) for n, c in aggs.items()])
     k, place = len(cols), {n: i for i, n in enumerate(used)}
 
-    def pearson(n: float, left: float, right: float, cross: float):
-        if n * left <= 1e-16 or n * right <= 1e-16:
-            return None
-        return float(cross / np.sqrt(left * right))
+    def pearson(n, left, right, cross):
+        flat = (n * left <= 1e-16) | (n * right <= 1e-16)
+        return cross / np.sqrt(np.where(flat, 1.0, left * right)), ~flat
 
-    def solve(rec: dict) -> list[list]:
-        n, _, cov = unpack(rec, k)
-        r, y, out = scaled(cov), k - 1, []
+    def explained(n, r, xs, y):
+        b, sound = slopes_stack(n, r, xs, y, ridge)
+        share, given = fit_quality_stack(n, r, xs, y, b)
+        return share, sound & given
+
+    def cells(values, known):
+        return [v if ok else None for v, ok in zip(values.tolist(), known.tolist(), strict=True)]
+
+    def solve(frame) -> list[list[list]]:
+        n, _, cov = unpack_stack(frame, k)
+        r, y, out = scaled_stack(cov), k - 1, [[] for _ in n]
         for target, given in wanted:
-            if n < max(min_observations, len(given) + 3):
-                continue
             t, cs = place[target], [place[c] for c in given]
-            raw = pearson(n, r[t, t], r[y, y], r[t, y])
-            b = slopes(n, r, cs, t, ridge)
-            conditional = None
-            if b is not None:
-                left = r[t, t] - 2 * b @ r[cs, t] + b @ r[np.ix_(cs, cs)] @ b
-                conditional = pearson(n, left, r[y, y], r[t, y] - b @ r[cs, y])
-            base = 0.0
-            if cs:
-                b = slopes(n, r, cs, y, ridge)
-                base = fit_quality(n, r, cs, y, b) if b is not None else None
-            b = slopes(n, r, [*cs, t], y, ridge)
-            full = fit_quality(n, r, [*cs, t], y, b) if b is not None else None
-            gain = max(0.0, full - base) if full is not None and base is not None else None
-            out.append([target, ",".join(given), int(n), raw, conditional, base, full, gain])
+            raw, has_raw = pearson(n, r[:, t, t], r[:, y, y], r[:, t, y])
+            b, sound = slopes_stack(n, r, cs, t, ridge)
+            cross = r[:, t, y] - np.einsum("bi,bi->b", b, r[:, cs, y])
+            conditional, has_conditional = pearson(n, residual_stack(r, cs, t, b), r[:, y, y], cross)
+            base, has_base = explained(n, r, cs, y) if cs else (np.zeros(len(n)), np.ones(len(n), bool))
+            full, has_full = explained(n, r, [*cs, t], y)
+            columns = [
+                cells(raw, has_raw), cells(conditional, sound & has_conditional), cells(base, has_base),
+                cells(full, has_full), cells(np.maximum(0.0, full - base), has_full & has_base),
+            ]
+            for i in np.flatnonzero(n >= max(min_observations, len(given) + 3)).tolist():
+                out[i].append([target, ",".join(given), int(n[i]), *(c[i] for c in columns)])
         return out
 
     schema = (
@@ -159,7 +179,15 @@ def _contribution(
         "conditional_ic double, baseline_r_squared double, full_r_squared double, "
         "incremental_r_squared double"
     )
-    return solve_rows(moments, group, list(aggs), schema, solve)
+    return solve_batches(moments, group, list(aggs), schema, solve)
+
+
+def _tall_ranks(rows: DataFrame, group: list[str], cols: list[str]) -> DataFrame:
+    """Average ranks of several columns in their group, ranked as one tall table of column and value."""
+    ids = [*group, "instrument_id"]
+    pairs = F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).alias("_value")) for c in cols])
+    tall = average_rank(rows.select(*ids, F.inline(pairs)), [*group, "_column"], "_value", "_rank", bounded=False)
+    return tall.groupBy(*ids).pivot("_column", cols).agg(F.first("_rank")).select(*group, *cols)
 
 
 def unique_contribution_summary(series: DataFrame) -> DataFrame:
