@@ -16,6 +16,7 @@ from tidemark.operators.factors import (
     compute_factors,
     factor_columns,
 )
+from tidemark.queries import REGISTRY
 
 
 def values(df, name):
@@ -184,3 +185,13 @@ def test_sliced_and_whole_sections_agree(spark, monkeypatch, outlier, standard):
     monkeypatch.setattr("tidemark.functions.groups.TASK_ROWS", 25)
     b = processing.process(df, bounded=False, **steps).orderBy("instrument_id").toPandas()
     np.testing.assert_allclose(a["value"], b["value"], rtol=1e-9)
+
+
+def test_registered_factor_takes_zero_closes(spark, tmp_path):
+    """A day that closes at 0 has an infinite range, or none at all where it was 0 throughout."""
+    rows = [(1, hours(1)[0], 7, "view", 5.0), (2, hours(2)[1], 7, "view", 0.0), (3, hours(1)[0], 8, "view", 0.0)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = REGISTRY["factor_user_registered"].run(spark, str(tmp_path)).collect()
+    by_name = {r.instrument_id: r.raw_value for r in got}
+    assert by_name["7"] == math.inf and math.isnan(by_name["8"])

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import shift_time
+from tidemark.functions.scalars import ieee_ratio, shift_time
 from tidemark.operators.factors import (
     DEFAULT,
     Factor,
@@ -443,7 +443,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     registry = Registry([DEFAULT.get(n) for n in DEFAULT.names()])
     registry.register(
-        Factor("bar_range", lambda s, p, bar: s.add((F.col("high") - F.col("low")) / F.col("close")))
+        Factor("bar_range", lambda s, p, bar: s.add(ieee_ratio(F.col("high") - F.col("low"), "close")))
     )
     tall = compute_factors(
         bars(spark, sf), [FactorSpec("bar_range")], "1d", registry=registry,
