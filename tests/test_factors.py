@@ -195,3 +195,8 @@ def test_registered_factor_takes_zero_closes(spark, tmp_path):
     got = REGISTRY["factor_user_registered"].run(spark, str(tmp_path)).collect()
     by_name = {r.instrument_id: r.raw_value for r in got}
     assert by_name["7"] == math.inf and math.isnan(by_name["8"])
+
+
+def test_report_momentum_from_a_zero_close(spark):
+    got = one(candles(spark, [0, 5, 7, 0, 0, 3]), "report_momentum", window=2)
+    assert got[3] == math.inf and got[4] == -1.0 and got[5] == -1.0
