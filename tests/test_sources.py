@@ -238,3 +238,18 @@ def test_release_deletes_stage_tables(spark, tmp_path):
     session._STAGES[spark.sparkContext.applicationId] = [str(folder)]
     assert session.release(spark) == 1 and not folder.exists()
     session._STAGES[spark.sparkContext.applicationId] = [p for p in kept if p != str(folder)]
+
+
+def test_landed_trades_are_not_a_file_per_symbol(spark, tmp_path):
+    from tidemark import session
+    from tidemark.queries import REGISTRY
+
+    rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=i), i, "view", i + 0.5) for i in range(40)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    events.coalesce(2).write.parquet(str(tmp_path / "events.parquet"))
+    folder = Path(session.shared_folder(spark).removeprefix("file://"))
+    before = set(folder.glob("csv-*"))
+    got = REGISTRY["csv_aggregate_trades"].run(spark, str(tmp_path)).collect()
+    assert {(r.instrument_id, r.price) for r in got} == {(f"U{i}", i + 0.5) for i in range(40)}
+    (landed,) = set(folder.glob("csv-*")) - before
+    assert len(list(landed.rglob("part-*"))) <= 2

@@ -316,10 +316,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("event_id") % 2 == 0, "true").otherwise("false").alias("is_buyer_maker"),
         F.concat(F.lit("U"), F.col("user_id")).alias("symbol"),
     )
-    text.write.partitionBy("symbol").option("header", True).csv(path)
-    raw = files.read_csv_archive(spark, path + "/*", "aggregate_trades")
-    symbol = F.regexp_extract(F.col("_metadata.file_path"), r"symbol=([^/]+)/", 1)
-    out = files.csv_aggregate_trades(raw, symbol)
+    # A folder a symbol would be a file for each task and symbol: both grow with the table.
+    text.write.option("header", True).csv(path)
+    raw = files.read_csv_archive(spark, path, "aggregate_trades", ["symbol"])
+    out = files.csv_aggregate_trades(raw, F.col("symbol"))
     return out.select(
         "venue", "market_type", "instrument_id", "aggregate_trade_id", "timestamp", "price", "size",
         "side", "buyer_is_maker",
