@@ -253,3 +253,45 @@ def test_landed_trades_are_not_a_file_per_symbol(spark, tmp_path):
     assert {(r.instrument_id, r.price) for r in got} == {(f"U{i}", i + 0.5) for i in range(40)}
     (landed,) = set(folder.glob("csv-*")) - before
     assert len(list(landed.rglob("part-*"))) <= 2
+
+
+class _State:
+    """What a group's state offers to its function."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut, self.mark, self.timeout = None, False, False, 0, None
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+    def getCurrentWatermarkMs(self):
+        return self.mark
+
+    def setTimeoutTimestamp(self, at):
+        self.timeout = at
+
+
+def test_instruments_of_a_bucket_keep_their_own_state():
+    import pandas as pd
+
+    t = [pd.Timestamp(x) for x in hours(30)]
+
+    def call(held, rows, mark):
+        held.mark, held.hasTimedOut = mark, not rows
+        columns = ["instrument_id", "order_time", "priority", "received_at", "value"]
+        chunks = [pd.DataFrame([r], columns=columns) for r in rows]  # a group may come in several chunks
+        found = [r for part in state._keep_newest((0,), iter(chunks), held, 3_600_000) for r in part.itertuples(index=False)]
+        return {r.instrument_id: (r.order_time, None if pd.isna(r.value) else r.value) for r in found}
+
+    held = _State()
+    first = [("A", t[5], 0, t[5], 1.0), ("B", t[9], 1, t[9], None), ("A", t[4], 1, t[9], 7.0), ("B", t[9], 1, t[9], 2.0)]
+    assert call(held, first, 0) == {"A": (t[5], 1.0), "B": (t[9], 2.0)}
+    # A is late, B is told the same again: neither changes.
+    assert call(held, [("A", t[4], 1, t[9], 8.0), ("B", t[9], 1, t[9], 2.0)], 0) == {}
+    millis = int(t[8].timestamp() * 1000)
+    assert call(held, [("C", t[20], 0, t[20], 3.0)], millis) == {"C": (t[20], 3.0)}
+    assert held.get[0] == ["B", "C"] and held.timeout == int(t[10].timestamp() * 1000)
+    assert call(held, [], int(t[29].timestamp() * 1000)) == {} and not held.exists

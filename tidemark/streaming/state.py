@@ -7,10 +7,12 @@ state store and emits it whenever a newer message arrives; snapshots and idempot
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from datetime import datetime
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,47 +146,77 @@ def latest_confirmed(history: DataFrame) -> DataFrame:
 
 
 # -- streaming -----------------------------------------------------------------------------
-_STATE = "order_time timestamp, priority int, received_at timestamp, value double"
+# Instruments share their state by hashed buckets: a call of Python for each would cost more than its rows.
+BUCKETS = 1_024
+_STATE = "ids array<string>, order_time array<long>, priority array<int>, received_at array<long>, value array<double>"
+_KINDS = {"ids": object, "order_time": np.int64, "priority": np.int64, "received_at": np.int64, "value": float}
 _OUT = "instrument_id string, order_time timestamp, value double, source_priority int"
 
 
+def _micros(times: pd.Series) -> np.ndarray:
+    """Times as numbers; a missing one is the lowest."""
+    return times.to_numpy().astype("datetime64[us]").astype(np.int64)
+
+
+def _fold(kept: dict[str, np.ndarray], pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    """The newest row of each instrument among the kept ones and those of ``pdf``.
+
+    The order is that of the batch form: time, source, arrival, and null values lowest; a kept row stays
+    where none is newer. ``seen`` marks instruments with a message, ``changed`` those with a newer one.
+    """
+    yes = np.ones(len(pdf), bool)
+    rows = {
+        "ids": pdf["instrument_id"].to_numpy(object), "order_time": _micros(pdf["order_time"]),
+        "priority": pdf["priority"].to_numpy(np.int64), "received_at": _micros(pdf["received_at"]),
+        "value": pdf["value"].to_numpy(float), "seen": yes, "changed": yes,
+    }
+    both = {c: np.concatenate([kept[c], v]) for c, v in rows.items()}
+    was_kept = np.arange(len(both["ids"])) < len(kept["ids"])
+    code = pd.factorize(both["ids"], use_na_sentinel=False)[0]
+    known = ~np.isnan(both["value"])
+    value = np.where(known, both["value"], 0.0)
+    times = both["received_at"], both["priority"], both["order_time"]
+    order = np.lexsort((was_kept, value, known, *times, code))
+    last = order[np.flatnonzero(np.append(np.diff(code[order]) != 0, True))]
+    seen = np.bincount(code, both["seen"]) > 0
+    return {c: v[last] for c, v in both.items()} | {"seen": seen[code[last]]}
+
+
 def _keep_newest(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, retain_ms: int
 ) -> Iterator[pd.DataFrame]:
-    """One remembered row per key; emits it when a newer message replaces it, drops it when silent."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    best = state.get if state.exists else None
-    changed = False
-    for pdf in batches:
-        ordered = pdf.sort_values(["order_time", "priority", "received_at", "value"], na_position="first")
-        row = ordered.iloc[-1]
-        value = None if pd.isna(row["value"]) else float(row["value"])
-        found = (row["order_time"], int(row["priority"]), row["received_at"], value)
-        if best is None or _rank(found) > _rank(best):
-            best, changed = found, True
-    if changed:
-        state.update(best)
+    """One remembered row per instrument; emits it when a newer message replaces it, drops it when silent."""
+    found = state.get if state.exists else [[] for _ in _KINDS]
+    kept = {c: np.array(v, kind) for (c, kind), v in zip(_KINDS.items(), found, strict=True)}
+    kept |= {c: np.zeros(len(kept["ids"]), bool) for c in ("seen", "changed")}
+    if not state.hasTimedOut:
+        for pdf in batches:
+            kept = _fold(kept, pdf)
+    out = {c: v[kept["changed"]] for c, v in kept.items()}
+    if len(out["ids"]):
         yield pd.DataFrame(
-            {"instrument_id": [key[0]], "order_time": [best[0]], "value": [best[3]],
-             "source_priority": [best[1]]}
+            {"instrument_id": out["ids"], "order_time": out["order_time"].view("datetime64[us]"),
+             "value": out["value"], "source_priority": out["priority"]}
         )
-    forget = int(pd.Timestamp(best[0]).timestamp() * 1000) + retain_ms
-    state.setTimeoutTimestamp(max(forget, state.getCurrentWatermarkMs() + 1))
-
-
-def _rank(row: tuple) -> tuple:
-    """The order of the batch form: time, source, arrival, and null values lowest."""
-    return pd.Timestamp(row[0]), row[1], pd.Timestamp(row[2]), row[3] is not None, row[3] or 0.0
+    now = state.getCurrentWatermarkMs()
+    forget = kept["order_time"] // 1_000 + retain_ms
+    stay = kept["seen"] | (forget >= now)
+    if not stay.any():
+        state.remove()
+        return
+    left = [kept[c][stay].tolist() for c in _KINDS]
+    left[-1] = [None if math.isnan(v) else v for v in left[-1]]
+    state.update(tuple(left))
+    state.setTimeoutTimestamp(max(int(forget[stay].min()), now + 1))
 
 
 def stream_latest_state(
-    events: DataFrame, late: str = "10 minutes", retain_days: float = 30.0
+    events: DataFrame, late: str = "10 minutes", retain_days: float = 30.0, buckets: int = BUCKETS
 ) -> DataFrame:
     """Streaming ``latest_state``: changes of the newest message per instrument.
 
     The rule is that of the batch form. A key silent for ``retain_days`` of event time is forgotten.
+    ``buckets`` is fixed for the life of a checkpoint; give more for millions of instruments.
     """
     keep = partial(_keep_newest, retain_ms=int(retain_days * 86_400_000))
     order = event_order()
@@ -194,8 +226,9 @@ def stream_latest_state(
         order[1].cast("int").alias("priority"),
         F.col("received_at").cast("timestamp").alias("received_at"),
         F.col("value"),
+        F.pmod(F.xxhash64("instrument_id"), F.lit(buckets)).alias("_bucket"),
     ).withWatermark("order_time", late)
-    return rows.groupBy("instrument_id").applyInPandasWithState(
+    return rows.groupBy("_bucket").applyInPandasWithState(
         keep, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
 
