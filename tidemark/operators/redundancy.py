@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.groups import average_rank, fits, latest_row
+from tidemark.functions.groups import average_rank, fits
 from tidemark.functions.moments import (
     fit_quality,
     fit_quality_stack,
@@ -30,12 +30,10 @@ OBSERVATION = ["venue", "instrument_id", "timestamp"]
 
 
 def _wide(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    rows = latest_row(
-        df.where(F.col("factor_name").isin(list(names))).select(*keys, "factor_name", "value"),
-        [*keys, "factor_name"], ["value"],
+    # Of repeated rows the greatest value counts.
+    return df.where(F.col("factor_name").isin(list(names))).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("factor_name") == n, F.col("value"))).alias(f"x{i}") for i, n in enumerate(names)]
     )
-    wide = rows.groupBy(*keys).pivot("factor_name", list(names)).agg(F.first("value"))
-    return wide.withColumnsRenamed({n: f"x{i}" for i, n in enumerate(names)})
 
 
 def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
